@@ -38,7 +38,7 @@ from numberboard.plans import listings as L  # noqa: E402
 from numberboard.plans import stores as S  # noqa: E402
 from numberboard.session import tune  # noqa: E402
 from numberboard.sources import tables as TB  # noqa: E402
-from numberboard.sources.fixtures import derive, with_views  # noqa: E402
+from numberboard.sources.fixtures import SOURCE_SCHEMAS, derive, with_views  # noqa: E402
 from numberboard.sources.workspace import workspace  # noqa: E402
 from numberboard.streaming import jobs as ST  # noqa: E402
 
@@ -546,8 +546,7 @@ def _changes() -> dict[str, tuple[Query, str]]:
 
 def _streams() -> dict[str, tuple[Query, str]]:
     def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-        schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-        return ST.read_stream(spark, sf_dir, schema, files=f"{table}.parquet")
+        return ST.read_stream(spark, sf_dir, SOURCE_SCHEMAS[table], files=f"{table}.parquet")
 
     def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = workspace(spark, "stream_classify")

@@ -1,13 +1,14 @@
-"""The 61 number and text patterns, each stated as one Column condition.
+"""The 61 number and text patterns.
 
 A number pattern is read from its own name: equal letters stand for equal digits, different
 letters for different digits, and digits stand for themselves. The length of the name fixes the
-length of the number, so numbers outside 1..9999 match nothing.
+length of the number, so numbers outside 1..9999 match nothing and each number pattern is a short
+list of numbers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ LUCKY_NUMBERS = (
 SHAPES = (
     "x", "xx", "xxx", "xxxx", "xy", "xyy", "xyyy", "xxyy", "xyxy", "xyyx", "xyx",
 )
-# Runs of consecutive digits without a zero, and their direction.
+# Runs of consecutive digits without a zero, and their step.
 RUNS = {"xyz": 1, "zyx": -1, "wxyz": 1, "zyxw": -1}
 # Any leading digit followed by these digits.
 TAILS = ("x00", "x000", "x99", "x999", "x55", "x555")
@@ -35,82 +36,67 @@ FRONT_TEXTS = {
 }
 
 
+# No number pattern is longer than four digits.
+HIGHEST_NUMBER = 9999
+
+NUMBER_PATTERNS = tuple(
+    f"pattern_{name}" for name in (*LUCKY_NUMBERS, *SHAPES, *RUNS, *TAILS)
+)
+TEXT_PATTERNS = tuple(f"pattern_{name}" for name in FRONT_TEXTS)
+PATTERN_NAMES = (*NUMBER_PATTERNS, *TEXT_PATTERNS)
+
+
 def digit(column: Column | str, power: int) -> Column:
     """Decimal digit of a non-negative integer, counted from the right (0 = ones)."""
     value = F.col(column) if isinstance(column, str) else column
     return F.floor(value / F.lit(10**power)).cast("int") % 10
 
 
-def _digits(length: int) -> list[Column]:
-    return [digit("back_number", length - 1 - place) for place in range(length)]
-
-
-def _has_length(length: int) -> Column:
-    lowest = 10 ** (length - 1)
-    return F.col("back_number").between(lowest, 10**length - 1)
-
-
-def _shape(name: str) -> Column:
-    digits = _digits(len(name))
-    condition = _has_length(len(name))
-    leaders: dict[str, Column] = {}
-    for letter, value in zip(name, digits):
-        if letter in leaders:
-            condition &= leaders[letter] == value
-        else:
-            for other in leaders.values():
-                condition &= other != value
-            leaders[letter] = value
-    return condition
-
-
-def _run(length: int, step: int) -> Column:
-    digits = _digits(length)
-    condition = _has_length(length) & (digits[-1] > 0)
-    for left, right in zip(digits, digits[1:]):
-        condition &= right - left == step
-    return condition
-
-
-def _tail(name: str) -> Column:
-    tail = name[1:]
-    return _has_length(len(name)) & (F.col("back_number") % 10 ** len(tail) == int(tail))
-
-
-def _front(text: str, match: str) -> Column:
+def _fits(name: str, number: str) -> bool:
+    """Whether a number, as text, fits a pattern name without its prefix."""
+    if name in RUNS:
+        steps = {int(right) - int(left) for left, right in zip(number, number[1:])}
+        return len(number) == len(name) and steps == {RUNS[name]} and "0" not in number
+    if name in TAILS:
+        return len(number) == len(name) and number.endswith(name[1:])
+    if name in SHAPES:
+        pairs = set(zip(name, number))
+        return len(number) == len(name) and len(pairs) == len(set(name)) == len(set(number))
+    return number == name
+
+
+@cache
+def numbers_by_pattern() -> dict[str, tuple[int, ...]]:
+    """The numbers of every number pattern."""
+    return {
+        pattern: tuple(
+            number
+            for number in range(1, HIGHEST_NUMBER + 1)
+            if _fits(pattern.removeprefix("pattern_"), str(number))
+        )
+        for pattern in NUMBER_PATTERNS
+    }
+
+
+def rule(pattern: str) -> Column:
+    """Condition of one pattern; an unknown name is an error."""
+    if pattern in NUMBER_PATTERNS:
+        return F.col("back_number").isin(list(numbers_by_pattern()[pattern]))
+    if pattern not in TEXT_PATTERNS:
+        raise ValueError(f"unknown pattern {pattern!r}")
+    text, match = FRONT_TEXTS[pattern.removeprefix("pattern_")]
     front = F.col("front_text")
     matches = front.startswith(text) if match == "prefix" else front == text
     return (F.col("front_number") == 0) & (F.col("vehicle_type_id") == 1) & matches
 
 
-def _rules() -> dict[str, Callable[[], Column]]:
-    rules: dict[str, Callable[[], Column]] = {}
-    for number in LUCKY_NUMBERS:
-        rules[f"pattern_{number}"] = lambda n=number: F.col("back_number") == n
-    for name in SHAPES:
-        rules[f"pattern_{name}"] = lambda s=name: _shape(s)
-    for name, step in RUNS.items():
-        rules[f"pattern_{name}"] = lambda s=name, d=step: _run(len(s), d)
-    for name in TAILS:
-        rules[f"pattern_{name}"] = lambda s=name: _tail(s)
-    for name, (text, match) in FRONT_TEXTS.items():
-        rules[f"pattern_{name}"] = lambda t=text, m=match: _front(t, m)
-    return rules
-
+def matching(patterns: tuple[str, ...]) -> Column:
+    """Array of those of the named patterns that a row matches."""
+    return F.array_compact(F.array(*[F.when(rule(name), F.lit(name)) for name in patterns]))
 
-# Conditions are built on use: a Column needs a running session.
-RULES = _rules()
-PATTERN_NAMES = tuple(RULES)
 
-
-def rule(name: str) -> Column:
-    """Condition of one pattern; an unknown name is an error."""
-    if name not in RULES:
-        raise ValueError(f"unknown pattern {name!r}")
-    return RULES[name]()
-
-
-def matching_patterns() -> Column:
-    """Array of the names of every pattern a plate matches (most plates match none)."""
-    hits = [F.when(build(), F.lit(name)) for name, build in RULES.items()]
-    return F.array_compact(F.array(*hits))
+def matches_any(patterns: tuple[str, ...]) -> Column:
+    condition = F.lit(False)
+    for name in patterns:
+        condition |= rule(name)
+    return condition

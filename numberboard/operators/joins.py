@@ -7,18 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import spread_lookup
+
 
 def with_plates(latest: DataFrame, plates: DataFrame) -> DataFrame:
     """Priced plates only: a plate without a price row disappears."""
     return plates.join(latest, "plates_id")
 
 
-def with_seller(df: DataFrame, users: DataFrame) -> DataFrame:
-    """Adds name and picture of the seller; a plate whose seller is gone disappears.
+SELLER_COLUMNS = ("users_id", "name", "profile_uri")
+
+
+def with_seller(
+    df: DataFrame, sellers: DataFrame, plates: DataFrame | None = None
+) -> DataFrame:
+    """Adds the seller's columns; a plate whose seller is gone disappears.
 
-    Both sides are plain shuffles by users_id, so AQE can split a seller with very many plates.
+    One seller may own a third of all plates. Unless the listing is known to be small, pass the
+    ``plates`` it was made from: sellers are then counted and the hot ones split over many tasks.
     """
-    return df.join(users.select("users_id", "name", "profile_uri"), "users_id")
+    if plates is None:
+        return df.join(sellers, "users_id")
+    sizes = plates.groupBy("users_id").agg(F.count(F.lit(1)).alias("_rows"))
+    return spread_lookup(df, sellers, ["users_id"], spread_by="plates_id", sizes=sizes, how="inner")
 
 
 def with_pattern(df: DataFrame, members: DataFrame, name: str) -> DataFrame:
@@ -36,7 +47,10 @@ def with_viewer_plates(df: DataFrame, liked: DataFrame, saved: DataFrame, viewer
 
 
 def with_viewer_store(df: DataFrame, liked: DataFrame, saved: DataFrame, viewer: int) -> DataFrame:
-    """Adds the viewer's like and save of each seller; a repeated reaction repeats the row."""
+    """Adds the viewer's like and save of each seller; a repeated reaction repeats the row.
+
+    Meant for rows per seller: join it to the sellers first, not to their plates.
+    """
     for table, id_column in ((liked, "liked_store_id"), (saved, "saved_store_id")):
         own = table.where(F.col("users_id") == viewer).select(
             F.col("store_id").alias("users_id"), id_column

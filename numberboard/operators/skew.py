@@ -25,7 +25,10 @@ RESTRICT_KEYS = 500_000
 
 
 def restrict(df: DataFrame, keys: DataFrame | None, on: str) -> DataFrame:
-    """Keep the rows of ``df`` whose key is in ``keys`` (already checked by ``small_keys``); no-op for None."""
+    """Keep the rows of ``df`` whose key is in ``keys``; no-op for None.
+
+    Only for keys counted to be at most ``RESTRICT_KEYS``: they are broadcast.
+    """
     if keys is None:
         return df
     return df.join(F.broadcast(keys.select(on)), on, "left_semi")
@@ -34,9 +37,9 @@ def restrict(df: DataFrame, keys: DataFrame | None, on: str) -> DataFrame:
 def small_keys(keys: DataFrame, on: str, max_keys: int = RESTRICT_KEYS) -> DataFrame | None:
     """``keys`` if they are few enough to broadcast, else None.
 
-    The check is one count over the pruned key scan. It pays off for selective searches: with few
-    keys the price, like and save scans drop nearly all rows before their shuffle. With many keys
-    those tables are aggregated first and joined by key instead, which gives the same rows.
+    The check is one count over the pruned key scan. With few keys the tables they restrict drop
+    nearly all rows before their shuffle; with many, those tables are aggregated first and joined
+    by key instead, which gives the same rows.
     """
     wanted = keys.select(on)
     return wanted if wanted.count() <= max_keys else None
@@ -44,32 +47,36 @@ def small_keys(keys: DataFrame, on: str, max_keys: int = RESTRICT_KEYS) -> DataF
 
 def spread_lookup(
     facts: DataFrame,
-    per_key: DataFrame,
+    lookup: DataFrame,
     on: Sequence[str],
     spread_by: str,
-    weight: str,
+    sizes: DataFrame,
     how: str = "left",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Join raw ``facts`` to ``per_key`` (one row per key; ``weight`` = that key's number of fact rows).
+    """Join raw ``facts`` to the few ``lookup`` rows of their key without one task getting a hot key.
 
-    Keys above 1/HOT_SHARE of the total are cut into slices of about that share: their facts are
-    spread by a hash of ``spread_by`` (a unique column, so a retried task repeats the same slice)
-    and their ``per_key`` row is repeated once per slice. Fewer than HOT_SHARE keys can be hot, so
-    the list of hot keys is safe to broadcast.
+    ``sizes`` has one row per key: the key and ``_rows``, its number of fact rows. Keys above
+    1/HOT_SHARE of the total (and above ``hot_rows``) are cut into slices of about that share: their
+    facts are spread by a hash of ``spread_by`` (a unique column, so a retried task repeats the same
+    slice) and their lookup rows are repeated once per slice. Fewer than HOT_SHARE keys can be hot,
+    so the list of hot keys is safe to broadcast; when there are none AQE removes both of its joins.
     """
     on = list(on)
-    total = per_key.agg(F.sum(weight)).scalar()
+    total = sizes.agg(F.sum("_rows")).scalar()
     slice_rows = F.greatest(F.floor(total / HOT_SHARE), F.lit(hot_rows))
-    slices = F.ceil(F.col(weight) / slice_rows).cast("int")
-    sized = per_key.withColumn("_slices", F.greatest(slices, F.lit(1)))
-    hot = sized.where(F.col("_slices") > 1).select(*on, "_slices")
+    hot = sizes.where(F.col("_rows") > slice_rows).select(
+        *on, F.ceil(F.col("_rows") / slice_rows).cast("int").alias("_slices")
+    )
+    slices = F.coalesce("_slices", F.lit(1))
     sliced_facts = (
         facts.join(F.broadcast(hot), on, "left")
-        .withColumn("_slice", F.pmod(F.xxhash64(spread_by), F.coalesce("_slices", F.lit(1))).cast("int"))
+        .withColumn("_slice", F.pmod(F.xxhash64(spread_by), slices).cast("int"))
+        .drop("_slices")
+    )
+    sliced_lookup = (
+        lookup.join(F.broadcast(hot), on, "left")
+        .withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)))
         .drop("_slices")
     )
-    sliced_keys = sized.withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))
-    ).drop("_slices", weight)
-    return sliced_facts.join(sliced_keys, [*on, "_slice"], how).drop("_slice")
+    return sliced_facts.join(sliced_lookup, [*on, "_slice"], how).drop("_slice")

@@ -306,11 +306,13 @@ def fold_reactions(
     is_add = F.col("op") == "add"
     per_key = log.groupBy(*key).agg(
         F.max(F.when(F.col("op") == "remove", F.col(order))).alias("_last_remove"),
-        F.count_if(is_add).alias("_adds"),
+        F.count_if(is_add).alias("_rows"),
     )
     adds = log.where(is_add).drop("op")
+    lookup = per_key.select(*key, "_last_remove")
+    sizes = per_key.select(*key, "_rows")
     survivors = (
-        spread_lookup(adds, per_key, key, spread_by=order, weight="_adds", how="inner", hot_rows=hot_rows)
+        spread_lookup(adds, lookup, key, spread_by=order, sizes=sizes, how="inner", hot_rows=hot_rows)
         .where(F.col("_last_remove").isNull() | (F.col(order) > F.col("_last_remove")))
         .select(*adds.columns)
     )
@@ -395,7 +397,7 @@ def replaced_media(
     """
     routed = route_media(requests, prefixes).where(F.col("field").isNotNull())
     per_row = routed.groupBy("field", "id").agg(
-        F.max("request_id").alias("_last"), F.count(F.lit(1)).alias("_requests")
+        F.max("request_id").alias("_last"), F.count(F.lit(1)).alias("_rows")
     )
     touched = per_row.join(_media_state(users, plates, list(prefixes)), ["field", "id"])
     stored = touched.where(F.col("value").isNotNull()).select(
@@ -403,10 +405,10 @@ def replaced_media(
     )
     overwritten = spread_lookup(
         routed.where(F.col("value").isNotNull()),
-        touched.drop("value"),
+        touched.select("field", "id", "_last"),
         ["field", "id"],
         spread_by="request_id",
-        weight="_requests",
+        sizes=per_row.select("field", "id", "_rows"),
         how="inner",
         hot_rows=hot_rows,
     ).where(F.col("request_id") < F.col("_last"))

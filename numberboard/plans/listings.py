@@ -16,6 +16,7 @@ from ..functions import predicates as P
 from ..functions.patterns import rule
 from ..operators.envelope import tag_contained, tag_results
 from ..operators.joins import (
+    SELLER_COLUMNS,
     with_pattern,
     with_plates,
     with_seller,
@@ -25,7 +26,7 @@ from ..operators.joins import (
 from ..operators.latest import is_latest, latest_price
 from ..operators.ordering import order_by, page
 from ..operators.projection import listing_columns
-from ..operators.skew import restrict, small_keys
+from ..operators.skew import HOT_ROWS, RESTRICT_KEYS, restrict
 from ..params import PlatesFilter, UsersFilter
 
 Tables = Mapping[str, DataFrame]
@@ -37,28 +38,35 @@ def spine(
     plates: DataFrame,
     *,
     selective: bool = False,
+    single: bool = False,
     price_under: int | None = None,
     counts: str = "fanout",
 ) -> DataFrame:
     """Listing of the given plates, unsorted and with the base columns still in place.
 
-    ``selective`` says the caller expects few plates. Their ids are then counted, and when they fit
-    a broadcast the price, like and save tables are cut down to them before their shuffle.
+    The plates are counted first, one pass over the columns their conditions use, and the count
+    decides the rest. Few plates of a ``selective`` search: their ids are broadcast, so the price,
+    like and save tables drop all other rows before their shuffle. Many plates: those tables are
+    reduced to one row per plate before they are joined, and hot sellers are split over many tasks.
+    ``single`` promises at most one plate, with the tables already cut down to it.
     """
-    keys = small_keys(plates, "plates_id") if selective else None
+    expected = 1 if single else plates.count()
+    keys = plates if selective and expected <= RESTRICT_KEYS else None
     latest = latest_price(
         restrict(tables["price_history"], keys, "plates_id"),
         restrict(tables["liked_plates"], keys, "plates_id"),
         restrict(tables["saved_plates"], keys, "plates_id"),
         counts,
     )
-    # plates_id joins first: they share one partitioning. users_id joins follow on another.
+    # The plates_id joins share one partitioning; only the seller join needs another.
     df = with_plates(latest, plates).where(is_latest())
     if price_under is not None:
         df = df.where(P.price_at_most(price_under))
     df = with_viewer_plates(df, tables["liked_plates"], tables["saved_plates"], viewer)
-    df = with_seller(df, tables["users"])
-    return with_viewer_store(df, tables["liked_store"], tables["saved_store"], viewer)
+    sellers = with_viewer_store(
+        tables["users"].select(*SELLER_COLUMNS), tables["liked_store"], tables["saved_store"], viewer
+    )
+    return with_seller(df, sellers, plates if expected > HOT_ROWS else None)
 
 
 def sellable_plates(tables: Tables, *conditions: Column) -> DataFrame:
@@ -206,7 +214,7 @@ def query_plates_info(
     for name in ("price_history", "liked_plates", "saved_plates"):
         narrowed[name] = tables[name].where(by_id)
     plates = sellable_plates(tables, by_id)
-    return spine(narrowed, viewer, plates, counts=counts).select(*listing_columns())
+    return spine(narrowed, viewer, plates, single=True, counts=counts).select(*listing_columns())
 
 
 def _store_plates(tables: Tables, f: UsersFilter, pin_state: Column) -> DataFrame:

@@ -19,6 +19,19 @@ TEST_TABLES = (
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+# Declared schemas of the test tables the views read, so that no footer is read to infer them.
+SOURCE_SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,"
+    " l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,"
+    " l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
 VIEWS: dict[str, str] = {
     "users": """
 SELECT CAST(c_custkey AS INT) AS users_id, c_name AS name,
@@ -187,20 +200,28 @@ def derive(
 ) -> dict[str, DataFrame]:
     """The named views (all of them by default), lazily, over the test tables in ``sf_dir``.
 
-    ``sources`` replaces tables or views of those names, for example by a stream.
+    ``sources`` replaces tables or views of those names, for example by a stream. Without it the
+    lazy plans (never data) are kept per session and folder.
     """
-    built = dict(sources)
-
-    def build(name: str) -> DataFrame:
-        if name not in built:
-            if name in VIEWS:
-                inputs = {source: build(source) for source in _inputs(name)}
-                built[name] = spark.sql(VIEWS[name], **inputs)
-            else:
-                built[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        return built[name]
-
-    return {name: build(name) for name in names or VIEWS}
+    built = dict(sources) if sources else _plans(spark, sf_dir)
+    return {name: _build(spark, sf_dir, name, built) for name in names or VIEWS}
+
+
+@cache
+def _plans(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {}
+
+
+def _build(
+    spark: SparkSession, sf_dir: str, name: str, built: dict[str, DataFrame]
+) -> DataFrame:
+    if name not in built:
+        if name in VIEWS:
+            inputs = {source: _build(spark, sf_dir, source, built) for source in _inputs(name)}
+            built[name] = spark.sql(VIEWS[name], **inputs)
+        else:
+            built[name] = spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    return built[name]
 
 
 def sql_for(name: str) -> str:

@@ -21,7 +21,7 @@ from ..plans.changes import admit_new_plates
 def read_stream(
     spark: SparkSession,
     directory: str,
-    schema: T.StructType,
+    schema: T.StructType | str,
     files: str = "*.parquet",
     files_per_batch: int | None = None,
 ) -> DataFrame:
