@@ -119,7 +119,7 @@ def _reads() -> dict[str, tuple[Query, str]]:
         L.query_suggestion_back_number,
         replace(BASE, back_number=60),
         " AND p.back_number = 60",
-        " AND CAST(p.back_number AS VARCHAR) LIKE '%60%'",
+        " AND CAST(p.back_number AS STRING) LIKE '%60%'",
     )
     for viewer in VIEWERS:
         suffix = "" if viewer == 0 else f"_viewer_{viewer}"
@@ -128,7 +128,7 @@ def _reads() -> dict[str, tuple[Query, str]]:
     text = replace(
         BASE, search_text_front_number=2, search_text_front_text="ก", search_text_back_number=60
     )
-    contains = " AND CAST(p.back_number AS VARCHAR) LIKE '%60%'"
+    contains = " AND CAST(p.back_number AS STRING) LIKE '%60%'"
     front, starts = " AND p.front_number = 2", " AND p.front_text LIKE 'ก%'"
     search_both(
         "search_number_text_number",
@@ -334,10 +334,10 @@ FROM per_seller AS t""",
             f"""{with_views('plates')}
 SELECT plates_id, CONCAT('province_id(', province_id, ')-vehicle_type_id(', vehicle_type_id, ')-front_number(',
  front_number, ')-front_text(', front_text, ')-back_number(', back_number, ')') AS unique_text,
- CAST(add_date AS VARCHAR) || '+00' AS add_date,
+ CAST(add_date AS STRING) || '+00' AS add_date,
  CAST(SUBSTR(digits, 4, 1) AS INT) AS digit_0, CAST(SUBSTR(digits, 3, 1) AS INT) AS digit_1,
  CAST(SUBSTR(digits, 2, 1) AS INT) AS digit_2, CAST(SUBSTR(digits, 1, 1) AS INT) AS digit_3
-FROM (SELECT *, LPAD(CAST(back_number AS VARCHAR), 4, '0') AS digits FROM plates) AS p""",
+FROM (SELECT *, LPAD(CAST(back_number AS STRING), 4, '0') AS digits FROM plates) AS p""",
         ),
         "hashtag_texts": (
             _on("new_plates_hashtag")(

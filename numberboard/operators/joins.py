@@ -19,17 +19,23 @@ SELLER_COLUMNS = ("users_id", "name", "profile_uri")
 
 
 def with_seller(
-    df: DataFrame, sellers: DataFrame, plates: DataFrame | None = None
+    df: DataFrame,
+    sellers: DataFrame,
+    plates: DataFrame | None = None,
+    plates_count: int = 0,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Adds the seller's columns; a plate whose seller is gone disappears.
 
-    One seller may own a third of all plates. Unless the listing is known to be small, pass the
-    ``plates`` it was made from: sellers are then counted and the hot ones split over many tasks.
+    One seller may own a third of all plates. Pass the ``plates`` the listing was made from and
+    their counted number: beyond ``hot_rows`` the plates of hot sellers are split over many tasks.
     """
     if plates is None:
         return df.join(sellers, "users_id")
     sizes = plates.groupBy("users_id").agg(F.count(F.lit(1)).alias("_rows"))
-    return spread_lookup(df, sellers, ["users_id"], spread_by="plates_id", sizes=sizes, how="inner")
+    return spread_lookup(
+        df, sellers, ["users_id"], "plates_id", sizes, plates_count, "inner", hot_rows
+    )
 
 
 def with_pattern(df: DataFrame, members: DataFrame, name: str) -> DataFrame:

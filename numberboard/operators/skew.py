@@ -45,37 +45,45 @@ def small_keys(keys: DataFrame, on: str, max_keys: int = RESTRICT_KEYS) -> DataF
     return wanted if wanted.count() <= max_keys else None
 
 
+def hot_keys(sizes: DataFrame, on: Sequence[str], slice_rows: int) -> DataFrame:
+    """Keys with more than ``slice_rows`` rows and the number of slices (``_slices``) they need."""
+    return sizes.where(F.col("_rows") > slice_rows).select(
+        *on, F.ceil(F.col("_rows") / slice_rows).cast("int").alias("_slices")
+    )
+
+
 def spread_lookup(
     facts: DataFrame,
     lookup: DataFrame,
     on: Sequence[str],
     spread_by: str,
     sizes: DataFrame,
+    total: int,
     how: str = "left",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Join raw ``facts`` to the few ``lookup`` rows of their key without one task getting a hot key.
 
-    ``sizes`` has one row per key: the key and ``_rows``, its number of fact rows. Keys above
-    1/HOT_SHARE of the total (and above ``hot_rows``) are cut into slices of about that share: their
-    facts are spread by a hash of ``spread_by`` (a unique column, so a retried task repeats the same
-    slice) and their lookup rows are repeated once per slice. Fewer than HOT_SHARE keys can be hot,
-    so the list of hot keys is safe to broadcast; when there are none AQE removes both of its joins.
+    ``total`` is the counted number of fact rows (or an upper bound), and ``sizes`` has one row per
+    key: the key and ``_rows``, its share of them. Up to ``hot_rows`` rows in all this is a plain
+    join. Otherwise keys above 1/HOT_SHARE of the total are cut into slices of about that share:
+    their facts are spread by a hash of ``spread_by`` (a unique column, so a retried task repeats
+    the same slice) and their lookup rows are repeated once per slice. Fewer than HOT_SHARE keys can
+    be hot, so the list of hot keys is safe to broadcast; when it is empty AQE drops its joins.
     """
     on = list(on)
-    total = sizes.agg(F.sum("_rows")).scalar()
-    slice_rows = F.greatest(F.floor(total / HOT_SHARE), F.lit(hot_rows))
-    hot = sizes.where(F.col("_rows") > slice_rows).select(
-        *on, F.ceil(F.col("_rows") / slice_rows).cast("int").alias("_slices")
-    )
+    slice_rows = max(total // HOT_SHARE, HOT_ROWS if hot_rows is None else hot_rows)
+    if total <= slice_rows:
+        return facts.join(lookup, on, how)
+    hot = F.broadcast(hot_keys(sizes, on, slice_rows))
     slices = F.coalesce("_slices", F.lit(1))
     sliced_facts = (
-        facts.join(F.broadcast(hot), on, "left")
+        facts.join(hot, on, "left")
         .withColumn("_slice", F.pmod(F.xxhash64(spread_by), slices).cast("int"))
         .drop("_slices")
     )
     sliced_lookup = (
-        lookup.join(F.broadcast(hot), on, "left")
+        lookup.join(hot, on, "left")
         .withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)))
         .drop("_slices")
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import (
@@ -26,7 +26,7 @@ from ..functions.text import (
 from ..operators.classify import classify
 from ..operators.latest import latest_by
 from ..operators.numbering import highest, number_rows
-from ..operators.skew import HOT_ROWS, spread_lookup
+from ..operators.skew import spread_lookup
 
 PIN_CAP = 30
 
@@ -221,35 +221,40 @@ def pinned_count(plates: DataFrame) -> DataFrame:
 
 
 def capped_pins(
-    plates: DataFrame, pins: DataFrame, unpins: DataFrame | None = None, cap: int = PIN_CAP
+    plates: DataFrame, pins: DataFrame, unpins: DataFrame, cap: int = PIN_CAP
 ) -> DataFrame:
     """Plates after a batch of pin changes: unpins first, then pins while fewer than ``cap`` are pinned.
 
     The cap counts all plates of all sellers. Requests for unknown or already pinned plates use no
     slot. Only the first ``cap`` candidates can win, so the ranking never sees more than that.
     """
-    if unpins is not None:
-        released = unpins.select("plates_id", F.lit(True).alias("_released")).distinct()
-        state = F.when(F.col("_released"), F.lit(False)).otherwise(F.col("is_pin"))
-        plates = plates.join(released, "plates_id", "left").withColumn("is_pin", state).drop("_released")
-    free = plates.where(~F.col("is_pin").eqNullSafe(F.lit(True))).select("plates_id")
+    is_pinned = F.col("is_pin").eqNullSafe(F.lit(True))
+    flags = plates.select("plates_id", "is_pin")
+    released = unpins.select("plates_id", F.lit(False).alias("_state")).distinct()
+    still_pinned = flags.where(is_pinned).join(released, "plates_id", "left_anti")
+    slots = F.lit(cap) - still_pinned.agg(F.count(F.lit(1))).scalar()
+    first_requests = pins.groupBy("plates_id").agg(F.min("request_id").alias("request_id"))
     candidates = (
-        pins.groupBy("plates_id")
-        .agg(F.min("request_id").alias("request_id"))
-        .join(free, "plates_id")
+        first_requests.join(flags, "plates_id")
+        .join(released, "plates_id", "left")
+        .where(~is_pinned | F.col("_state").isNotNull())
+        .select("plates_id", "request_id")
         .orderBy("request_id")
         .limit(cap)
     )
-    slots = F.lit(cap) - pinned_count(plates).scalar()
-    winners = (
-        number_rows(candidates, "request_id")
-        .where(F.col("ordinal") <= slots)
-        .select("plates_id", F.lit(True).alias("_pinned"))
+    place = F.row_number().over(Window.orderBy("request_id"))
+    winners = candidates.withColumn("_place", place).where(F.col("_place") <= slots)
+    # A plate released and pinned again ends up pinned: TRUE is the greater state.
+    changes = (
+        released.unionByName(winners.select("plates_id", F.lit(True).alias("_state")))
+        .groupBy("plates_id")
+        .agg(F.max("_state").alias("_state"))
     )
     return (
-        plates.join(winners, "plates_id", "left")
-        .withColumn("is_pin", F.coalesce("_pinned", "is_pin"))
-        .drop("_pinned")
+        plates.join(changes, "plates_id", "left")
+        .withColumn("is_pin", F.coalesce("_state", "is_pin"))
+        .drop("_state")
+        .select(*plates.columns)
     )
 
 
@@ -294,7 +299,7 @@ def fold_reactions(
     target: str = "plates_id",
     order: str = "event_id",
     mode: str = "rows",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Reaction rows left after a log of adds and removes.
 
@@ -312,7 +317,7 @@ def fold_reactions(
     lookup = per_key.select(*key, "_last_remove")
     sizes = per_key.select(*key, "_rows")
     survivors = (
-        spread_lookup(adds, lookup, key, spread_by=order, sizes=sizes, how="inner", hot_rows=hot_rows)
+        spread_lookup(adds, lookup, key, order, sizes, log.count(), "inner", hot_rows)
         .where(F.col("_last_remove").isNull() | (F.col(order) > F.col("_last_remove")))
         .select(*adds.columns)
     )
@@ -388,7 +393,7 @@ def replaced_media(
     plates: DataFrame,
     requests: DataFrame,
     prefixes: Mapping[str, str] = MEDIA_PREFIXES,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Object keys the requests have replaced, for clean-up: (field, id, object_key).
 
@@ -407,10 +412,11 @@ def replaced_media(
         routed.where(F.col("value").isNotNull()),
         touched.select("field", "id", "_last"),
         ["field", "id"],
-        spread_by="request_id",
-        sizes=per_row.select("field", "id", "_rows"),
-        how="inner",
-        hot_rows=hot_rows,
+        "request_id",
+        per_row.select("field", "id", "_rows"),
+        routed.count(),
+        "inner",
+        hot_rows,
     ).where(F.col("request_id") < F.col("_last"))
     return stored.unionByName(overwritten.select("field", "id", "object_key"))
 

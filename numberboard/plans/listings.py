@@ -26,7 +26,7 @@ from ..operators.joins import (
 from ..operators.latest import is_latest, latest_price
 from ..operators.ordering import order_by, page
 from ..operators.projection import listing_columns
-from ..operators.skew import HOT_ROWS, RESTRICT_KEYS, restrict
+from ..operators.skew import RESTRICT_KEYS, restrict
 from ..params import PlatesFilter, UsersFilter
 
 Tables = Mapping[str, DataFrame]
@@ -66,7 +66,7 @@ def spine(
     sellers = with_viewer_store(
         tables["users"].select(*SELLER_COLUMNS), tables["liked_store"], tables["saved_store"], viewer
     )
-    return with_seller(df, sellers, plates if expected > HOT_ROWS else None)
+    return with_seller(df, sellers, plates, expected)
 
 
 def sellable_plates(tables: Tables, *conditions: Column) -> DataFrame:

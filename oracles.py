@@ -17,7 +17,7 @@ LISTING_TABLES = (
 )
 
 LISTING_SELECT = """p.plates_id, p.front_text, p.plates_type_id, p.plates_uri, p.total,
- CAST(p.add_date AS VARCHAR) || '+00' AS add_date, p.front_number, p.back_number, p.vehicle_type_id,
+ CAST(p.add_date AS STRING) || '+00' AS add_date, p.front_number, p.back_number, p.vehicle_type_id,
  p.users_id, p.special_front_id, p.province_id, p.information, c.price, u.name, u.profile_uri,
  vl.liked_plates_id, vs.saved_plates_id, sl.liked_store_id, ss.saved_store_id,
  c.liked_plates_id_count, c.saved_plates_id_count,
@@ -140,7 +140,7 @@ def members(source: str) -> str:
     return f"""classified AS (SELECT * FROM {source}),
 digits AS (
  SELECT plates_id, add_date, s, SUBSTR(s, 1, 1) AS a, SUBSTR(s, 2, 1) AS b, SUBSTR(s, 3, 1) AS c, SUBSTR(s, 4, 1) AS d
- FROM (SELECT plates_id, add_date, CAST(back_number AS VARCHAR) AS s FROM classified
+ FROM (SELECT plates_id, add_date, CAST(back_number AS STRING) AS s FROM classified
   WHERE back_number BETWEEN 1 AND 9999) AS numbers
 ),
 members AS (
@@ -158,7 +158,7 @@ newest AS (
  SELECT plates_id, price, ROW_NUMBER() OVER (PARTITION BY plates_id ORDER BY price_history_id DESC) AS place
  FROM price_history
 )
-SELECT u.users_id, u.name, CAST(u.created_date AS VARCHAR) || '+00' AS created_date, u.profile_uri,
+SELECT u.users_id, u.name, CAST(u.created_date AS STRING) || '+00' AS created_date, u.profile_uri,
  u.cover_uri, u.information, vl.liked_store_id, vs.saved_store_id,
  COUNT(l.liked_store_id) AS liked_store_id_count, COUNT(s.saved_store_id) AS saved_store_id_count,
  COUNT(l.liked_store_id) + COUNT(s.saved_store_id) AS reacts_count,
@@ -180,8 +180,8 @@ GROUP BY u.users_id, u.name, u.created_date, u.profile_uri, u.cover_uri, u.infor
 # -- changes -----------------------------------------------------------------------------------
 
 DECIDED = """ranked AS (
- SELECT b.*, CONCAT('province_id(', CAST(b.province_id AS VARCHAR), ')-vehicle_type_id(', CAST(b.vehicle_type_id AS VARCHAR),
-  ')-front_number(', CAST(b.front_number AS VARCHAR), ')-front_text(', b.front_text, ')-back_number(', CAST(b.back_number AS VARCHAR), ')') AS unique_text,
+ SELECT b.*, CONCAT('province_id(', CAST(b.province_id AS STRING), ')-vehicle_type_id(', CAST(b.vehicle_type_id AS STRING),
+  ')-front_number(', CAST(b.front_number AS STRING), ')-front_text(', b.front_text, ')-back_number(', CAST(b.back_number AS STRING), ')') AS unique_text,
   ROW_NUMBER() OVER (PARTITION BY b.province_id, b.vehicle_type_id, b.front_number, b.front_text, b.back_number
    ORDER BY b.request_id) = 1 AND NOT EXISTS (
    SELECT 1 FROM plates AS p WHERE p.province_id = b.province_id AND p.vehicle_type_id = b.vehicle_type_id
@@ -331,7 +331,7 @@ ranked AS (
  FROM new_plates_hashtag AS n
 )
 SELECT plates_id, hashtag_id, seq, add_date,
- CONCAT('plates_id(', CAST(plates_id AS VARCHAR), ')-hashtag_id(', CAST(hashtag_id AS VARCHAR), ')') AS unique_text
+ CONCAT('plates_id(', CAST(plates_id AS STRING), ')-hashtag_id(', CAST(hashtag_id AS STRING), ')') AS unique_text
 FROM ranked AS n WHERE place = 1 AND NOT EXISTS (
  SELECT 1 FROM plates_hashtag AS h WHERE h.plates_id = n.plates_id AND h.hashtag_id = n.hashtag_id)"""
 

@@ -1,53 +1,68 @@
 """Hot keys: results stay whole and no slice holds more than its share."""
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from numberboard.operators.joins import with_seller
-from numberboard.operators.skew import small_keys, spread_lookup
+from numberboard.operators.skew import hot_keys, small_keys, spread_lookup
 
 
-def test_hot_key_is_spread_and_rows_are_whole(spark):
-    facts = spark.range(30_000).select(
+@pytest.fixture(scope="module")
+def facts(spark):
+    """A third of the rows share key 1."""
+    return spark.range(30_000).select(
         F.col("id").cast("int").alias("fact"),
         F.when(F.col("id") % 3 == 0, 1).otherwise((F.col("id") % 997) + 2).cast("int").alias("k"),
     )
+
+
+def sizes_of(facts, key="k"):
+    return facts.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("hot_rows", [100, 1_000_000])
+def test_hot_key_is_spread_and_rows_are_whole(spark, facts, how, hot_rows):
     lookup = spark.range(1, 900).select(F.col("id").cast("int").alias("k"), (F.col("id") * 10).alias("v"))
-    sizes = facts.groupBy("k").agg(F.count(F.lit(1)).alias("_rows"))
-    for how in ("inner", "left"):
-        plain = facts.join(lookup, "k", how)
-        spread = spread_lookup(facts, lookup, ["k"], "fact", sizes, how, hot_rows=100)
-        assert spread.columns == plain.columns
-        assert spread.count() == plain.count()
-        assert spread.exceptAll(plain).isEmpty()
-
-
-def test_slices_of_a_hot_key_are_even(spark):
-    facts = spark.range(10_000).select(F.col("id").alias("fact"), F.lit(1).alias("k"))
-    lookup = spark.range(1, 2).select(F.col("id").cast("int").alias("k"))
-    sizes = facts.groupBy("k").agg(F.count(F.lit(1)).alias("_rows"))
-    # The slice column is internal; its spread shows in the rows each lookup copy meets.
-    marked = lookup.withColumn("copy", F.lit(0))
-    joined = spread_lookup(facts, marked, ["k"], "fact", sizes, "inner", hot_rows=500)
-    assert joined.count() == 10_000
-    slices = facts.groupBy(F.pmod(F.xxhash64("fact"), F.lit(20)).alias("s")).count()
-    assert slices.agg(F.max("count")).first()[0] < 2 * 500
+    plain = facts.join(lookup, "k", how)
+    spread = spread_lookup(facts, lookup, ["k"], "fact", sizes_of(facts), 30_000, how, hot_rows)
+    assert spread.columns == plain.columns
+    assert spread.count() == plain.count()
+    assert spread.exceptAll(plain).isEmpty()
+
+
+def test_hot_keys_are_few_and_their_slices_even(facts):
+    hot = hot_keys(sizes_of(facts), ["k"], 100).collect()
+    assert [(row.k, row._slices) for row in hot] == [(1, 100)]
+    slices = facts.where("k = 1").groupBy(F.pmod(F.xxhash64("fact"), F.lit(100)).alias("s")).count()
+    assert slices.count() == 100 and slices.agg(F.max("count")).first()[0] < 200
+
+
+def test_spread_join_is_by_key_and_slice(spark, facts):
+    lookup = spark.range(1, 900).select(F.col("id").cast("int").alias("k"))
+    joined = spread_lookup(facts, lookup, ["k"], "fact", sizes_of(facts), 30_000, "inner", 100)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Join \[k#\d+, _slice#\d+\], \[k#\d+, _slice#\d+\], Inner", plan)
 
 
 def test_duplicate_lookup_rows_multiply(spark):
     facts = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "fact int, k int")
     lookup = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
-    sizes = facts.groupBy("k").agg(F.count(F.lit(1)).alias("_rows"))
-    got = spread_lookup(facts, lookup, ["k"], "fact", sizes, "left", hot_rows=1).collect()
+    got = spread_lookup(facts, lookup, ["k"], "fact", sizes_of(facts), 3, "left", 1).collect()
     assert sorted((row.fact, row.v) for row in got if row.v) == [(1, "a"), (1, "b"), (2, "a"), (2, "b")]
     assert len(got) == 5
 
 
-def test_hot_seller(spark):
+@pytest.mark.parametrize("hot_rows", [None, 10])
+def test_hot_seller(spark, hot_rows):
     plates = spark.range(5_000).select(
         F.col("id").cast("int").alias("plates_id"), F.lit(7).alias("users_id")
     )
     sellers = spark.createDataFrame([(7, "hot")], "users_id int, name string")
-    assert with_seller(plates, sellers, plates).where("name = 'hot'").count() == 5_000
+    listed = with_seller(plates, sellers, plates, 5_000, hot_rows)
+    assert listed.where("name = 'hot'").select("plates_id").distinct().count() == 5_000
 
 
 def test_small_keys(spark):
