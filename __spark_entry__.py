@@ -125,6 +125,12 @@ def _reads() -> dict[str, tuple[Query, str]]:
         suffix = "" if viewer == 0 else f"_viewer_{viewer}"
         search(f"query_explore{suffix}", L.query_explore, replace(BASE, users_id=viewer), "")
 
+    search("query_explore_random", L.query_explore, replace(BASE, sort_by="random", seed=7), "")
+    entries["query_explore_distinct"] = (
+        _listing(L.query_explore, replace(BASE, counts="distinct")),
+        sql.listing(0, "", CEILING, IDS, distinct=True),
+    )
+
     text = replace(
         BASE, search_text_front_number=2, search_text_front_text="ก", search_text_back_number=60
     )
@@ -153,6 +159,13 @@ def _reads() -> dict[str, tuple[Query, str]]:
     )
     search_both("search_number", L.search_number, text, " AND p.back_number = 60", contains)
 
+    entries["page_search_number"] = (
+        _listing(L.search_number, replace(text, limit=20, offset=5, sort_by="priceHighToLow")),
+        sql.both_lists(
+            0, " AND p.back_number = 60", contains, CEILING, IDS, ("priceHighToLow", 20, 5)
+        ),
+    )
+
     def by_pattern(pattern: str) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             tables = derive(spark, sf_dir, *sql.LISTING_TABLES)
@@ -245,7 +258,7 @@ def _operators() -> dict[str, tuple[Query, str]]:
     return {
         "latest_price": (
             _on(*price_views)(latest_price),
-            f"{with_views(*price_views)},\n{sql.CURRENT}\nSELECT plates_id, price_history_id, price,"
+            f"{with_views(*price_views)},\n{sql.current()}\nSELECT plates_id, price_history_id, price,"
             " liked_plates_id_count, saved_plates_id_count,"
             " liked_plates_id_count + saved_plates_id_count AS reacts_count, rownumber FROM current_price",
         ),
@@ -492,6 +505,15 @@ def _changes() -> dict[str, tuple[Query, str]]:
             _on("reaction_log")(lambda log: W.fold_reactions(log, mode="set")),
             sql.fold_reactions(first_only=True),
         ),
+        "fold_store_reactions": (
+            _on("reaction_log")(
+                lambda log: W.fold_reactions(
+                    log.withColumnRenamed("plates_id", "store_id"), target="store_id"
+                )
+            ),
+            "SELECT event_id, users_id, plates_id AS store_id, ts FROM (\n"
+            f"{sql.fold_reactions(first_only=False)}\n) AS folded",
+        ),
         "delete_rows": (
             _on("plates", "delete_requests")(
                 lambda p, d: W.delete_rows(p, "plates_id", d).select("plates_id", "users_id")

@@ -45,7 +45,7 @@ def first_claims(
     """
     keys = list(identity)
     claims = batch.groupBy(*keys).agg(F.min(order).alias(order))
-    taken = existing.select(*keys).distinct().join(claims, keys, "left_semi")
+    taken = existing.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).join(claims, keys, "left_semi")
     return claims.join(taken, keys, "left_anti")
 
 

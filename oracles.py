@@ -23,15 +23,19 @@ LISTING_SELECT = """p.plates_id, p.front_text, p.plates_type_id, p.plates_uri, p
  c.liked_plates_id_count, c.saved_plates_id_count,
  c.liked_plates_id_count + c.saved_plates_id_count AS reacts_count, c.rownumber"""
 
-# The newest price row of each plate, with every like met by every save before counting.
-CURRENT = """newest AS (
+
+
+def current(distinct: bool = False) -> str:
+    """CTEs ending in ``current_price``: every like meets every save before they are counted."""
+    once = "DISTINCT " if distinct else ""
+    return f"""newest AS (
  SELECT h.plates_id, h.price, h.price_history_id,
   ROW_NUMBER() OVER (PARTITION BY h.plates_id ORDER BY h.price_history_id DESC) AS rownumber
  FROM price_history AS h
 ),
 current_price AS (
  SELECT n.plates_id, n.price_history_id, n.price, n.rownumber,
-  COUNT(l.liked_plates_id) AS liked_plates_id_count, COUNT(s.saved_plates_id) AS saved_plates_id_count
+  COUNT({once}l.liked_plates_id) AS liked_plates_id_count, COUNT({once}s.saved_plates_id) AS saved_plates_id_count
  FROM newest AS n
  LEFT JOIN liked_plates AS l ON l.plates_id = n.plates_id
  LEFT JOIN saved_plates AS s ON s.plates_id = n.plates_id
@@ -70,6 +74,7 @@ def listing(
     ids: tuple[int, ...] | None = None,
     views: tuple[str, ...] = (),
     ctes: str = "",
+    distinct: bool = False,
 ) -> str:
     """Unsorted listing; sorting does not change the set of rows."""
     if price_under is not None:
@@ -77,7 +82,7 @@ def listing(
     if ids is not None:
         inside = ", ".join(map(str, ids))
         where = f" AND p.plates_type_id IN ({inside}) AND p.province_id IN ({inside}){where}"
-    head = f"{with_views(*LISTING_TABLES, *views)},\n{CURRENT}{ctes}"
+    head = f"{with_views(*LISTING_TABLES, *views)},\n{current(distinct)}{ctes}"
     return f"{head}\nSELECT {LISTING_SELECT}\n{listing_from(viewer)}{where}"
 
 
@@ -88,17 +93,25 @@ def paged(sql: str, sort_by: str, limit: int, offset: int) -> str:
     )
 
 
-def both_lists(viewer: int, exact: str, suggestion: str, price_under: int, ids: tuple[int, ...]) -> str:
+def both_lists(
+    viewer: int,
+    exact: str,
+    suggestion: str,
+    price_under: int,
+    ids: tuple[int, ...],
+    page: tuple[str, int, int] | None = None,
+) -> str:
+    """Exact and suggested list, each paged by ``page`` = (sort mode, limit, offset) if given."""
     inside = ", ".join(map(str, ids))
     common = (
         f" AND p.plates_type_id IN ({inside}) AND p.province_id IN ({inside})"
         f" AND c.price <= {price_under}"
     )
-    parts = [
-        f"SELECT {LISTING_SELECT}, '{bucket}' AS bucket\n{listing_from(viewer)}{common}{where}"
-        for bucket, where in (("exact", exact), ("suggestion", suggestion))
-    ]
-    return f"{with_views(*LISTING_TABLES)},\n{CURRENT}\n" + "\nUNION ALL\n".join(parts)
+    parts = []
+    for bucket, where in (("exact", exact), ("suggestion", suggestion)):
+        part = f"SELECT {LISTING_SELECT}, '{bucket}' AS bucket\n{listing_from(viewer)}{common}{where}"
+        parts.append(f"SELECT * FROM (\n{paged(part, *page)}\n) AS {bucket}_page" if page else part)
+    return f"{with_views(*LISTING_TABLES)},\n{current()}\n" + "\nUNION ALL\n".join(parts)
 
 
 # -- classifier --------------------------------------------------------------------------------

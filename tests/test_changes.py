@@ -1,5 +1,7 @@
 """Batch jobs against plain loops that handle one request after the other."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +44,21 @@ def test_admission_in_request_order(views):
     assert {status for status, _ in expected.values()} == {"admitted", "conflict"}
 
 
+def test_admission_reuses_one_partitioning(spark, views):
+    """Beyond broadcast size both sides are shuffled once, by the same keys in the same order."""
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        claims = W.first_claims(views["new_plates_batch"], views["plates"], PLATE_IDENTITY, "request_id")
+        plan = claims._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    exchanges = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    assert len(exchanges) == 3  # the batch twice (reused at run time) and the table
+    assert len({re.sub(r"#\d+", "", keys) for keys in exchanges}) == 1
+
+
 def test_admitted_plates_can_be_listed(views):
     decisions = W.admit_new_plates(views["new_plates_batch"], views["plates"])
     added = W.admitted_plates(decisions, now())
