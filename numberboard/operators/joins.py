@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import spread_lookup
+from .skew import HOT_ROWS, RESTRICT_KEYS, spread_lookup
 
 
 def with_plates(latest: DataFrame, plates: DataFrame) -> DataFrame:
@@ -24,18 +24,22 @@ def with_seller(
     plates: DataFrame | None = None,
     plates_count: int = 0,
     hot_rows: int | None = None,
+    max_broadcast: int = RESTRICT_KEYS,
 ) -> DataFrame:
     """Adds the seller's columns; a plate whose seller is gone disappears.
 
     One seller may own a third of all plates. Pass the ``plates`` the listing was made from and
-    their counted number: beyond ``hot_rows`` the plates of hot sellers are split over many tasks.
+    their counted number. Beyond ``hot_rows`` plates the sellers are counted too: up to
+    ``max_broadcast`` of them are broadcast, so the listing is not shuffled at all; with more, the
+    plates of hot sellers are split over many tasks.
     """
-    if plates is None:
+    limit = HOT_ROWS if hot_rows is None else hot_rows
+    if plates is None or plates_count <= limit:
         return df.join(sellers, "users_id")
+    if sellers.count() <= max_broadcast:
+        return df.join(F.broadcast(sellers), "users_id")
     sizes = plates.groupBy("users_id").agg(F.count(F.lit(1)).alias("_rows"))
-    return spread_lookup(
-        df, sellers, ["users_id"], "plates_id", sizes, plates_count, "inner", hot_rows
-    )
+    return spread_lookup(df, sellers, ["users_id"], "plates_id", sizes, plates_count, "inner", limit)
 
 
 def with_pattern(df: DataFrame, members: DataFrame, name: str) -> DataFrame:

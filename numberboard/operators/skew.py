@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 # Below this many rows a key is never worth slicing.
 HOT_ROWS = 1_000_000
-# Most integer keys ever broadcast by ``restrict`` (about 16 MB as a hash table).
+# Most keys (or short rows) broadcast after counting them: about 16 MB of keys as a hash table.
 RESTRICT_KEYS = 500_000
 
 

@@ -26,7 +26,7 @@ from ..functions.text import (
 from ..operators.classify import classify
 from ..operators.latest import latest_by
 from ..operators.numbering import highest, number_rows
-from ..operators.skew import spread_lookup
+from ..operators.skew import RESTRICT_KEYS, spread_lookup
 
 PIN_CAP = 30
 
@@ -243,17 +243,16 @@ def capped_pins(
         .limit(cap)
     )
     place = F.row_number().over(Window.orderBy("request_id"))
-    winners = candidates.withColumn("_place", place).where(F.col("_place") <= slots)
-    # A plate released and pinned again ends up pinned: TRUE is the greater state.
-    changes = (
-        released.unionByName(winners.select("plates_id", F.lit(True).alias("_state")))
-        .groupBy("plates_id")
-        .agg(F.max("_state").alias("_state"))
+    winners = (
+        candidates.withColumn("_place", place)
+        .where(F.col("_place") <= slots)
+        .select("plates_id", F.lit(True).alias("_won"))
     )
+    # At most ``cap`` winners, and a plate released and pinned again ends up pinned.
     return (
-        plates.join(changes, "plates_id", "left")
-        .withColumn("is_pin", F.coalesce("_state", "is_pin"))
-        .drop("_state")
+        plates.join(released, "plates_id", "left")
+        .join(F.broadcast(winners) if cap <= RESTRICT_KEYS else winners, "plates_id", "left")
+        .withColumn("is_pin", F.coalesce("_won", "_state", "is_pin"))
         .select(*plates.columns)
     )
 

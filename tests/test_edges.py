@@ -4,7 +4,7 @@ from dataclasses import replace
 
 import pytest
 
-from numberboard.operators import skew
+from numberboard.operators import joins
 from numberboard.operators.envelope import nest_page
 from numberboard.operators.latest import plate_reactions
 from numberboard.operators.joins import semi_filter
@@ -180,7 +180,8 @@ def test_strategy_does_not_change_rows(monkeypatch, tables, many):
     """Few and many plates take different joins; both give the same listing."""
     if many:
         monkeypatch.setattr(L, "RESTRICT_KEYS", 0)
-        monkeypatch.setattr(skew, "HOT_ROWS", 1)
+        monkeypatch.setattr(joins, "HOT_ROWS", 1)
+        monkeypatch.setattr(joins.with_seller, "__defaults__", (None, 0, None, 0))
     f = replace(BASE, users_id=5, price_under=999, search_text_back_number=60)
     rows = [tuple(row) for row in L.search_number(tables, f).collect()]
     assert len(rows) == 5 and len({row[0] for row in rows}) == 2

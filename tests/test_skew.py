@@ -55,14 +55,20 @@ def test_duplicate_lookup_rows_multiply(spark):
     assert len(got) == 5
 
 
-@pytest.mark.parametrize("hot_rows", [None, 10])
-def test_hot_seller(spark, hot_rows):
+@pytest.mark.parametrize(
+    ("hot_rows", "max_broadcast", "planned"),
+    [(None, 0, "Join [users_id"), (10, 5, "BroadcastHashJoin [users_id"), (10, 0, "_slice")],
+)
+def test_hot_seller(spark, hot_rows, max_broadcast, planned):
+    """Plain, broadcast and split join list the same plates."""
     plates = spark.range(5_000).select(
-        F.col("id").cast("int").alias("plates_id"), F.lit(7).alias("users_id")
+        F.col("id").cast("int").alias("plates_id"),
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("int").alias("users_id"),
     )
-    sellers = spark.createDataFrame([(7, "hot")], "users_id int, name string")
-    listed = with_seller(plates, sellers, plates, 5_000, hot_rows)
-    assert listed.where("name = 'hot'").select("plates_id").distinct().count() == 5_000
+    sellers = plates.where("users_id <> 8").select("users_id", F.lit("known").alias("name")).distinct()
+    listed = with_seller(plates, sellers, plates, 5_000, hot_rows, max_broadcast)
+    assert planned in listed._jdf.queryExecution().executedPlan().toString()
+    assert listed.select("plates_id").distinct().count() == listed.count() == 4_999
 
 
 def test_small_keys(spark):
