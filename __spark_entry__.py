@@ -609,8 +609,20 @@ def _streams() -> dict[str, tuple[Query, str]]:
     }
 
 
-def _all() -> dict[str, tuple[Query, str]]:
-    return {**_reads(), **_operators(), **_tables(), **_changes(), **_streams()}
+def _training_text() -> dict[str, tuple[Query, str | None]]:
+    """Operators on training text and their pipeline, where that subpackage is installed."""
+    try:
+        from corpus_pipeline import ORACLE_SQL, run
+        from numberboard.llm import registry
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("corpus_pipeline", "numberboard.llm"):
+            raise
+        return {}
+    return {**registry.QUERIES, "pipeline": (run, ORACLE_SQL)}
+
+
+def _all() -> dict[str, tuple[Query, str | None]]:
+    return {**_reads(), **_operators(), **_tables(), **_changes(), **_streams(), **_training_text()}
 
 
 def _tuned(query: Query) -> Query:
@@ -632,4 +644,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """The SQL every query is checked against."""
-    return {name: text for name, (_, text) in _all().items()}
+    return {name: text for name, (_, text) in _all().items() if text is not None}

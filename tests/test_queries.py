@@ -1,6 +1,7 @@
 """Every registered query against its SQL, and against the row counts of the fixtures."""
 
 import os
+import re
 
 import pytest
 from compare import connect, differences
@@ -8,7 +9,9 @@ from compare import connect, differences
 from __spark_entry__ import entry, oracle_sql, queries
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = queries(), oracle_sql()
+# Training-text operators have their own tests.
+QUERIES = {name: query for name, query in queries().items() if name != "pipeline" and not re.match(r"op\d+_", name)}
+SQL = {name: text for name, text in oracle_sql().items() if name in QUERIES}
 
 # Rows at sf0.001; a query that silently returns nothing would otherwise agree with its SQL.
 EXPECTED_ROWS = {
