@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from numberboard.llm import oracles, rules, url_filter, warc
+from numberboard.llm import language, oracles, packing, quality, rules, url_filter, warc
 from numberboard.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_redirect_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -24,8 +28,21 @@ def op4_threshold_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_discriminant_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_redirect_url_filter": (op1_redirect_url_filter, oracles.OP1),
+    "op2_ftrl_language": (op2_ftrl_language, None),
     "op3_content_addressed_warc": (op3_content_addressed_warc, oracles.OP3),
     "op4_threshold_rules": (op4_threshold_rules, oracles.OP4),
+    "op5_discriminant_quality": (op5_discriminant_quality, None),
+    "op9_online_packing": (op9_online_packing, None),
 }
