@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import os
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,15 @@ from numberboard.sources.workspace import workspace
 PARTITION_BYTES = 24 << 20
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers of this machine find the package; elsewhere it is installed or sent with ``--py-files``."""
+    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known.get("PYTHONPATH"))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,7 +39,7 @@ def spread(df: DataFrame) -> int:
 
     Follows the size Catalyst states for the plan, so that a part stays as small when the input grows.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     wanted = min(1 << 16, math.ceil(size / PARTITION_BYTES))
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted)
 
@@ -43,7 +52,3 @@ def texts(documents: DataFrame, *more: str) -> DataFrame:
 def crc_share(column: str, parts: int):
     """Remainder of the CRC-32 of an identifier written as text."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
-
-
-def one_of(names: Sequence[str], column):
-    return F.element_at(F.array(*(F.lit(x) for x in names)), column.cast("int") + 1)
