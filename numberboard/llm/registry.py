@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from numberboard.llm import jaccard, language, oracles, packing, quality, rules, url_filter, warc
+from numberboard.llm import jaccard, language, oracles, packing, quality, rules, suffix, url_filter, warc
 from numberboard.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op5_discriminant_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_merged_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.cut_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op3_content_addressed_warc": (op3_content_addressed_warc, oracles.OP3),
     "op4_threshold_rules": (op4_threshold_rules, oracles.OP4),
     "op5_discriminant_quality": (op5_discriminant_quality, None),
+    "op6_merged_suffixes": (op6_merged_suffixes, None),
     "op7_prefix_jaccard": (op7_prefix_jaccard, None),
     "op9_online_packing": (op9_online_packing, None),
 }
