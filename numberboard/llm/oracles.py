@@ -111,3 +111,29 @@ FROM measured
     "de la le et les des en un du une que est pour qui dans par sur au plus pas avec il elle "
     "el los las y del se por con no su para lo como al más o sus le ha me si sin sobre",
 )
+
+OP8 = r"""
+WITH doc AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), token AS (
+    SELECT r, i, words[i] AS c, CASE WHEN i > 1 THEN words[i - 1] END AS b, CASE WHEN i > 2 THEN words[i - 2] END AS a
+    FROM (SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM doc)
+), one AS (
+    SELECT c, count(*) AS n FROM token GROUP BY c
+), two AS (
+    SELECT b, c, count(*) AS n FROM token WHERE b IS NOT NULL GROUP BY b, c
+), three AS (
+    SELECT a, b, c, count(*) AS n FROM token WHERE a IS NOT NULL GROUP BY a, b, c
+), scored AS (
+    SELECT r, CASE WHEN three.n >= 2 THEN ln(three.n / context.n)
+                   WHEN two.n >= 2 THEN ln(two.n / before.n) + CASE WHEN t.a IS NOT NULL THEN ln(0.4) ELSE 0 END
+                   ELSE ln(one.n / (SELECT count(*) FROM token)) + CASE WHEN t.a IS NOT NULL THEN 2 WHEN t.b IS NOT NULL THEN 1 ELSE 0 END * ln(0.4)
+              END AS s
+    FROM token AS t JOIN one ON one.c = t.c LEFT JOIN one AS before ON before.c = t.b
+    LEFT JOIN two ON two.b = t.b AND two.c = t.c LEFT JOIN two AS context ON context.b = t.a AND context.c = t.b
+    LEFT JOIN three ON three.a = t.a AND three.b = t.b AND three.c = t.c
+), total AS (
+    SELECT r, sum(s) AS s FROM scored GROUP BY r
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(round(s, 4), 0.0) AS log_score FROM doc LEFT JOIN total USING (r)
+"""

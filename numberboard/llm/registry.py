@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from numberboard.llm import jaccard, language, oracles, packing, quality, rules, suffix, url_filter, warc
+from numberboard.llm import jaccard, language, oracles, packing, quality, rules, stupid_backoff, suffix, url_filter, warc
 from numberboard.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op7_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stupid_backoff.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,5 +58,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op5_discriminant_quality": (op5_discriminant_quality, None),
     "op6_merged_suffixes": (op6_merged_suffixes, None),
     "op7_prefix_jaccard": (op7_prefix_jaccard, None),
+    "op8_stupid_backoff": (op8_stupid_backoff, oracles.OP8),
     "op9_online_packing": (op9_online_packing, None),
 }
