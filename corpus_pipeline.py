@@ -4,10 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from numberboard.llm.frames import table, written
+from numberboard.llm import decontaminate, jaccard, packing, quality, suffix
+from numberboard.llm.frames import importable, table, written
+from numberboard.llm.registry import tokenizer
 
-STAGES: list = []
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject; fitted on labels of these documents."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the least id."""
+    importable(spark)
+    return jaccard.one_of_each(docs)
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that are found elsewhere too."""
+    importable(spark)
+    return suffix.without_repeats(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents into which no benchmark item leaked."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces in sequences."""
+    importable(spark)
+    return packing.pack_documents(docs, tokenizer())
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicates_stage),
+    ("repeats", repeats_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+#: Classifier, retrieval and packing have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

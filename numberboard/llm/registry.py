@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from numberboard.llm import jaccard, language, oracles, packing, quality, rules, stupid_backoff, suffix, url_filter, warc
+from numberboard.llm import decontaminate, jaccard, language, oracles, packing, quality, rules, stupid_backoff, suffix, url_filter, warc
 from numberboard.llm.frames import table
 
+#: File of the tokenizer that ``op9`` packs with.
+TOKENIZER = "byte_bpe_50k.json"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
 def op1_redirect_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_pages(table(spark, sf_dir, "pages"))
 
@@ -45,9 +53,11 @@ def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer())
+
 
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
@@ -60,4 +70,5 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op7_prefix_jaccard": (op7_prefix_jaccard, None),
     "op8_stupid_backoff": (op8_stupid_backoff, oracles.OP8),
     "op9_online_packing": (op9_online_packing, None),
+    "op10_latent_decontamination": (op10_latent_decontamination, None),
 }

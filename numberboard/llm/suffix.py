@@ -58,6 +58,7 @@ ENTRY = np.dtype(
 BLOCKS_SCHEMA = "part int, block binary"
 ANCHORS_SCHEMA = "doc_id long, mark int, at int, back int, ahead int, certain boolean, sorts boolean"
 RANGES_SCHEMA = "doc_id long, mark int, first int, last int, one long, two long"
+LEFT_SCHEMA = "doc_id long, mark int, left string"
 CUT_SCHEMA = "doc_id long, mark int, kept binary, n_removed long, n_spans long"
 
 
@@ -117,11 +118,15 @@ def _rows(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
 
 
+def _key(doc_id, text) -> list:
+    """doc_id and mark, which tells rows of one id apart by their text."""
+    mark = F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).bitwiseAND(0x7FFFFFFF).cast("int")
+    return [doc_id.cast("long").alias("doc_id"), mark.alias("mark")]
+
+
 def _named(documents: DataFrame) -> DataFrame:
-    """doc_id, mark (tells rows of one id apart by their text), text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    mark = F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int")
-    return texts(documents).select("doc_id", mark.alias("mark"), text.alias("text"))
+    whole = texts(documents)
+    return whole.select(*_key(F.col("doc_id"), F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _combined(entries: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -527,3 +532,24 @@ def cut_repeats(documents: DataFrame) -> DataFrame:
         F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
         F.coalesce("kept", "all").alias("kept_sha256"),
     )
+
+
+def without_repeats(documents: DataFrame) -> DataFrame:
+    """The documents without their repeated bytes, with all their columns; n_chars follows the text.
+
+    A character of which only a part is cut goes whole. A document may lose all of its text and stays.
+    """
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = [b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
+            yield _rows(LEFT_SCHEMA, batch.column("doc_id"), batch.column("mark"), left)
+
+    left = written(_cut_texts(documents).mapInArrow(decode, LEFT_SCHEMA), "suffix-left")
+    rows = documents.select(F.struct("*").alias("row"), *_key(F.col("doc_id"), F.col("text")))
+    text = F.coalesce("left", "row.text")
+    columns = {c: F.col("row")[c] for c in documents.columns} | {"text": text}
+    if "n_chars" in columns:
+        kind = documents.schema["n_chars"].dataType
+        columns["n_chars"] = F.when(F.col("left").isNull(), F.col("row.n_chars")).otherwise(F.length("left").cast(kind))
+    return _joined(rows, left).select(*(x.alias(c) for c, x in columns.items()))
