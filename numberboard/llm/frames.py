@@ -13,6 +13,8 @@ from numberboard.sources.workspace import workspace
 
 #: Bytes of table rows that one shuffle partition should get.
 PARTITION_BYTES = 24 << 20
+#: Catalyst's estimates from here on stand for "unknown".
+UNKNOWN_BYTES = 1 << 53
 
 
 def importable(spark: SparkSession) -> None:
@@ -37,11 +39,12 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 def spread(df: DataFrame) -> int:
     """How many parts the tasks that read ``df`` should deal their blocks to.
 
-    Follows the size Catalyst states for the plan, so that a part stays as small when the input grows.
+    Follows the size that Catalyst states for a table, so that a part stays as small when the input
+    grows; the session's shuffle partitions where the size is unknown, as of rows made in the driver.
     """
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    wanted = min(1 << 16, math.ceil(size / PARTITION_BYTES))
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted)
+    wanted = math.ceil(size / PARTITION_BYTES) if size < UNKNOWN_BYTES else 0
+    return min(1 << 16, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted))
 
 
 def texts(documents: DataFrame, *more: str) -> DataFrame:

@@ -123,12 +123,13 @@ def judge_urls(urls: DataFrame, links: DataFrame, rules: DataFrame) -> DataFrame
     members = groups.select("component", member["host"].alias("host"), member["path"].alias("path"))
     ruled = written(longest_rule(keyed.select("host", "path").union(members.select("host", "path")), rules), "url-rules")
     decided = (
-        members.join(ruled, ["host", "path"])
+        members.join(ruled.hint("merge"), ["host", "path"])
         .groupBy("component")
         .agg(F.when(F.max(F.col("own") == "allow"), "allow").otherwise("block").alias("passed"))
     )
     passed = groups.join(decided, "component").select(F.col("id").alias("node"), "passed")
-    judged = keyed.join(ruled, ["host", "path"], "left").join(passed, "node", "left")
+    # Both sides grow with the urls; their files are small for their rows, so their size tells nothing.
+    judged = keyed.join(ruled.hint("merge"), ["host", "path"], "left").join(passed.hint("merge"), "node", "left")
     return judged.select("row.*", "host", "path", "rule", F.coalesce("own", "passed", F.lit("allow")).alias("verdict"))
 
 
