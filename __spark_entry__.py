@@ -168,8 +168,9 @@ def _reads() -> dict[str, tuple[Query, str]]:
 
     def by_pattern(pattern: str) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            tables = derive(spark, sf_dir, *sql.LISTING_TABLES)
-            tables["plate_patterns"] = C.members_of(tables["plates"], pattern)
+            tables, root = derive(spark, sf_dir, *sql.LISTING_TABLES), workspace(spark, "plate_patterns")
+            W.rebuild_patterns(tables["plates"], root, _now())
+            tables["plate_patterns"] = TB.pattern_members(spark, root, pattern)
             return L.query_pattern(tables, replace(BASE, pattern=pattern))
 
         return run
@@ -396,12 +397,12 @@ def _tables() -> dict[str, tuple[Query, str]]:
 
     def rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = workspace(spark, "plate_patterns")
-        W.rebuild_patterns(derive(spark, sf_dir, "plates")["plates"], path)
-        return spark.read.schema(TB.SCHEMAS["plate_patterns"]).parquet(path)
+        W.rebuild_patterns(derive(spark, sf_dir, "plates")["plates"], path, _now())
+        return TB.current(spark, path, "plate_patterns")
 
     def stored_members(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = workspace(spark, "plate_patterns")
-        W.rebuild_patterns(derive(spark, sf_dir, "plates")["plates"], path)
+        W.rebuild_patterns(derive(spark, sf_dir, "plates")["plates"], path, _now())
         return TB.pattern_members(spark, path, "pattern_rakhang")
 
     def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -420,17 +421,17 @@ def _tables() -> dict[str, tuple[Query, str]]:
         grown = W.append_prices(stored, tables["price_requests"], _now())
         root = workspace(spark, "grown")
         TB.publish(grown, root)
-        return current_price(TB.current(spark, root))
+        return current_price(TB.current(spark, root, "price_history"))
 
     def published(spark: SparkSession, sf_dir: str) -> DataFrame:
         root = workspace(spark, "plates")
         tables = derive(spark, sf_dir, "plates", "delete_requests", "plate_edits")
         TB.publish(tables["plates"], root)
-        kept = W.delete_rows(TB.current(spark, root), "plates_id", tables["delete_requests"])
+        kept = W.delete_rows(TB.current(spark, root, "plates"), "plates_id", tables["delete_requests"])
         TB.publish(kept, root)
-        return TB.current(spark, root).select("plates_id", "total", "is_selling")
+        return TB.current(spark, root, "plates").select("plates_id", "total", "is_selling")
 
-    member_sql = f"{with_views('plates')},\n{sql.members('plates')}\nSELECT plates_id, pattern, add_date FROM members"
+    member_sql = f"{with_views('plates')},\n{sql.members('plates')}\nSELECT plates_id, pattern, TIMESTAMP '2024-06-01 00:00:00' AS add_date FROM members"
     return {
         "rebuild_patterns": (rebuild, member_sql),
         "pattern_members": (stored_members, f"{member_sql} WHERE pattern = 'pattern_rakhang'"),
@@ -543,7 +544,14 @@ def _changes() -> dict[str, tuple[Query, str]]:
             _on("new_plates_hashtag", "plates_hashtag")(W.admit_plate_hashtags),
             sql.admit_plate_hashtags(),
         ),
-        "append_hashtags": (_on("hashtag", "hashtag_requests")(W.append_hashtags), sql.append_hashtags()),
+        "admitted_plate_hashtags": (
+            _on("new_plates_hashtag", "plates_hashtag")(W.admitted_plate_hashtags),
+            sql.admitted_plate_hashtags(),
+        ),
+        "append_hashtags": (
+            _on("hashtag", "hashtag_requests")(lambda h, r: W.append_hashtags(h, r, _now())),
+            sql.append_hashtags(),
+        ),
         "request_transfers": (
             _on("transfer_plates", "transfer_requests")(W.request_transfers),
             sql.request_transfers(),
@@ -559,6 +567,14 @@ def _changes() -> dict[str, tuple[Query, str]]:
             sql.apply_transfers(),
         ),
         "admit_signups": (_on("signup_batch", "users")(W.admit_signups), sql.admit_signups()),
+        "admitted_users": (
+            _on("signup_batch", "users")(lambda b, u: W.admitted_users(W.admit_signups(b, u), _now())),
+            sql.admitted_users(),
+        ),
+        "admitted_plates": (
+            _on("new_plates_batch", "plates")(lambda b, p: W.admitted_plates(W.admit_new_plates(b, p), _now())),
+            sql.admitted_plates(),
+        ),
         "match_verifications": (
             _on("verification_attempt", "verification")(W.match_verifications),
             sql.match_verifications(),

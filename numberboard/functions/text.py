@@ -49,7 +49,7 @@ _EDGE = r"[A-Za-z0-9\x{80}-\x{10FFFF}]"
 _LABEL = rf"{_EDGE}([A-Za-z0-9\x{{80}}-\x{{10FFFF}}-]{{0,61}}{_EDGE})?"
 _DOMAIN = rf"({_LABEL}(\.{_LABEL})*|\[[^\[\]\\]+\])"
 _EMAIL = f"^{_LOCAL}@{_DOMAIN}$"
-_LOCAL_LENGTH, _DOMAIN_LENGTH = 64, 254
+_LOCAL_LENGTH, _DOMAIN_LENGTH, _LABEL_LENGTH = 64, 254, 63
 
 
 def email_shape_ok(column: Column | str) -> Column:
@@ -62,8 +62,9 @@ def email_shape_ok(column: Column | str) -> Column:
     domain = F.substring_index(value, "@", -1)
     return F.coalesce(
         value.rlike(_EMAIL)
-        & (F.length(local) <= _LOCAL_LENGTH)
-        & (F.length(domain) <= _DOMAIN_LENGTH),
+        & (F.octet_length(local) <= _LOCAL_LENGTH)
+        & (F.octet_length(domain) <= _DOMAIN_LENGTH)
+        & ~F.exists(F.split(domain, r"\."), lambda label: (F.octet_length(label) > _LABEL_LENGTH) & ~label.startswith("[")),
         F.lit(False),
     )
 

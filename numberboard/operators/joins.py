@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import HOT_ROWS, RESTRICT_KEYS, spread_lookup
+from .skew import HOT_ROWS, spread_lookup
 
 
 def with_plates(latest: DataFrame, plates: DataFrame) -> DataFrame:
@@ -18,28 +18,14 @@ def with_plates(latest: DataFrame, plates: DataFrame) -> DataFrame:
 SELLER_COLUMNS = ("users_id", "name", "profile_uri")
 
 
-def with_seller(
-    df: DataFrame,
-    sellers: DataFrame,
-    plates: DataFrame | None = None,
-    plates_count: int = 0,
-    hot_rows: int | None = None,
-    max_broadcast: int = RESTRICT_KEYS,
-) -> DataFrame:
+def with_seller(df: DataFrame, sellers: DataFrame, plates: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds the seller's columns; a plate whose seller is gone disappears.
 
-    One seller may own a third of all plates. Pass the ``plates`` the listing was made from and
-    their counted number. Beyond ``hot_rows`` plates the sellers are counted too: up to
-    ``max_broadcast`` of them are broadcast, so the listing is not shuffled at all; with more, the
-    plates of hot sellers are split over many tasks.
+    One seller may own a third of all plates: ``plates``, the plates the listing was made from, tell
+    how many each has, and the plates of hot sellers are split over many tasks.
     """
-    limit = HOT_ROWS if hot_rows is None else hot_rows
-    if plates is None or plates_count <= limit:
-        return df.join(sellers, "users_id")
-    if sellers.count() <= max_broadcast:
-        return df.join(F.broadcast(sellers), "users_id")
     sizes = plates.groupBy("users_id").agg(F.count(F.lit(1)).alias("_rows"))
-    return spread_lookup(df, sellers, ["users_id"], "plates_id", sizes, plates_count, "inner", limit)
+    return spread_lookup(df, sellers, ["users_id"], "plates_id", sizes, "inner", hot_rows)
 
 
 def with_pattern(df: DataFrame, members: DataFrame, name: str) -> DataFrame:
@@ -70,11 +56,5 @@ def with_viewer_store(df: DataFrame, liked: DataFrame, saved: DataFrame, viewer:
 
 
 def semi_filter(df: DataFrame, column: str, ids: Sequence[int]) -> DataFrame:
-    """Rows whose column is in the list; an empty list matches nothing. Long lists become a semi join."""
-    unique = sorted(set(ids))
-    if not unique:
-        return df.where(F.lit(False))
-    if len(unique) <= 1000:
-        return df.where(F.col(column).isin(unique))
-    wanted = df.sparkSession.createDataFrame([(value,) for value in unique], f"{column} int")
-    return df.join(wanted, column, "left_semi")
+    """Rows whose column is in the caller's list; an empty list matches nothing."""
+    return df.where(F.col(column).isin(sorted(set(ids)))) if ids else df.where(F.lit(False))

@@ -1,12 +1,8 @@
-"""Joins and filters that stay balanced when one key holds a large part of all rows.
+"""Joins that stay balanced when one key holds a large part of all rows.
 
-Two rules are followed everywhere in this package:
-
-* a side is only broadcast when its size is proven (at most ``HOT_SHARE`` rows here) or has been
-  counted first (``restrict``); otherwise Catalyst and AQE choose from their own size checks;
-* rows are aggregated per key before they are shuffled into a join, so a hot key arrives as one row
-  per map task. Where raw rows must meet a per-key value, ``spread_lookup`` cuts the hot keys into
-  slices.
+Rows are aggregated per key before they are shuffled into a join, so a hot key arrives as one row per
+map task. Where raw rows must meet a per-key value, ``spread_lookup`` cuts the hot keys into slices.
+Nothing is counted while a plan is built: the same plan serves every size.
 """
 
 from __future__ import annotations
@@ -20,33 +16,20 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 # Below this many rows a key is never worth slicing.
 HOT_ROWS = 1_000_000
-# Most keys (or short rows) broadcast after counting them: about 16 MB of keys as a hash table.
-RESTRICT_KEYS = 500_000
-
 
-def restrict(df: DataFrame, keys: DataFrame | None, on: str) -> DataFrame:
-    """Keep the rows of ``df`` whose key is in ``keys``; no-op for None.
 
-    Only for keys counted to be at most ``RESTRICT_KEYS``: they are broadcast.
-    """
-    if keys is None:
-        return df
-    return df.join(F.broadcast(keys.select(on)), on, "left_semi")
+def keep_keys(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows of ``df`` whose key is in ``keys``. Put it below an aggregation: Catalyst and AQE pick the join."""
+    return df.join(keys.select(on), on, "left_semi")
 
 
-def small_keys(keys: DataFrame, on: str, max_keys: int = RESTRICT_KEYS) -> DataFrame | None:
-    """``keys`` if they are few enough to broadcast, else None.
+def hot_keys(sizes: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than 1/HOT_SHARE of all rows, and than ``hot_rows``, with the slices (``_slices``) they need.
 
-    The check is one count over the pruned key scan. With few keys the tables they restrict drop
-    nearly all rows before their shuffle; with many, those tables are aggregated first and joined
-    by key instead, which gives the same rows.
+    ``sizes`` has one row per key: the key and ``_rows``.
     """
-    wanted = keys.select(on)
-    return wanted if wanted.count() <= max_keys else None
-
-
-def hot_keys(sizes: DataFrame, on: Sequence[str], slice_rows: int) -> DataFrame:
-    """Keys with more than ``slice_rows`` rows and the number of slices (``_slices``) they need."""
+    total = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0))).scalar()
+    slice_rows = F.greatest(F.floor(total / HOT_SHARE), F.lit(hot_rows))
     return sizes.where(F.col("_rows") > slice_rows).select(
         *on, F.ceil(F.col("_rows") / slice_rows).cast("int").alias("_slices")
     )
@@ -58,24 +41,18 @@ def spread_lookup(
     on: Sequence[str],
     spread_by: str,
     sizes: DataFrame,
-    total: int,
     how: str = "left",
-    hot_rows: int | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join raw ``facts`` to the few ``lookup`` rows of their key without one task getting a hot key.
 
-    ``total`` is the counted number of fact rows (or an upper bound), and ``sizes`` has one row per
-    key: the key and ``_rows``, its share of them. Up to ``hot_rows`` rows in all this is a plain
-    join. Otherwise keys above 1/HOT_SHARE of the total are cut into slices of about that share:
-    their facts are spread by a hash of ``spread_by`` (a unique column, so a retried task repeats
-    the same slice) and their lookup rows are repeated once per slice. Fewer than HOT_SHARE keys can
-    be hot, so the list of hot keys is safe to broadcast; when it is empty AQE drops its joins.
+    The facts of hot keys (``hot_keys`` of ``sizes``) are cut into slices by a hash of ``spread_by``
+    (a unique column, so a retried task repeats the same slice) and their lookup rows are repeated
+    once per slice. Fewer than HOT_SHARE keys can be hot, so the list of hot keys is safe to
+    broadcast; when it is empty AQE drops its joins.
     """
     on = list(on)
-    slice_rows = max(total // HOT_SHARE, HOT_ROWS if hot_rows is None else hot_rows)
-    if total <= slice_rows:
-        return facts.join(lookup, on, how)
-    hot = F.broadcast(hot_keys(sizes, on, slice_rows))
+    hot = F.broadcast(hot_keys(sizes, on, hot_rows))
     slices = F.coalesce("_slices", F.lit(1))
     sliced_facts = (
         facts.join(hot, on, "left")

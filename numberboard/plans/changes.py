@@ -26,7 +26,8 @@ from ..functions.text import (
 from ..operators.classify import classify
 from ..operators.latest import latest_by
 from ..operators.numbering import highest, number_rows
-from ..operators.skew import RESTRICT_KEYS, spread_lookup
+from ..operators.skew import HOT_ROWS, spread_lookup
+from ..sources.tables import publish
 
 PIN_CAP = 30
 
@@ -107,11 +108,45 @@ def new_plate_patterns(decisions: DataFrame, now: Column) -> DataFrame:
 
 
 def admit_plate_hashtags(batch: DataFrame, plates_hashtag: DataFrame) -> DataFrame:
-    """First request (by ``seq``, then ``add_date``) of every new plate-hashtag pair."""
+    """First request (by ``seq``, then ``add_date``) of every new plate-hashtag pair.
+
+    Two steps with fixed-width buffers, so both stay hash aggregates: the earliest date of each
+    request place, then the first place with its date.
+    """
     pair = ["plates_id", "hashtag_id"]
-    requests = batch.withColumn("_request", F.struct("seq", "add_date"))
-    return first_claims(requests, plates_hashtag, pair, "_request").select(
-        *pair, "_request.seq", "_request.add_date", hashtag_identity().alias("unique_text")
+    dated = batch.groupBy(*pair, "seq").agg(F.min("add_date").alias("add_date"))
+    claims = dated.groupBy(*pair).agg(F.min("seq").alias("seq"), F.min_by("add_date", "seq").alias("add_date"))
+    taken = plates_hashtag.groupBy(*pair).agg(F.count(F.lit(1)).alias("_rows")).join(claims, pair, "left_semi")
+    return claims.join(taken, pair, "left_anti").select(
+        *pair, "seq", "add_date", hashtag_identity().alias("unique_text")
+    )
+
+
+def admitted_plate_hashtags(batch: DataFrame, plates_hashtag: DataFrame) -> DataFrame:
+    """The admitted pairs as rows of the table, ids after the highest one in (plate, hashtag) order."""
+    admitted = admit_plate_hashtags(batch, plates_hashtag)
+    key = F.col("plates_id").cast("long") * F.lit(1 << 32) + F.col("hashtag_id")
+    return number_rows(admitted.withColumn("_pair", key), "_pair").select(
+        (highest(plates_hashtag, "plates_hashtag_id") + F.col("ordinal")).cast("int").alias("plates_hashtag_id"),
+        "plates_id",
+        "hashtag_id",
+        "add_date",
+        "unique_text",
+    )
+
+
+def admitted_users(decisions: DataFrame, now: Column) -> DataFrame:
+    """The admitted signups as user rows: the instant counts as creation and as first sign-in."""
+    empty = F.lit(None).cast("string")
+    return decisions.where(F.col("status") == "admitted").select(
+        "users_id",
+        "name",
+        "email",
+        now.alias("created_date"),
+        now.alias("latest_sign_in"),
+        empty.alias("profile_uri"),
+        empty.alias("cover_uri"),
+        empty.alias("information"),
     )
 
 
@@ -167,12 +202,14 @@ def append_prices(price_history: DataFrame, batch: DataFrame, now: Column) -> Da
     return price_history.unionByName(added)
 
 
-def append_hashtags(hashtag: DataFrame, batch: DataFrame) -> DataFrame:
+def append_hashtags(hashtag: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
     """Tags with the batch's tags added; equal tags are allowed."""
     added = number_rows(batch, "request_id").select(
-        (highest(hashtag, "hashtag_id") + F.col("ordinal")).cast("int").alias("hashtag_id"), "tag"
+        (highest(hashtag, "hashtag_id") + F.col("ordinal")).cast("int").alias("hashtag_id"),
+        "tag",
+        now.alias("add_date"),
     )
-    return hashtag.select("hashtag_id", "tag").unionByName(added)
+    return hashtag.unionByName(added)
 
 
 def request_transfers(transfers: DataFrame, batch: DataFrame) -> DataFrame:
@@ -251,7 +288,7 @@ def capped_pins(
     # At most ``cap`` winners, and a plate released and pinned again ends up pinned.
     return (
         plates.join(released, "plates_id", "left")
-        .join(F.broadcast(winners) if cap <= RESTRICT_KEYS else winners, "plates_id", "left")
+        .join(winners, "plates_id", "left")
         .withColumn("is_pin", F.coalesce("_won", "_state", "is_pin"))
         .select(*plates.columns)
     )
@@ -263,8 +300,8 @@ def delete_rows(table: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 
 
 def accept_transfers(transfers: DataFrame, accepts: DataFrame) -> DataFrame:
-    """Transfers with the accepted ones marked; accepting again moves the date on."""
-    last = accepts.groupBy("transfer_plates_id").agg(F.max("received_date").alias("_accepted"))
+    """Transfers with the accepted ones marked; of several requests the last one sets the date."""
+    last = accepts.groupBy("transfer_plates_id").agg(F.max_by("received_date", "request_id").alias("_accepted"))
     accepted = F.col("_accepted").isNotNull()
     return (
         transfers.join(last, "transfer_plates_id", "left")
@@ -298,7 +335,7 @@ def fold_reactions(
     target: str = "plates_id",
     order: str = "event_id",
     mode: str = "rows",
-    hot_rows: int | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Reaction rows left after a log of adds and removes.
 
@@ -316,7 +353,7 @@ def fold_reactions(
     lookup = per_key.select(*key, "_last_remove")
     sizes = per_key.select(*key, "_rows")
     survivors = (
-        spread_lookup(adds, lookup, key, order, sizes, log.count(), "inner", hot_rows)
+        spread_lookup(adds, lookup, key, order, sizes, "inner", hot_rows)
         .where(F.col("_last_remove").isNull() | (F.col(order) > F.col("_last_remove")))
         .select(*adds.columns)
     )
@@ -392,7 +429,7 @@ def replaced_media(
     plates: DataFrame,
     requests: DataFrame,
     prefixes: Mapping[str, str] = MEDIA_PREFIXES,
-    hot_rows: int | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Object keys the requests have replaced, for clean-up: (field, id, object_key).
 
@@ -413,7 +450,6 @@ def replaced_media(
         ["field", "id"],
         "request_id",
         per_row.select("field", "id", "_rows"),
-        routed.count(),
         "inner",
         hot_rows,
     ).where(F.col("request_id") < F.col("_last"))
@@ -423,12 +459,11 @@ def replaced_media(
 # -- classification ----------------------------------------------------------------------------
 
 
-def rebuild_patterns(plates: DataFrame, path: str, now: Column | None = None) -> None:
-    """Classify the whole catalogue into a table partitioned by pattern.
+def rebuild_patterns(plates: DataFrame, root: str, now: Column | None = None) -> int:
+    """Classify the whole catalogue into the next version of a published table partitioned by pattern.
 
-    The memberships are rebalanced by pattern, so AQE cuts a pattern that holds a large share of
-    them into several files and packs rare ones together.
+    Readers keep the version before until the new one is complete. The memberships are rebalanced by
+    pattern, so AQE cuts a pattern that holds a large share of them into several files and packs rare
+    ones together.
     """
-    classify(plates, now).hint("rebalance", "pattern").write.mode("overwrite").partitionBy(
-        "pattern"
-    ).parquet(path)
+    return publish(classify(plates, now).hint("rebalance", "pattern"), root, "pattern")

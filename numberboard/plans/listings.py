@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
@@ -24,9 +24,9 @@ from ..operators.joins import (
     with_viewer_store,
 )
 from ..operators.latest import is_latest, latest_price
-from ..operators.ordering import order_by, page
+from ..operators.ordering import TIE_BREAK, order_by, page, sort_key
 from ..operators.projection import listing_columns
-from ..operators.skew import RESTRICT_KEYS, restrict
+from ..operators.skew import keep_keys
 from ..params import PlatesFilter, UsersFilter
 
 Tables = Mapping[str, DataFrame]
@@ -37,27 +37,18 @@ def spine(
     viewer: int,
     plates: DataFrame,
     *,
-    selective: bool = False,
     single: bool = False,
     price_under: int | None = None,
     counts: str = "fanout",
 ) -> DataFrame:
     """Listing of the given plates, unsorted and with the base columns still in place.
 
-    The plates are counted first, one pass over the columns their conditions use, and the count
-    decides the rest. Few plates of a ``selective`` search: their ids are broadcast, so the price,
-    like and save tables drop all other rows before their shuffle. Many plates: those tables are
-    reduced to one row per plate before they are joined, and hot sellers are split over many tasks.
+    The price, like and save tables keep only the plates' rows before they are reduced to one row
+    per plate; how, is for Catalyst and AQE to choose. Hot sellers are split over many tasks.
     ``single`` promises at most one plate, with the tables already cut down to it.
     """
-    expected = 1 if single else plates.count()
-    keys = plates if selective and expected <= RESTRICT_KEYS else None
-    latest = latest_price(
-        restrict(tables["price_history"], keys, "plates_id"),
-        restrict(tables["liked_plates"], keys, "plates_id"),
-        restrict(tables["saved_plates"], keys, "plates_id"),
-        counts,
-    )
+    raw = [tables[name] for name in ("price_history", "liked_plates", "saved_plates")]
+    latest = latest_price(*(raw if single else [keep_keys(df, plates, "plates_id") for df in raw]), counts)
     # The plates_id joins share one partitioning; only the seller join needs another.
     df = with_plates(latest, plates).where(is_latest())
     if price_under is not None:
@@ -66,7 +57,7 @@ def spine(
     sellers = with_viewer_store(
         tables["users"].select(*SELLER_COLUMNS), tables["liked_store"], tables["saved_store"], viewer
     )
-    return with_seller(df, sellers, plates, expected)
+    return df.join(sellers, "users_id") if single else with_seller(df, sellers, plates)
 
 
 def sellable_plates(tables: Tables, *conditions: Column) -> DataFrame:
@@ -80,15 +71,8 @@ def _common(f: PlatesFilter) -> list[Column]:
     return [P.type_in(f.plates_type_id_list), P.province_in(f.province_id_list)]
 
 
-def _listing(tables: Tables, f: PlatesFilter, plates: DataFrame, selective: bool) -> DataFrame:
-    return spine(
-        tables,
-        f.users_id,
-        plates,
-        selective=selective,
-        price_under=f.price_under,
-        counts=f.counts,
-    )
+def _listing(tables: Tables, f: PlatesFilter, plates: DataFrame) -> DataFrame:
+    return spine(tables, f.users_id, plates, price_under=f.price_under, counts=f.counts)
 
 
 def _sorted_page(df: DataFrame, f: PlatesFilter) -> DataFrame:
@@ -96,11 +80,9 @@ def _sorted_page(df: DataFrame, f: PlatesFilter) -> DataFrame:
     return page(ordered, f.limit, f.offset)
 
 
-def _search(
-    tables: Tables, f: PlatesFilter, *conditions: Column, selective: bool = False
-) -> DataFrame:
+def _search(tables: Tables, f: PlatesFilter, *conditions: Column) -> DataFrame:
     plates = sellable_plates(tables, *_common(f), *conditions)
-    return _sorted_page(_listing(tables, f, plates, selective), f).select(*listing_columns())
+    return _sorted_page(_listing(tables, f, plates), f).select(*listing_columns())
 
 
 def _search_both(
@@ -108,7 +90,7 @@ def _search_both(
 ) -> DataFrame:
     """Exact and suggested list. Every exact row is also a suggestion, so one spine serves both."""
     plates = sellable_plates(tables, *_common(f), *conditions, suggestion)
-    suggested = _listing(tables, f, plates, selective=True)
+    suggested = _listing(tables, f, plates)
     if f.limit is None and not f.offset:
         ordered = suggested.orderBy(*order_by(f.sort_by, f.seed))
         tagged = tag_contained(ordered, exact)
@@ -130,7 +112,7 @@ def query_pattern(tables: Tables, f: PlatesFilter) -> DataFrame:
     plates = with_pattern(
         sellable_plates(tables, *_common(f)), tables["plate_patterns"], f.pattern
     )
-    return _sorted_page(_listing(tables, f, plates, selective=True), f).select(*listing_columns())
+    return _sorted_page(_listing(tables, f, plates), f).select(*listing_columns())
 
 
 def query_plates_type_province(tables: Tables, f: PlatesFilter) -> DataFrame:
@@ -219,7 +201,9 @@ def query_plates_info(
 
 def _store_plates(tables: Tables, f: UsersFilter, pin_state: Column) -> DataFrame:
     plates = sellable_plates(tables, P.seller_is(f.store_id), pin_state)
-    df = spine(tables, f.users_id, plates, selective=True, counts=f.counts)
+    own = {name: tables[name].where(F.col("store_id") == f.store_id) for name in ("liked_store", "saved_store")}
+    narrowed = {**tables, **own, "users": tables["users"].where(P.seller_is(f.store_id))}
+    df = spine(narrowed, f.users_id, plates, counts=f.counts)
     return page(df.orderBy(*order_by("addDate")), f.limit, f.offset).select(*listing_columns())
 
 
@@ -232,18 +216,19 @@ def query_users_plates_unpin(tables: Tables, f: UsersFilter) -> DataFrame:
 
 
 def sort_modes(tables: Tables, f: PlatesFilter, modes: tuple[str, ...]) -> DataFrame:
-    """Row position of every explored plate under each sort mode, numbered per mode.
+    """A page (``f.limit`` rows from ``f.offset`` on) of the explored plates under each sort mode.
 
-    For comparing modes on a page (``f.limit`` rows per mode); each mode is its own top-k.
+    One spine: its rows are numbered per mode, and each task keeps only the rows that can be on a page.
     """
-    base = _listing(tables, f, sellable_plates(tables, *_common(f)), selective=False)
-    parts = [
-        page(base.orderBy(*order_by(mode, f.seed)), f.limit, f.offset)
-        .select(*listing_columns())
-        .withColumn("sort_by", F.lit(mode))
-        for mode in modes
-    ]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    return merged
+    rows = _listing(tables, f, sellable_plates(tables, *_common(f)))
+    keys = []
+    for mode in modes:
+        nulls, value = sort_key(mode, f.seed)
+        keys.append(F.struct(F.lit(mode).alias("sort_by"), nulls.alias("_nulls"), value.alias("_value")))
+    ranked = rows.withColumn("_key", F.explode(F.array(*keys)))
+    ties = [F.col(name).asc_nulls_last() for name in TIE_BREAK]
+    place = F.row_number().over(Window.partitionBy("_key.sort_by").orderBy("_key._nulls", "_key._value", *ties))
+    ranked = ranked.withColumn("_place", place)
+    if f.limit is not None:
+        ranked = ranked.where(F.col("_place") <= f.offset + f.limit)
+    return ranked.where(F.col("_place") > f.offset).select(*listing_columns(), "_key.sort_by")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..operators.joins import with_viewer_store
 from ..operators.projection import store_columns
-from ..operators.skew import restrict, small_keys
+from ..operators.skew import keep_keys
 from ..operators.stores import store_totals
 from ..params import UsersFilter
 
@@ -20,10 +20,9 @@ Tables = Mapping[str, DataFrame]
 def _store_rows(
     tables: Tables, f: UsersFilter, plates: DataFrame, users: DataFrame, narrowed: Tables
 ) -> DataFrame:
-    keys = small_keys(plates, "plates_id")
     totals = store_totals(
         plates,
-        restrict(tables["price_history"], keys, "plates_id"),
+        keep_keys(tables["price_history"], plates, "plates_id"),
         narrowed["rating"],
         narrowed["liked_store"],
         narrowed["saved_store"],
@@ -38,12 +37,10 @@ def _store_rows(
 def search_users_info(tables: Tables, f: UsersFilter) -> DataFrame:
     """Stores whose name contains the text and that have a priced sellable plate.
 
-    The two page fields are not applied. Plates are cut down to the matching sellers first when
-    those are few; otherwise all sellers are totalled and the name decides at the end.
+    The two page fields are not applied. Plates are cut down to the matching sellers first.
     """
     users = tables["users"].where(P.seller_name_contains(f.search_text, f.wildcards))
-    sellers = small_keys(users, "users_id")
-    plates = restrict(tables["plates"].where(P.is_sellable()), sellers, "users_id")
+    plates = keep_keys(tables["plates"].where(P.is_sellable()), users, "users_id")
     return _store_rows(tables, f, plates, users, tables)
 
 

@@ -30,7 +30,7 @@ SCHEMAS: dict[str, T.StructType] = {
     "plates": _table(
         plates_id=INT, front_text=TEXT, plates_type_id=INT, plates_uri=TEXT, total=INT, add_date=INSTANT,
         front_number=INT, back_number=INT, vehicle_type_id=INT, users_id=INT, special_front_id=INT,
-        province_id=INT, information=TEXT, is_selling=FLAG, is_temporary=FLAG, is_pin=FLAG,
+        province_id=INT, information=TEXT, is_selling=FLAG, is_temporary=FLAG, is_pin=FLAG, unique_text=TEXT,
     ),
     "price_history": _table(price_history_id=INT, plates_id=INT, price=INT, add_date=INSTANT),
     "liked_plates": _reaction("liked_plates_id", "plates_id"),

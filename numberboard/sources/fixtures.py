@@ -43,6 +43,10 @@ SELECT CAST(c_custkey AS INT) AS users_id, c_name AS name,
  CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment END AS information
 FROM {customer}""",
     "plates": """
+SELECT p.*, CONCAT('province_id(', CAST(province_id AS STRING), ')-vehicle_type_id(', CAST(vehicle_type_id AS STRING),
+ ')-front_number(', CAST(front_number AS STRING), ')-front_text(', front_text, ')-back_number(',
+ CAST(back_number AS STRING), ')') AS unique_text
+FROM (
 SELECT CAST(o_orderkey AS INT) AS plates_id,
  CASE CAST(FLOOR(o_orderkey / 3) AS INT) % 8 WHEN 0 THEN 'กก' WHEN 1 THEN 'กบ' WHEN 2 THEN 'ฆก' WHEN 3 THEN 'ฐข'
   WHEN 4 THEN 'กขค' WHEN 5 THEN 'งจ' WHEN 6 THEN 'ฆ' ELSE 'ขก' END AS front_text,
@@ -59,7 +63,8 @@ SELECT CAST(o_orderkey AS INT) AS plates_id,
  CASE WHEN o_orderkey % 11 = 0 THEN FALSE WHEN o_orderkey % 13 = 0 THEN NULL ELSE TRUE END AS is_selling,
  CASE WHEN o_orderkey % 17 = 0 THEN TRUE WHEN o_orderkey % 19 = 0 THEN FALSE END AS is_temporary,
  CASE WHEN o_orderkey % 7 = 0 THEN TRUE WHEN o_orderkey % 5 = 0 THEN FALSE END AS is_pin
-FROM {orders}""",
+FROM {orders}
+) AS p""",
     "price_rows": """
 SELECT CAST(l_orderkey * 8 + l_linenumber AS INT) AS price_history_id, CAST(l_orderkey AS INT) AS plates_id,
  CAST(FLOOR(l_extendedprice) AS INT) AS price, l_shipdate AS add_date
@@ -97,13 +102,15 @@ SELECT CAST(n_nationkey + 1 AS INT) AS special_front_id,
  CASE WHEN n_nationkey = 0 THEN '' ELSE n_name END AS front
 FROM {nation}""",
     "hashtag": """
-SELECT CAST(p_partkey AS INT) AS hashtag_id, p_name AS tag
+SELECT CAST(p_partkey AS INT) AS hashtag_id, p_name AS tag, (SELECT MIN(o_orderdate) FROM {orders}) AS add_date
 FROM {part}""",
     "hashtag_requests": """
 SELECT CAST(p_partkey AS INT) AS request_id, p_type AS tag
 FROM {part}""",
     "plates_hashtag": """
-SELECT CAST(o_orderkey AS INT) AS plates_id, CAST(o_custkey % 5 AS INT) AS hashtag_id
+SELECT CAST(o_orderkey AS INT) AS plates_hashtag_id, CAST(o_orderkey AS INT) AS plates_id,
+ CAST(o_custkey % 5 AS INT) AS hashtag_id, o_orderdate AS add_date,
+ CONCAT('plates_id(', CAST(o_orderkey AS STRING), ')-hashtag_id(', CAST(o_custkey % 5 AS STRING), ')') AS unique_text
 FROM {orders}""",
     "new_plates_hashtag": """
 SELECT CAST(l_orderkey AS INT) AS plates_id, CAST(l_partkey % 5 AS INT) AS hashtag_id,
@@ -120,7 +127,8 @@ SELECT CAST(event_id AS INT) AS request_id, CAST(FLOOR(event_id / 10) AS INT) AS
 FROM {events} WHERE event_type = 'purchase'""",
     "accept_requests": """
 SELECT CAST(event_id AS INT) AS request_id,
- CAST(event_id - CAST(FLOOR(value) AS INT) % 4 AS INT) AS transfer_plates_id, ts AS received_date
+ CAST(event_id - CAST(FLOOR(value) AS INT) % 4 AS INT) AS transfer_plates_id,
+ ts - INTERVAL 1 HOUR * CAST(event_id % 90 AS INT) AS received_date
 FROM {events} WHERE event_type = 'click'""",
     "reaction_log": """
 SELECT CAST(event_id AS INT) AS event_id, CAST(user_id % 20 AS INT) AS users_id,

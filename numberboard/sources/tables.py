@@ -21,11 +21,10 @@ def load_tables(
     return {name: spark.read.schema(SCHEMAS[name]).parquet(f"{directory}/{name}") for name in names}
 
 
-def pattern_members(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Memberships of one pattern from the table partitioned by pattern: only its folder is read."""
+def pattern_members(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Memberships of one pattern from the published table partitioned by pattern: only its folder is read."""
     rule(name)
-    table = spark.read.schema(SCHEMAS["plate_patterns"]).parquet(path)
-    return table.where(F.col("pattern") == name)
+    return current(spark, root, "plate_patterns").where(F.col("pattern") == name)
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -44,7 +43,7 @@ def current_version(spark: SparkSession, root: str) -> int:
     return log.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
 
 
-def publish(df: DataFrame, root: str) -> int:
+def publish(df: DataFrame, root: str, *partition_by: str) -> int:
     """Replace a table (the effect of UPDATE or DELETE) by writing its next version.
 
     The new version goes to its own folder and becomes current by one small append after the write
@@ -53,17 +52,16 @@ def publish(df: DataFrame, root: str) -> int:
     """
     spark = df.sparkSession
     version = current_version(spark, root) + 1
-    df.write.mode("overwrite").parquet(f"{root}/data/v={version}")
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{root}/data/v={version}")
     spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("append").parquet(
         f"{root}/published"
     )
     return version
 
 
-def current(spark: SparkSession, root: str, schema=None) -> DataFrame:
-    """The newest published version of a table."""
+def current(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """The newest published version of a table, with the declared schema of that name."""
     version = current_version(spark, root)
     if version == 0:
         raise FileNotFoundError(f"nothing published under {root}")
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(f"{root}/data/v={version}")
+    return spark.read.schema(SCHEMAS[table]).parquet(f"{root}/data/v={version}")

@@ -351,10 +351,37 @@ FROM ranked AS n WHERE place = 1 AND NOT EXISTS (
 
 def append_hashtags() -> str:
     return f"""{with_views('hashtag', 'hashtag_requests')}
-SELECT hashtag_id, tag FROM hashtag
+SELECT hashtag_id, tag, add_date FROM hashtag
 UNION ALL
-SELECT (SELECT MAX(hashtag_id) FROM hashtag) + CAST(ROW_NUMBER() OVER (ORDER BY request_id) AS INT), tag
-FROM hashtag_requests"""
+SELECT (SELECT MAX(hashtag_id) FROM hashtag) + CAST(ROW_NUMBER() OVER (ORDER BY request_id) AS INT), tag,
+ TIMESTAMP '2024-06-01 00:00:00' FROM hashtag_requests"""
+
+
+def admitted_plates() -> str:
+    return f"""SELECT plates_id, front_text, plates_type_id, CAST(NULL AS STRING) AS plates_uri, total,
+ TIMESTAMP '2024-06-01 00:00:00' AS add_date, front_number, back_number, vehicle_type_id, users_id, special_front_id,
+ province_id, information, TRUE AS is_selling, is_temporary, FALSE AS is_pin, unique_text
+FROM (
+{admit_new_plates()}
+) AS decisions WHERE status = 'admitted'"""
+
+
+def admitted_users() -> str:
+    return f"""SELECT users_id, name, email, TIMESTAMP '2024-06-01 00:00:00' AS created_date,
+ TIMESTAMP '2024-06-01 00:00:00' AS latest_sign_in, CAST(NULL AS STRING) AS profile_uri,
+ CAST(NULL AS STRING) AS cover_uri, CAST(NULL AS STRING) AS information
+FROM (
+{admit_signups()}
+) AS decisions WHERE status = 'admitted'"""
+
+
+def admitted_plate_hashtags() -> str:
+    return f"""SELECT (SELECT CAST(MAX(o_orderkey) AS INT) FROM orders)
+ + CAST(ROW_NUMBER() OVER (ORDER BY plates_id, hashtag_id) AS INT) AS plates_hashtag_id,
+ plates_id, hashtag_id, add_date, unique_text
+FROM (
+{admit_plate_hashtags()}
+) AS admitted"""
 
 
 def request_transfers() -> str:
@@ -367,7 +394,10 @@ SELECT (SELECT MAX(transfer_plates_id) FROM transfer_plates) + CAST(ROW_NUMBER()
 
 def accept_transfers() -> str:
     return f"""{with_views('transfer_plates', 'accept_requests')},
-last AS (SELECT transfer_plates_id, MAX(received_date) AS at FROM accept_requests GROUP BY transfer_plates_id)
+placed AS (
+ SELECT *, ROW_NUMBER() OVER (PARTITION BY transfer_plates_id ORDER BY request_id DESC) AS place FROM accept_requests
+),
+last AS (SELECT transfer_plates_id, received_date AS at FROM placed WHERE place = 1)
 SELECT t.transfer_plates_id, t.plates_id, t.users_id, t.store_id, t.add_date,
  t.received OR last.at IS NOT NULL AS received, COALESCE(last.at, t.received_date) AS received_date
 FROM transfer_plates AS t LEFT JOIN last ON last.transfer_plates_id = t.transfer_plates_id"""

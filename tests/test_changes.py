@@ -62,7 +62,7 @@ def test_admission_reuses_one_partitioning(spark, views):
 def test_admitted_plates_can_be_listed(views):
     decisions = W.admit_new_plates(views["new_plates_batch"], views["plates"])
     added = W.admitted_plates(decisions, now())
-    assert added.drop("unique_text").columns == views["plates"].columns
+    assert added.columns == views["plates"].columns
     assert added.count() == decisions.where("status = 'admitted'").count()
     prices = W.new_plate_prices(decisions, views["price_history"], now())
     assert prices.count() == decisions.where("status = 'admitted' AND NOT is_temporary").count()
@@ -154,7 +154,7 @@ def test_verifications_one_by_one(views):
 
 def test_transfers_one_by_one(views):
     transfers = {row.transfer_plates_id: row.asDict() for row in views["transfer_plates"].collect()}
-    for row in sorted(views["accept_requests"].collect(), key=lambda row: row.received_date):
+    for row in sorted(views["accept_requests"].collect(), key=lambda row: row.request_id):
         if row.transfer_plates_id in transfers:
             transfers[row.transfer_plates_id].update(received=True, received_date=row.received_date)
     accepted = W.accept_transfers(views["transfer_plates"], views["accept_requests"])

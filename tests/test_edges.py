@@ -3,6 +3,7 @@
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from numberboard.operators import joins
 from numberboard.operators.envelope import nest_page
@@ -176,12 +177,32 @@ def test_store_totals_fan_out(tables):
 
 
 @pytest.mark.parametrize("many", [False, True])
-def test_strategy_does_not_change_rows(monkeypatch, tables, many):
-    """Few and many plates take different joins; both give the same listing."""
+def test_hot_sellers_do_not_change_rows(monkeypatch, tables, many):
+    """Sellers with and without hot keys run through one plan and give the same listing."""
     if many:
-        monkeypatch.setattr(L, "RESTRICT_KEYS", 0)
-        monkeypatch.setattr(joins, "HOT_ROWS", 1)
-        monkeypatch.setattr(joins.with_seller, "__defaults__", (None, 0, None, 0))
+        monkeypatch.setattr(joins.with_seller, "__defaults__", (1,))
     f = replace(BASE, users_id=5, price_under=999, search_text_back_number=60)
     rows = [tuple(row) for row in L.search_number(tables, f).collect()]
     assert len(rows) == 5 and len({row[0] for row in rows}) == 2
+
+
+def test_no_job_runs_while_a_plan_is_built(spark, tables):
+    """Every listing and store plan is built without an action."""
+    f = replace(BASE, users_id=5, price_under=999, search_text_back_number=60, search_text_front_text="ก")
+    members = tables["plates"].select("plates_id", "add_date").withColumn("pattern", F.lit("pattern_9"))
+    catalogue = {**tables, "plate_patterns": members}
+    plans = [
+        L.query_special_front, L.query_plates_type_province, L.query_vehicle_type_province, L.query_explore,
+        L.query_suggestion_back_number, L.search_number_text_number, L.search_number_text, L.search_text_number,
+        L.search_text, L.search_number,
+    ]
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "plans only")
+    for plan in plans:
+        plan(catalogue, f)
+    L.query_pattern(catalogue, replace(f, pattern="pattern_9"))
+    L.query_plates_info(catalogue, 5, 1)
+    for plan in (L.query_users_plates_pin, L.query_users_plates_unpin, S.search_users_info, S.query_users_info):
+        plan(catalogue, UsersFilter(users_id=5, store_id=1, search_text="o"))
+    assert list(jobs.getJobIdsForGroup("planning")) == []
+    spark.sparkContext.setJobGroup("tests", "")
