@@ -35,7 +35,7 @@ from numberboard.llm.textnum import Words, chunks, grams
 ORDER = 3
 BACKOFF = 0.4
 CUTOFF = 2
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 LISTS_SCHEMA = "part int, chunk long, n int, data binary"
 TEXTS_SCHEMA = "chunk long, part int, n int, data binary"
 
@@ -73,16 +73,21 @@ def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 class Grams:
-    """N-grams of a chunk: all of them at their last word, by order."""
+    """Words of a chunk; its n-grams are worked out one order at a time."""
 
-    def __init__(self, batch: pa.RecordBatch, order: int):
+    def __init__(self, batch: pa.RecordBatch):
         pieces = [Words.of(p.column("text")) for p in chunks(batch)]
-        self.hashes = np.concatenate([p.hashes() for p in pieces])
         size = np.concatenate([np.diff(p.first) for p in pieces])
         self.first = np.concatenate(([0], np.cumsum(size)))
-        place = np.arange(len(self.hashes)) - np.repeat(self.first[:-1], size)
-        self.at = {m: np.flatnonzero(place >= m - 1) for m in range(1, order + 1)}
-        self.keys = {m: grams(self.hashes, m)[self.at[m] - (m - 1)] for m in self.at}
+        self.hashes = np.concatenate([p.hashes() for p in pieces])
+        self.place = (np.arange(len(self.hashes)) - np.repeat(self.first[:-1], size)).astype(np.int32)
+
+    def ends(self, m: int) -> np.ndarray:
+        """Which words end an n-gram of ``m`` words within their text."""
+        return self.place >= m - 1
+
+    def keys(self, m: int) -> np.ndarray:
+        return grams(self.hashes, m)[self.ends(m)[m - 1 :]]
 
 
 def _bounds(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -96,9 +101,9 @@ def listed_grams(documents: DataFrame, order: int, parts: int) -> DataFrame:
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, batch in document_chunks(batches):
-            found = Grams(batch, order)
-            for m, every in found.keys.items():
-                keys, counts = np.unique(every, return_counts=True)
+            found = Grams(batch)
+            for m in range(1, order + 1):
+                keys, counts = np.unique(found.keys(m), return_counts=True)
                 bounds = _bounds(keys, parts)
                 for k in range(parts):
                     a, b = bounds[k], bounds[k + 1]
@@ -171,26 +176,29 @@ def packed_texts(documents: DataFrame) -> DataFrame:
     return documents.mapInArrow(save, TEXTS_SCHEMA)
 
 
-def _logs(found: Grams, totals: dict[int, np.ndarray], words: int, order: int) -> np.ndarray:
-    """Logarithm of S of every word."""
-    count = {}
-    for m in range(1, order + 1):
-        keys, which = np.unique(found.keys[m], return_inverse=True)
-        if len(keys) != len(totals.get(m, ())):
+def _logs(found: Grams, totals: dict[int, list[tuple[int, bytes]]], words: int, order: int) -> np.ndarray:
+    """Logarithm of S of every word; ``totals``: the packed totals of each order, in the order of its n-grams."""
+
+    def counts(m: int) -> np.ndarray:
+        keys, which = np.unique(found.keys(m), return_inverse=True)
+        total = np.concatenate([np.zeros(0, np.uint64), *(unpack(data, n) for n, data in totals[m])])
+        if len(keys) != len(total):
             raise RuntimeError("a chunk's n-grams have changed between two readings: read the documents from a written table")
-        count[m] = np.zeros(len(found.hashes))
-        count[m][found.at[m]] = totals[m][which] if len(keys) else 0
+        every = np.zeros(len(found.hashes), np.uint64)
+        every[found.ends(m)] = total[which]
+        return every
+
     logs, open_ = np.zeros(len(found.hashes)), np.ones(len(found.hashes), bool)
-    place = np.arange(len(found.hashes)) - np.repeat(found.first[:-1], np.diff(found.first))
-    tries = np.zeros(len(logs))
+    tries, count = np.zeros(len(logs), np.int8), counts(order)
     for m in range(order, 1, -1):
-        hit = open_ & (count[m] > 0)
-        at = np.flatnonzero(hit)
-        logs[at] = np.log(count[m][at] / count[m - 1][at - 1]) + tries[at] * np.log(BACKOFF)
-        open_ &= ~hit
-        tries += open_ & (place >= m - 1)
+        context = counts(m - 1)
+        at = np.flatnonzero(open_ & (count > 0))
+        logs[at] = np.log(count[at] / context[at - 1]) + tries[at] * np.log(BACKOFF)
+        open_[at] = False
+        tries += open_ & found.ends(m)
+        count = context
     at = np.flatnonzero(open_)
-    logs[at] = np.log(count[1][at] / words) + tries[at] * np.log(BACKOFF)
+    logs[at] = np.log(count[at] / words) + tries[at] * np.log(BACKOFF)
     return logs
 
 
@@ -204,11 +212,11 @@ def score_documents(documents: DataFrame, order: int = ORDER) -> DataFrame:
     def score(chunk: int, held: list[tuple]) -> pa.RecordBatch:
         (_, _, data), *rest = held
         batch = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_next_batch()
-        totals: dict[int, list] = {m: [np.zeros(0, np.uint64)] for m in range(1, order + 1)}
+        totals: dict[int, list[tuple[int, bytes]]] = {m: [] for m in range(1, order + 1)}
         for part, n, numbers in rest:
-            totals[part // parts + 1].append(unpack(numbers, n))
-        found = Grams(batch, order)
-        logs = _logs(found, {m: np.concatenate(t) for m, t in totals.items()}, words, order)
+            totals[part // parts + 1].append((n, numbers))
+        found = Grams(batch)
+        logs = _logs(found, totals, words, order)
         scores = [round(float(logs[a:b].sum()), 4) for a, b in zip(found.first[:-1].tolist(), found.first[1:].tolist())]
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(np.diff(found.first)), pa.array(scores, pa.float64())], ["doc_id", "n_words", "log_score"]
