@@ -19,6 +19,8 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """
     kept = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
     both = written(kept.union(kept.select("b", "a")).distinct(), purpose)
+    if both.isEmpty():
+        return both.select(F.col("a").alias("id"), F.col("b").alias("component"))
     labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near"))
     labels = written(labels.select("id", F.least("id", "near").alias("component")), purpose)
     for _ in range(MAX_ROUNDS):

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _REACH = 4096
 _rng = np.random.Generator(np.random.PCG64(20240601))
 _BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
