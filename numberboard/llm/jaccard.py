@@ -42,17 +42,20 @@ from pyspark.sql import functions as F
 from numberboard.llm.components import components
 from numberboard.llm.frames import spread, texts, written
 from numberboard.llm.textnum import Words, chunks, shingles
+from numberboard.operators.skew import spread_lookup
 
 SHINGLE = 5
 LINK_PERCENT = 75
 ROUNDS = 2
-CELL_BITS = 20
+CELL_BITS = 22
 BLOCK_CELLS = 1 << 12
 #: Steps of the order for each doubling of a count.
 STEPS = 8
 #: From this many holders on a shingle is dealt by document.
 FREQUENT = 1 << 16
 CLASSES = 64
+#: A class that has so many shingles or more.
+MANY = 255
 MASK_BITS = 23
 FLUSH = 1 << 20
 SETS_SCHEMA = "doc_id long, n long, mark binary, classes binary, task int, block int, counts binary"
@@ -80,7 +83,7 @@ def _cell(x: np.ndarray) -> np.ndarray:
 
 
 def _class_counts(x: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((x & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES), 65535).astype("<u2").tobytes()
+    return np.minimum(np.bincount((x & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES), MANY).astype("u1").tobytes()
 
 
 def _batch(schema: str, *columns) -> pa.RecordBatch:
@@ -93,7 +96,7 @@ def describe(documents: DataFrame) -> DataFrame:
     """Written table: a row for each document (size, digest, class counts of its set), and each task's counts of cells."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << CELL_BITS, np.int64)
+        held, cells, size = np.zeros(1 << CELL_BITS, np.uint32), [], 0
         for batch in batches:
             for part in chunks(batch):
                 n, mark, classes, every = [], [], [], []
@@ -102,10 +105,16 @@ def describe(documents: DataFrame) -> DataFrame:
                     mark.append(hashlib.blake2b(x, digest_size=16).digest())
                     classes.append(_class_counts(x))
                     every.append(x)
-                held += np.bincount(_cell(np.concatenate(every)), minlength=len(held))
+                cells.append(_cell(np.concatenate(every)))
+                size += len(cells[-1])
+                if size >= FLUSH:
+                    held += np.bincount(np.concatenate(cells), minlength=len(held)).astype(np.uint32)
+                    cells, size = [], 0
                 none = [None] * len(n)
                 yield _batch(SETS_SCHEMA, part.column("doc_id"), n, mark, classes, none, none, none)
-        task, blocks = TaskContext.get().partitionId(), held.astype("<u4").reshape(-1, BLOCK_CELLS)
+        if cells:
+            held += np.bincount(np.concatenate(cells), minlength=len(held)).astype(np.uint32)
+        task, blocks = TaskContext.get().partitionId(), held.reshape(-1, BLOCK_CELLS)
         some = [k for k in range(len(blocks)) if blocks[k].any()]
         none = [None] * len(some)
         packed = [zlib.compress(blocks[k].tobytes(), 1) for k in some]
@@ -129,7 +138,7 @@ def rarity(described: DataFrame) -> np.ndarray:
     for step in (256, 1 << 30):  # of so many tasks at a time
         blocks = blocks.groupBy("block", F.floor(F.col("task") / step)).applyInPandas(add, schema)
     order = np.zeros(1 << CELL_BITS, np.uint8)
-    for row in blocks.collect():  # a row for each block of cells: 16 KB x 256
+    for row in blocks.collect():  # a row for each block of cells: 16 KB x 1024
         counts = np.frombuffer(zlib.decompress(row["counts"]), "<u4")
         order[row["block"] * BLOCK_CELLS :][:BLOCK_CELLS] = np.minimum(STEPS * np.log2(np.maximum(counts, 1)), 255)
     return order
@@ -251,11 +260,10 @@ def _suffix_filter(pairs: DataFrame, described: DataFrame) -> DataFrame:
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, CLASSES) for c in ("ca", "cb"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "u1").reshape(-1, CLASSES) for c in ("ca", "cb"))
             na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            most = np.where(a == 65535, 1 << 40, a).astype(np.int64)
-            most = np.minimum(most, np.where(b == 65535, 1 << 40, b)).sum(axis=1)
-            fits = (100 + LINK_PERCENT) * most >= LINK_PERCENT * (na + nb)
+            a, b = (np.where(x == MANY, 1 << 40, x.astype(np.int64)) for x in (a, b))
+            fits = (100 + LINK_PERCENT) * np.minimum(a, b).sum(axis=1) >= LINK_PERCENT * (na + nb)
             yield batch.select(["a", "b"]).filter(pa.array(fits))
 
     marks = described.where("block IS NULL").select("doc_id", "n", "classes")
@@ -316,30 +324,37 @@ def _remaining(postings: DataFrame) -> DataFrame:
     return met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
 
 
+def _placed(rows: DataFrame, groups: DataFrame, name: str = "doc_id") -> DataFrame:
+    """``rows`` with the component of the document ``name``, its own id if it has no link."""
+    known = groups.withColumnRenamed("id", name)
+    return rows.join(known, name, "left").withColumn("component", F.coalesce("component", name))
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (least linked doc_id) of every document."""
     described = describe(documents)
     rows = described.where("block IS NULL")
+    full = rows.where("n > 0 AND doc_id IS NOT NULL")
     parts = spread(documents)
-    same = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("mark").agg(F.min("doc_id").alias("stand"))
-    stands = written(rows.where("n > 0 AND doc_id IS NOT NULL").join(same, "mark").select("doc_id", "stand").distinct(), "jaccard-stands")
+    same = full.groupBy("mark").agg(F.min("doc_id").alias("stand"), F.count("*").alias("_rows"))
+    # Copies of one text may be a third of all rows.
+    stands = spread_lookup(full.select("doc_id", "mark"), same.drop("_rows"), ["mark"], "doc_id", same.select("mark", "_rows"), "inner")
+    stands = written(stands.select("doc_id", "stand").distinct(), "jaccard-stands")
 
     blocks = prefix_blocks(documents, rarity(described), parts)
     postings = shared_postings(blocks, parts).join(stands, "doc_id")
     postings = postings.groupBy("shingle", F.col("stand").alias("doc_id")).agg(F.min("place").alias("place"), F.max("n").alias("n"))
     postings = written(postings, "jaccard-postings")
 
-    # A document with several texts stands for itself in each; its stands are one vertex.
-    several = stands.groupBy("doc_id").agg(F.min("stand").alias("a"), F.max("stand").alias("b")).where("a <> b").select("a", "b")
-    found = several
+    # A document with several texts has several stands, which are linked through it.
+    several = stands.groupBy("doc_id").agg(F.min("stand").alias("a"), F.max("stand").alias("z")).where("a <> z")
+    found = stands.join(several, "doc_id").select("a", F.col("stand").alias("b")).where("a <> b")
     for k in range(ROUNDS + 1):
-        groups = components(found, "jaccard-components").withColumnRenamed("id", "doc_id")
-        placed = postings.join(groups, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        placed = written(placed, "jaccard-placed")
+        placed = _placed(postings, components(found, "jaccard-components"))
         pairs = _candidates(placed) if k < ROUNDS else _remaining(placed)
         found = found.union(verified(pairs, described, documents))
-    groups = components(found, "jaccard-components").withColumnRenamed("id", "stand")
-    whole = stands.join(groups, "stand", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "stand")).alias("component"))
+    whole = _placed(stands, components(found, "jaccard-components"), "stand")
+    whole = whole.groupBy("doc_id").agg(F.min("component").alias("component"))
     return rows.join(whole, "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
