@@ -14,8 +14,8 @@ for one run of string starts before it.
    the winner, so a byte known to be equal is never compared again. The order comes with the prefix
    lengths of neighbours.
 4. In each set of neighbours that share ``SHARED`` bytes, strings with equal bytes before and behind
-   their anchors repeat. Sets cut by the border of a range, or too large, are counted over all
-   tasks by 128-bit digests of their strings, combined before they move.
+   their anchors repeat. What sets cut by the border of a range, or too large, leave open is counted
+   over all tasks by 128-bit digests, each distinct string of a set once.
 5. The repeated starts come back to their documents as ranges, and the covered bytes are cut.
 
 Defined cases: a null text is empty. A text shorter than ``LENGTH`` loses nothing. Strings may overlap
@@ -57,7 +57,10 @@ ENTRY = np.dtype(
 )
 BLOCKS_SCHEMA = "part int, block binary"
 ANCHORS_SCHEMA = "doc_id long, mark int, at int, back int, ahead int, certain boolean, sorts boolean"
-RANGES_SCHEMA = "doc_id long, mark int, first int, last int, one long, two long"
+RANGES_SCHEMA = "doc_id long, mark int, first int, last int, part int, block binary"
+STRING = np.dtype(
+    [("digest", "<u8", 2), ("doc_id", "<i8"), ("mark", "<i4"), ("start", "<u4"), ("many", "u1"), ("nameless", "u1")]
+)
 LEFT_SCHEMA = "doc_id long, mark int, left string"
 CUT_SCHEMA = "doc_id long, mark int, kept binary, n_removed long, n_spans long"
 
@@ -395,45 +398,97 @@ def _string_keys(items: list[tuple]) -> Iterator[tuple[int, np.ndarray, np.ndarr
         before = before * _STEP_BY + _BYTE[left[:, o]]
 
 
-def _repeats(items: list[tuple]) -> pa.RecordBatch:
-    """Ranges of starts whose strings are met twice or more among ``items``."""
-    found = np.zeros((REACH + 2, len(items)), bool)
-    for o, has, keys in _string_keys(items):
-        which = np.flatnonzero(has)
-        if len(which) > 1:
-            which = which[np.argsort(keys[which])]
-            same = keys[which][1:] == keys[which][:-1]
-            found[o + 1, which[1:][same]] = True
-            found[o + 1, which[:-1][same]] = True
-    edge = found[1:].astype(np.int8) - found[:-1]
+def _ranges(names: list, marks: list, at: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+    """Rows for the runs of ``found`` (distance before the anchor x item)."""
+    edge = np.diff(found.astype(np.int8), axis=0, prepend=0, append=0)
     who, low = np.nonzero((edge == 1).T)
     high = np.nonzero((edge == -1).T)[1] - 1
+    none = [None] * len(who)
+    return _rows(RANGES_SCHEMA, [names[k] for k in who], [marks[k] for k in who], at[who] - high, at[who] - low, none, none)
+
+
+def _repeats(items: list[tuple]) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """Ranges of starts whose strings are met twice or more among ``items``.
+
+    And, as matrices of distance x item, one item of each distinct string, and whether it has company.
+    """
+    found, one = np.zeros((REACH, len(items)), bool), np.zeros((REACH, len(items)), bool)
+    for o, has, keys in _string_keys(items):
+        which = np.flatnonzero(has)
+        which = which[np.argsort(keys[which], kind="stable")]
+        same = keys[which][1:] == keys[which][:-1]
+        found[o, which[1:][same]] = True
+        found[o, which[:-1][same]] = True
+        one[o, which[:1]] = True
+        one[o, which[1:][~same]] = True
     at = np.array([i[3] for i in items])
-    names, marks = [i[6] for i in items], [i[7] for i in items]
-    return _rows(
-        RANGES_SCHEMA, [names[k] for k in who], [marks[k] for k in who], at[who] - high, at[who] - low, [None] * len(who), [None] * len(who)
-    )
+    return _ranges([i[6] for i in items], [i[7] for i in items], at, found), one, found & one
+
+
+def _strings(items: list[tuple], one: np.ndarray, company: np.ndarray) -> np.ndarray:
+    """The distinct strings of ``items`` by their digests, to be counted over all tasks."""
+    who, before = np.nonzero(one.T)
+    found = np.zeros(len(who), STRING)
+    digests = bytearray()
+    for k, o in zip(who.tolist(), before.tolist()):
+        right, left = items[k][:2]
+        digests += hashlib.blake2b(left[:o][::-1] + right[: LENGTH - o], digest_size=16).digest()
+    found["digest"] = np.frombuffer(bytes(digests), "<u8").reshape(-1, 2)
+    found["doc_id"] = np.array([i[6] or 0 for i in items], np.int64)[who]
+    found["nameless"] = np.array([i[6] is None for i in items])[who]
+    found["mark"] = np.array([i[7] for i in items])[who]
+    found["start"] = np.array([i[3] for i in items])[who] - before
+    found["many"] = company.T[who, before]
+    return found
 
 
-def _strings(items: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """Every string of ``items`` by its digest, to be counted over all tasks."""
-    for a in range(0, len(items), 512):
-        part = items[a : a + 512]
-        names, marks, starts, one, two = [], [], [], [], []
-        for right, before, _, at, back, ahead, name, mark in part:
-            whole = before[::-1] + right
-            for o in range(ahead, back + 1):
-                digest = hashlib.blake2b(whole[back - o : back - o + LENGTH], digest_size=16).digest()
-                names.append(name)
-                marks.append(mark)
-                starts.append(at - o)
-                one.append(int.from_bytes(digest[:8], "little", signed=True))
-                two.append(int.from_bytes(digest[8:], "little", signed=True))
-        yield _rows(RANGES_SCHEMA, names, marks, starts, starts, one, two)
+def _dealt(found: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Strings as packed blocks by digest."""
+    part = (found["digest"][:, 0] % np.uint64(parts)).astype(np.int32)
+    by = np.argsort(part, kind="stable")
+    found, part = found[by], part[by]
+    names, at = np.unique(part, return_index=True)
+    ends, none = np.append(at[1:], len(part)), [None] * len(names)
+    return _rows(RANGES_SCHEMA, none, none, none, none, names, [found[a:b].tobytes() for a, b in zip(at, ends)])
+
+
+def counted_strings(dealt: DataFrame, parts: int) -> DataFrame:
+    """Ranges of starts of the strings that several tasks have met."""
+
+    def count(held: list[bytes]) -> pa.RecordBatch:
+        found = np.concatenate([np.frombuffer(b, STRING) for b in held])
+        found = found[np.lexsort((found["digest"][:, 1], found["digest"][:, 0]))]
+        new = np.append(True, (found["digest"][1:] != found["digest"][:-1]).any(axis=1))
+        one = np.cumsum(new) - 1
+        found = found[(np.bincount(one, 1 + found["many"])[one] > 1) & (found["many"] == 0)]
+        found = found[np.lexsort((found["start"], found["mark"], found["doc_id"], found["nameless"]))]
+        same = np.ones(max(len(found) - 1, 0), bool)
+        for c in ("nameless", "doc_id", "mark"):
+            same &= found[c][1:] == found[c][:-1]
+        first = np.flatnonzero(np.append(np.ones(min(len(found), 1), bool), ~(same & (np.diff(found["start"].astype(np.int64)) <= 1))))
+        last = np.append(first[1:], len(found)) - 1 if len(first) else first
+        ids = pa.array(found["doc_id"][first], mask=found["nameless"][first].astype(bool))
+        none = [None] * len(first)
+        starts = [found["start"][x].astype(np.int32) for x in (first, last)]
+        return _rows(RANGES_SCHEMA, ids, found["mark"][first], *starts, none, none)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            for part, block in zip(batch.column("part").to_pylist(), batch.column("block").to_pylist()):
+                if held and part != now:
+                    yield count(held)
+                    held = []
+                now = part
+                held.append(block)
+        if held:
+            yield count(held)
+
+    return dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(work, RANGES_SCHEMA)
 
 
 def merged_repeats(runs: DataFrame, splitters: list[tuple[bytes, bytes]], ranges: int) -> DataFrame:
-    """Ranges (doc_id, mark, first, last) of repeated starts; with digests: strings that must be counted further."""
+    """Ranges (doc_id, mark, first, last) of repeated starts; or blocks of strings that must be counted over all tasks."""
     shared = runs.sparkSession.sparkContext.broadcast(splitters)
 
     def sets(blocks: list[bytes]) -> Iterator[list[tuple]]:
@@ -449,16 +504,26 @@ def merged_repeats(runs: DataFrame, splitters: list[tuple[bytes, bytes]], ranges
     def merge(name: int, blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
         borders = {s[0][:SHARED] for s in shared.value[max(0, name - 1) : name + 1]}
         small: list[tuple] = []
+        open_: list[np.ndarray] = []
         for found in sets(blocks):
             if found[0][0][:SHARED] in borders or len(found) > LARGE_SET:
-                yield from _strings(found)
+                for a in range(0, len(found), LARGE_SET):
+                    some = found[a : a + LARGE_SET]
+                    here, one, company = _repeats(some)
+                    yield here
+                    open_.append(_strings(some, one, company))
+                    if sum(map(len, open_)) >= FLUSH:
+                        yield _dealt(np.concatenate(open_), ranges)
+                        open_ = []
             elif len(found) > 1:
                 small += found
                 if len(small) >= LARGE_SET:
-                    yield _repeats(small)
+                    yield _repeats(small)[0]
                     small = []
         if small:
-            yield _repeats(small)
+            yield _repeats(small)[0]
+        if open_:
+            yield _dealt(np.concatenate(open_), ranges)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
@@ -485,11 +550,9 @@ def repeated_starts(documents: DataFrame) -> DataFrame:
     held = written(_with_texts(documents, found.where("sorts").groupBy("doc_id", "mark").agg(places)), "suffix-held")
     splitters = _splitters(held, parts)
     merged = written(merged_repeats(sorted_runs(held, splitters), splitters, parts), "suffix-merged")
-    open_ = merged.where("one IS NOT NULL")
-    twice = open_.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
     ranges = ["doc_id", "mark", "first", "last"]
-    counted = open_.join(twice, ["one", "two"], "left_semi").select(ranges)
-    return certain.union(merged.where("one IS NULL").select(ranges)).union(counted)
+    counted = counted_strings(merged.where("part IS NOT NULL").select("part", "block"), parts).select(ranges)
+    return certain.union(merged.where("part IS NULL").select(ranges)).union(counted)
 
 
 def _cut(data: bytes, ranges: list) -> tuple[bytes, int, int]:
