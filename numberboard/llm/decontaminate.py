@@ -1,13 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval, with subsequence and answer checks.
 
-The benchmark is taken in blocks of ``BLOCK_ITEMS`` items, so what a pass over the documents needs in
-memory is bounded, whatever the benchmark's size. For each block:
+The benchmark is taken in blocks of ``BLOCK_ITEMS`` items and ``RANK`` passages at most (one item with
+more passages is a block of its own). For each block:
 
 1. The vocabulary are the words of its items (lower-cased, 64-bit fingerprints). Document frequencies
    of these words come from all documents.
 2. TF-IDF vectors of the items' passages are reduced by a randomised SVD: tasks multiply their passages
    with a random matrix and back and send their sums, which are as large as vocabulary x rank; after
-   orthogonalising, a second round gives the right singular vectors.
+   orthogonalising, a second round gives the right singular vectors. The rank is that of the block's
+   passages, so no direction of a passage is dropped and the cosines of step 3 are exact.
 3. Every document is cut into overlapping windows of words. A window whose words can't hold enough of
    any passage's weight to reach the cosine is passed over (a bound, so no candidate is lost by it);
    the others are projected, and those near to a passage become candidates.
@@ -247,7 +248,7 @@ def build_index(whole: DataFrame, rows: list) -> Index | None:
     passages = passages_of(items)
     schema = T._parse_datatype_string("words array<long>")
     table = spark.createDataFrame([(p.view(np.int64).tolist(),) for _, p in passages], schema).repartition(4)
-    vectors = singular_vectors(table, vocabulary, idf, min(RANK, len(passages)))
+    vectors = singular_vectors(table, vocabulary, idf, len(passages))
     latent, weight, least = [], np.zeros(len(idf)), np.inf
     for _, words in passages:
         place, value = weighted(words, vocabulary, idf)
@@ -260,14 +261,16 @@ def build_index(whole: DataFrame, rows: list) -> Index | None:
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list]:
-    """The benchmark's rows, ``BLOCK_ITEMS`` at a time."""
+    """The benchmark's rows, as many at a time as ``BLOCK_ITEMS`` and the ``RANK`` of a block's passages allow."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).orderBy("item_id", "text")
-    held = []
+    held, passages = [], 0
     for row in rows.toLocalIterator():
-        held.append(row)
-        if len(held) == BLOCK_ITEMS:
+        more = len(passages_of(items_of([row])))
+        if held and (len(held) == BLOCK_ITEMS or passages + more > RANK):
             yield held
-            held = []
+            held, passages = [], 0
+        held.append(row)
+        passages += more
     if held:
         yield held
 

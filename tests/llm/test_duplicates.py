@@ -122,6 +122,16 @@ def test_leaks_in_blocks_of_items(spark, monkeypatch):
     assert ordered((r["doc_id"], r["item_ids"]) for r in decontaminate.find_leaks(documents(spark), benchmark).collect()) == whole
 
 
+@pytest.mark.parametrize("rank", [256, 20])
+def test_leaks_of_more_passages_than_the_rank(spark, monkeypatch, rank):
+    """300 passages, 72 % of the words of some stand in documents."""
+    monkeypatch.setattr(decontaminate, "RANK", rank)
+    items = [(k, prose(25, 5000 + k), 0) for k in range(298)] + [(298, prose(120, 5298), 0)]
+    docs = [(k, " ".join([prose(40, 9000 + k), *(w if j % 25 < 18 else "changed" for j, w in enumerate(t.split())), prose(40, 9500 + k)])) for k, t, _ in items[4::7]]
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, BENCHMARK)).collect()
+    assert ordered((r["doc_id"], r["item_ids"]) for r in found) == ordered((k, [k]) for k, _ in docs)
+
+
 def test_candidate_recall_against_all_pairs(spark):
     """Every document that has an item's words in order, found by comparing all of them."""
     benchmark = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()
