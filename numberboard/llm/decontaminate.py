@@ -15,7 +15,9 @@ more passages is a block of its own). For each block:
 4. A candidate's surroundings are compared with the item word by word. The item leaked if the longest
    common subsequence has ``LEAK`` of its words, or ``PARAPHRASE`` of them and the item's answer stands
    there word for word. The answer is what follows the last question mark or the word "answer", or
-   else the last sentence.
+   else the last sentence. An answer of fewer than ``ANSWER_WORDS`` words stands in many texts by chance;
+   for it, the words of the item in front of the answer must make up that share, together with it, in
+   the stretch of the item's length before or behind the place where it stands.
 
 Defined cases: null texts are empty, and without words nothing leaks. Items with fewer than
 ``MIN_WORDS`` words are left out: any text holds them. Equal items are all named. Repeated rows each
@@ -176,10 +178,25 @@ def common_words(item: np.ndarray, text: list[int]) -> int:
     return len(item) - row.bit_count()
 
 
+def places(text: np.ndarray, run: np.ndarray) -> Iterator[int]:
+    """Where ``run`` stands in ``text`` word for word."""
+    at = np.flatnonzero(text[: len(text) - len(run) + 1] == run[0]) if len(text) >= len(run) > 0 else []
+    return (int(a) for a in at if np.array_equal(text[a : a + len(run)], run))
+
+
 def holds(text: np.ndarray, run: np.ndarray) -> bool:
     """Whether ``run`` stands in ``text`` word for word."""
-    at = np.flatnonzero(text[: len(text) - len(run) + 1] == run[0]) if len(text) >= len(run) > 0 else []
-    return any(np.array_equal(text[a : a + len(run)], run) for a in at)
+    return next(places(text, run), None) is not None
+
+
+def answered(text: np.ndarray, item: Item) -> bool:
+    """Whether the item's answer stands in ``text``, a short one next to the words of its question."""
+    m, k = len(item.words), len(item.answer)
+    if k >= ANSWER_WORDS or k == 0:
+        return holds(text, item.answer)
+    question = item.words[: m - k]
+    stretches = [s for a in places(text, item.answer) for s in (text[max(0, a - m) : a], text[a + k : a + k + m])]
+    return any(common_words(question, s.tolist()) + k >= PARAPHRASE * m for s in stretches)
 
 
 @dataclass
@@ -231,8 +248,7 @@ class Index:
             m = len(item.words)
             around = codes[max(first[text], start - m) : min(first[text + 1], start + WINDOW + m)]
             share = common_words(item.words, around.tolist()) / m
-            told = share >= PARAPHRASE and len(item.answer) >= ANSWER_WORDS and holds(around, item.answer)
-            if share >= LEAK or told:
+            if share >= LEAK or (share >= PARAPHRASE and answered(around, item)):
                 known[k] = max(known.get(k, 0), share)
         return {t: k for t, k in found.items() if k}
 

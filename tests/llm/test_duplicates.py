@@ -132,6 +132,21 @@ def test_leaks_of_more_passages_than_the_rank(spark, monkeypatch, rank):
     assert ordered((r["doc_id"], r["item_ids"]) for r in found) == ordered((k, [k]) for k, _ in docs)
 
 
+@pytest.mark.parametrize("size", [1, 2, 3])
+def test_paraphrase_with_a_short_answer(spark, size):
+    items, docs, want = [], [], []
+    for k in range(12):
+        question, answer = prose(25, 700 + k).split(), prose(size, 800 + k)
+        items.append((k, f"{' '.join(question)}? {answer}", 0))
+        question[-1] += "?"
+        said = " ".join(w if j % 2 else "changed" for j, w in enumerate(["", *question]))
+        near = {0: f"{said} {prose(4, k)} {answer}", 1: f"{answer} {said}", 2: f"{said} {prose(4, k)}", 3: f"{said} {prose(200, k)} {answer}"}
+        docs.append((k, f"{prose(100, 60 + k)} {near[k % 4]} {prose(100, 90 + k)}"))
+        want.append((k, [k] if k % 4 < 2 else []))
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, BENCHMARK)).collect()
+    assert ordered((r["doc_id"], r["item_ids"]) for r in found) == ordered(want)
+
+
 def test_candidate_recall_against_all_pairs(spark):
     """Every document that has an item's words in order, found by comparing all of them."""
     benchmark = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()
