@@ -19,8 +19,10 @@ more passages is a block of its own). For each block:
    for it, the words of the item in front of the answer must make up that share, together with it, in
    the stretch of the item's length before or behind the place where it stands.
 
-Defined cases: null texts are empty, and without words nothing leaks. Items with fewer than
-``MIN_WORDS`` words are left out: any text holds them. Equal items are all named. Repeated rows each
+Items with fewer than ``MIN_WORDS`` words are too short for retrieval. They leaked where all their words
+stand in a row: hashed runs of their lengths are looked up and the words compared.
+
+Defined cases: null texts are empty, and without words nothing leaks. Equal items are all named. Repeated rows each
 give a row. Without items every document is clean. Other columns are ignored.
 """
 
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from numberboard.llm.frames import texts
-from numberboard.llm.textnum import Words, chunks
+from numberboard.llm.textnum import Words, chunks, grams
 
 BLOCK_ITEMS = 512
 RANK = 256
@@ -75,6 +77,12 @@ def items_of(rows: list) -> list[Item]:
     return [i for i in found if len(i.words) >= MIN_WORDS]
 
 
+def short_items_of(rows: list) -> list[Item]:
+    """Items with words, but too few for retrieval."""
+    found = [Item(r["item_id"], item_words(r["text"] or ""), item_words("")) for r in rows]
+    return [i for i in found if 0 < len(i.words) < MIN_WORDS]
+
+
 def passages_of(items: list[Item]) -> list[tuple[int, np.ndarray]]:
     """(place of the item, words) of every passage: whole items, long ones in windows."""
     return [
@@ -204,14 +212,29 @@ class Index:
     """What a pass over the documents needs of one block."""
 
     items: list[Item]
+    short: list[Item]
     owner: np.ndarray
-    vocabulary: Vocabulary
+    vocabulary: Vocabulary | None
     idf: np.ndarray
     vectors: np.ndarray
     latent: np.ndarray
     weight: np.ndarray
     least: float
 
+    def runs(self, codes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(text, place of the item) of texts in which a short item stands word for word."""
+        for n in sorted({len(i.words) for i in self.short}):
+            alike: dict[int, list[int]] = {}
+            for k, item in enumerate(self.short, len(self.items)):
+                if len(item.words) == n:
+                    alike.setdefault(int(grams(item.words, n)[0]), []).append(k)
+            every = grams(codes, n)
+            for a in np.flatnonzero(np.isin(every, np.array(list(alike), np.uint64))).tolist():
+                text = int(np.searchsorted(first, a, side="right")) - 1
+                for k in alike[int(every[a])] if a + n <= first[text + 1] else []:
+                    if np.array_equal(codes[a : a + n], self.short[k - len(self.items)].words):
+                        yield text, k
+
     def candidates(self, codes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(text, first word of the window, place of the item) of windows near to a passage."""
         place = self.vocabulary.find(codes)
@@ -241,7 +264,9 @@ class Index:
     def leaks(self, codes: np.ndarray, first: np.ndarray) -> dict[int, dict[int, float]]:
         """For each text the items that leaked into it and the share of their words found."""
         found: dict[int, dict[int, float]] = {}
-        for text, start, k in self.candidates(codes, first):
+        for text, k in self.runs(codes, first):
+            found.setdefault(text, {})[k] = 1.0
+        for text, start, k in self.candidates(codes, first) if self.items else ():
             item, known = self.items[k], found.setdefault(text, {})
             if known.get(k, 0) == 1:
                 continue
@@ -254,10 +279,11 @@ class Index:
 
 
 def build_index(whole: DataFrame, rows: list) -> Index | None:
-    """Index of one block of benchmark rows; None if it has no item long enough."""
-    spark, items = whole.sparkSession, items_of(rows)
+    """Index of one block of benchmark rows; None if none of them has words."""
+    spark, items, short = whole.sparkSession, items_of(rows), short_items_of(rows)
     if not items:
-        return None
+        none = np.zeros(0)
+        return Index([], short, none, None, none, none, none, none, np.inf) if short else None
     vocabulary = Vocabulary(items)
     held, documents = document_frequencies(whole, vocabulary)
     idf = np.log((1 + documents) / (1 + held)) + 0.1
@@ -273,7 +299,7 @@ def build_index(whole: DataFrame, rows: list) -> Index | None:
         # A window reaches the cosine only if its words hold that share of the passage's squared length.
         weight[place] = np.maximum(weight[place], value * value)
         least = COSINE**2 / 2
-    return Index(items, np.array([k for k, _ in passages]), vocabulary, idf, vectors, np.array(latent, np.float32), weight, least)
+    return Index(items, short, np.array([k for k, _ in passages]), vocabulary, idf, vectors, np.array(latent, np.float32), weight, least)
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list]:
@@ -292,12 +318,12 @@ def blocks(benchmark: DataFrame) -> Iterator[list]:
 
 
 def _judged(index: Index, column: pa.Array) -> list[tuple[bool, list[int], float]]:
-    words = Words.of(column)
+    words, known = Words.of(column), index.items + index.short
     found = index.leaks(words.hashes(lower=True), words.first)
     rows = []
     for text in range(len(column)):
         items = found.get(text, {})
-        rows.append((bool(items), sorted({index.items[k].item_id for k in items if index.items[k].item_id is not None}), max(items.values(), default=0.0)))
+        rows.append((bool(items), sorted({known[k].item_id for k in items if known[k].item_id is not None}), max(items.values(), default=0.0)))
     return rows
 
 

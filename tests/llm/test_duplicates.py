@@ -147,6 +147,20 @@ def test_paraphrase_with_a_short_answer(spark, size):
     assert ordered((r["doc_id"], r["item_ids"]) for r in found) == ordered(want)
 
 
+@pytest.mark.parametrize("long", [0, 3])
+def test_items_too_short_for_retrieval(spark, long):
+    items = [(k, prose(n, 40 + k), 0) for k, n in enumerate([1, 2, 5, 7, 7])]
+    items += [(5, items[2][1].upper(), 0), (6, "", 0), (7, items[3][1][:-1], 0), (None, items[4][1], 0)]
+    items += [(10 + k, prose(20, 400 + k), 0) for k in range(long)]
+    docs = [(k, f"{prose(30, 70 + k)} {t} {prose(30, 80 + k)}") for k, t, _ in items[:5]]
+    docs += [(5, items[3][1]), (6, items[3][1].rsplit(" ", 1)[0]), (7, items[1][1].split()[0]), (8, items[1][1].split()[1]), (9, " ".join(items[2][1].split()[::-1]))]
+    docs += [(9 + k, f"{prose(9, 9)} {t}") for k, t, _ in items[9:]]
+    want = [(0, [0]), (1, [1]), (2, [2, 5]), (3, [3]), (4, [4]), (5, [3]), (6, []), (7, []), (8, []), (9, [])] + [(19 + k, [10 + k]) for k in range(long)]
+    docs, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, BENCHMARK)
+    assert ordered((r["doc_id"], r["item_ids"]) for r in decontaminate.find_leaks(docs, benchmark).collect()) == ordered(want)
+    assert {r["doc_id"] for r in decontaminate.keep_clean(docs, benchmark).collect()} == {6, 7, 8, 9}
+
+
 def test_candidate_recall_against_all_pairs(spark):
     """Every document that has an item's words in order, found by comparing all of them."""
     benchmark = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()
