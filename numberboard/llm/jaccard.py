@@ -343,7 +343,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     blocks = prefix_blocks(documents, rarity(described), parts)
     postings = shared_postings(blocks, parts).join(stands, "doc_id")
-    postings = postings.groupBy("shingle", F.col("stand").alias("doc_id")).agg(F.min("place").alias("place"), F.max("n").alias("n"))
+    # Sets of one document stay apart by their size, which the filters compare; of equal ones the least place is the safe one.
+    postings = postings.groupBy("shingle", F.col("stand").alias("doc_id"), "n").agg(F.min("place").alias("place"))
     postings = written(postings, "jaccard-postings")
 
     # A document with several texts has several stands, which are linked through it.

@@ -42,6 +42,16 @@ def test_frequent_shingles_are_dealt_apart(spark, monkeypatch):
     assert ordered(jaccard.near_duplicates(docs).collect()) == ordered(near_duplicates(texts_of(docs)))
 
 
+def test_one_id_with_overlapping_texts(spark):
+    """Id 7 has a text and the same with an end that is in many others; only the short one is like id 9."""
+    start, end = prose(104, 21).split(), prose(50, 22)
+    rows = [(7, " ".join(start)), (7, " ".join(start) + " " + end), (9, " ".join(start[:84]))]
+    rows += [(20 + k, prose(150, 300 + k) + " " + end) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ordered(jaccard.near_duplicates(docs).collect())
+    assert got == ordered(near_duplicates(rows)) and [r[2] for r in got if r[0] == 9] == [7]
+
+
 def test_no_documents_to_compare(spark):
     assert jaccard.near_duplicates(no_documents(spark)).count() == 0
     assert suffix.cut_repeats(no_documents(spark)).count() == 0
