@@ -53,6 +53,10 @@ BLOCK_CELLS = 1 << 12
 STEPS = 8
 #: From this many holders on a shingle is dealt by document.
 FREQUENT = 1 << 16
+#: Sizes of a pair differ by less than this factor, so they are in one band or in neighbouring ones.
+BAND = 1.5
+#: Holders of a shingle in one slice.
+SLICE = 4096
 CLASSES = 64
 #: A class that has so many shingles or more.
 MANY = 255
@@ -301,6 +305,15 @@ def _fits(na, nb, pa_, pb):
     return length & ((100 + LINK_PERCENT) * (1 + F.least(na - pa_ - 1, nb - pb - 1)) >= LINK_PERCENT * (na + nb))
 
 
+def _open(n, place):
+    """Whether the positional filter lets a holder meet one of its own size or a larger one.
+
+    The smaller holder of every pair is such a one, so a shingle without any (the tail of a passage that
+    most of its holders' sets consist of) makes no pairs.
+    """
+    return (100 + LINK_PERCENT) * (n - place) >= 2 * LINK_PERCENT * n
+
+
 def _candidates(postings: DataFrame) -> DataFrame:
     """For each document one of another component: that with which it shares most prefix shingles."""
     end = F.struct("component", "doc_id", "n", "place")
@@ -314,14 +327,25 @@ def _candidates(postings: DataFrame) -> DataFrame:
 
 
 def _remaining(postings: DataFrame) -> DataFrame:
-    """All pairs that share a prefix shingle, pass the filters and are not in one component."""
-    mixed = postings.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    held = postings.join(mixed.select("shingle"), "shingle", "left_semi")
-    x, y = held.alias("x"), held.alias("y")
-    apart = (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
+    """All pairs that share a prefix shingle, pass the filters and are not in one component.
+
+    The smaller holder, an open one, looks for the larger one in its own band of sizes and the next; a
+    frequent shingle's holders are cut into slices.
+    """
+    open_ = _open(F.col("n"), F.col("place"))
+    mixed = postings.groupBy("shingle").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("held"), F.max(open_).alias("open")
+    )
+    mixed = mixed.where("lo <> hi AND open").select("shingle", F.ceil(F.col("held") / SLICE).cast("int").alias("slices"))
+    held = postings.join(mixed, "shingle").withColumn("band", F.floor(F.log("n") / math.log(BAND)).cast("int"))
+    x = held.withColumn("slice", F.pmod(F.xxhash64("doc_id"), "slices").cast("int")).alias("x")
+    y = held.where(open_).withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    y = y.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).alias("y")
+    key = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("shingle", "band", "slice")]
+    apart = (F.col("x.n") >= F.col("y.n")) & (F.col("x.component") != F.col("y.component"))
     fits = _fits(F.col("x.n"), F.col("y.n"), F.col("x.place"), F.col("y.place"))
-    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart & fits)
-    return met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    met = x.join(y, key[0] & key[1] & key[2] & apart & fits)
+    return met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
 def _placed(rows: DataFrame, groups: DataFrame, name: str = "doc_id") -> DataFrame:

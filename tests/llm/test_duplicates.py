@@ -42,6 +42,23 @@ def test_frequent_shingles_are_dealt_apart(spark, monkeypatch):
     assert ordered(jaccard.near_duplicates(docs).collect()) == ordered(near_duplicates(texts_of(docs)))
 
 
+def test_remaining_pairs_by_bands_and_slices(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SLICE", 7)
+    rng = random.Random(5)
+    sizes = [(i, i % 3, n, rng.randrange(jaccard.prefix_size(n))) for i in range(90) for n in [rng.choice((1, 2, 3, 4, 30, 40, 41, 54, 72, 100))]]
+    rows = [(s, 100 * s + i, 100 * s + c, n, p) for s in range(2) for i, c, n, p in sizes] + [(9, 500 + k, 500 + k, 100, 20) for k in range(60)]
+    postings = spark.createDataFrame(rows, "shingle long, doc_id long, component long, n int, place int")
+
+    def fits(a, b):
+        least = jaccard.LINK_PERCENT * (a[3] + b[3])
+        near = 100 * min(a[3], b[3]) >= jaccard.LINK_PERCENT * max(a[3], b[3])
+        return near and (100 + jaccard.LINK_PERCENT) * min(a[3] - a[4], b[3] - b[4]) >= least
+
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] != b[2] and fits(a, b)}
+    assert {tuple(r) for r in jaccard._remaining(postings).collect()} == want
+    assert postings.where(jaccard._open(postings.n, postings.place) & (postings.shingle == 9)).count() == 0
+
+
 def test_one_id_with_overlapping_texts(spark):
     """Id 7 has a text and the same with an end that is in many others; only the short one is like id 9."""
     start, end = prose(104, 21).split(), prose(50, 22)
