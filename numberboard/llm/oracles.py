@@ -137,3 +137,42 @@ WITH doc AS (
 )
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(round(s, 4), 0.0) AS log_score FROM doc LEFT JOIN total USING (r)
 """
+
+
+def _op12(rounds: int = 3) -> str:
+    """The rounds of OP12, one pair of common tables each."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""apart{k} AS MATERIALIZED (
+    SELECT r, c, CAST(sum((comp.x - cent{k}.x) * (comp.x - cent{k}.x)) AS BIGINT) AS distance
+    FROM comp JOIN cent{k} USING (d) GROUP BY r, c
+), near{k} AS MATERIALIZED (
+    SELECT r, c, distance FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY distance, c) AS place FROM apart{k}) WHERE place = 1
+)""")
+        if k < rounds:
+            steps.append(f"""moved{k} AS MATERIALIZED (
+    SELECT c, d, sum(x) AS s, count(*) AS n FROM near{k} JOIN comp USING (r) GROUP BY c, d
+), cent{k + 1} AS MATERIALIZED (
+    SELECT c, d, CAST(CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) / n END AS BIGINT) AS x FROM cent{k} LEFT JOIN moved{k} USING (c, d)
+)""")
+    return ",\n".join(steps)
+
+
+OP12 = f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), comp AS MATERIALIZED (
+    SELECT r, unnest(range(1, 65)) AS d, CAST(floor(64 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM kept
+), cent0 AS MATERIALIZED (
+    SELECT c, d, x FROM (SELECT r, row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), embedding) - 1 AS c FROM kept)
+    JOIN comp USING (r) WHERE c < 16
+), {_op12()}, inertia AS (
+    SELECT c, CAST(sum(distance) AS BIGINT) AS cluster_inertia FROM near3 GROUP BY c
+), digest AS (
+    SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM cent3 GROUP BY c
+)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, distance, cluster_inertia,
+       (SELECT CAST(sum(distance) AS BIGINT) FROM near3) AS inertia, centroid_sha256
+FROM near3 JOIN kept USING (r) JOIN inertia USING (c) JOIN digest USING (c)
+"""
