@@ -176,3 +176,41 @@ SELECT vec_id, CAST(c AS INTEGER) AS cluster, distance, cluster_inertia,
        (SELECT CAST(sum(distance) AS BIGINT) FROM near3) AS inertia, centroid_sha256
 FROM near3 JOIN kept USING (r) JOIN inertia USING (c) JOIN digest USING (c)
 """
+
+OP11 = r"""
+WITH piece AS (
+    SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS words FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)
+), place AS (
+    SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM piece
+), total AS (
+    SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM piece GROUP BY lang
+), met AS MATERIALIZED (
+    SELECT lang, m, phrase, count(*) AS f FROM (
+        SELECT lang, m, array_to_string(words[i : i + m - 1], ' ') AS phrase
+        FROM place, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE i + m - 1 <= len(words))
+    GROUP BY lang, m, phrase HAVING count(*) >= 30
+), cut AS (
+    SELECT lang, phrase, m, f AS a, k, array_to_string(string_split(phrase, ' ')[1 : k], ' ') AS head,
+           array_to_string(string_split(phrase, ' ')[k + 1 : m], ' ') AS rest
+    FROM met, (SELECT unnest([1, 2, 3]) AS k) WHERE k < m
+), rated AS (
+    SELECT cut.lang, cut.phrase, m, a, k, x.f AS l, y.f AS r,
+           CAST((2000000::HUGEINT * a - (2000000::HUGEINT * a) % (x.f + y.f)) / (x.f + y.f) AS BIGINT) AS score
+    FROM cut JOIN (SELECT lang, phrase, f FROM met) AS x ON x.lang = cut.lang AND x.phrase = head
+    JOIN (SELECT lang, phrase, f FROM met) AS y ON y.lang = cut.lang AND y.phrase = rest
+), candidate AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM rated) WHERE nth = 1
+), inner_part AS (
+    SELECT lang, array_to_string(string_split(phrase, ' ')[b : b + size - 1], ' ') AS phrase, max(a) AS f
+    FROM candidate, (SELECT unnest([1, 2, 3]) AS b), (SELECT unnest([2, 3]) AS size)
+    WHERE size < m AND b + size - 1 <= m GROUP BY ALL
+), kept AS (
+    SELECT c.* FROM candidate AS c LEFT JOIN inner_part AS p ON p.lang = c.lang AND p.phrase = c.phrase
+    WHERE p.f IS NULL OR 100 * p.f < 80 * c.a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN total USING (lang)
+WHERE rank <= 2000
+"""

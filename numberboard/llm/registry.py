@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from numberboard.llm import article, clusters, decontaminate, jaccard, language, oracles, packing, quality, rules, stupid_backoff, suffix, url_filter, warc
+from numberboard.llm import article, clusters, collocations, decontaminate, jaccard, language, oracles, packing, quality, rules, stupid_backoff, suffix, url_filter, warc
 from numberboard.llm.frames import table
 
 #: File of the tokenizer that ``op9`` packs with.
@@ -60,6 +60,10 @@ def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_toivonen_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_sharded_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_stupid_backoff": (op8_stupid_backoff, oracles.OP8),
     "op9_online_packing": (op9_online_packing, None),
     "op10_latent_decontamination": (op10_latent_decontamination, None),
+    "op11_toivonen_collocations": (op11_toivonen_collocations, oracles.OP11),
     "op12_sharded_lloyd": (op12_sharded_lloyd, oracles.OP12),
     "op13_tree_scoring": (op13_tree_scoring, None),
 }

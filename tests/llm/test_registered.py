@@ -17,6 +17,7 @@ COLUMNS = {
     "op8": ["doc_id", "n_words", "log_score"],
     "op9": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
     "op10": ["doc_id", "contaminated", "item_ids", "best_share"],
+    "op11": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
     "op12": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
     "op13": ["page_id", "url", "text", "n_chars"],
 }
