@@ -17,6 +17,29 @@ def test_components(spark):
     assert {r["id"]: r["component"] for r in found.collect()} == want
 
 
+def test_components_of_long_mixed_chains_and_hubs(spark, monkeypatch):
+    """A chain of 10,000 vertices named in any order, a hub, a ring and many pairs; rounds stay few."""
+    rng = random.Random(9)
+    names = list(range(10_000))
+    rng.shuffle(names)
+    edges = [(names[k], names[k + 1]) for k in range(len(names) - 1)]
+    edges += [(50_000, 20_000 + k) for k in range(3_000)] + [(60_000 + k, 60_000 + (k + 1) % 700) for k in range(700)]
+    edges += [(80_000 + 2 * k, 80_001 + 2 * k) for k in range(500)]
+    rng.shuffle(edges)
+    rounds, write = [], components.written
+    monkeypatch.setattr(components, "written", lambda *a: rounds.append(1) or write(*a))
+    found = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {k: 0 for k in range(10_000)} | {k: 20_000 for k in (50_000, *range(20_000, 23_000))} | {60_000 + k: 60_000 for k in range(700)}
+    want |= {80_000 + k: 80_000 + k - k % 2 for k in range(1_000)}
+    assert found == want and len(rounds) <= 16
+
+
+def test_components_of_texts(spark):
+    names = [f"n{(k * 7919) % 301:03}" for k in range(301)]
+    found = components.components(spark.createDataFrame(list(zip(names, names[1:])), "a string, b string")).collect()
+    assert {r["id"]: r["component"] for r in found} == dict.fromkeys(names, "n000")
+
+
 @pytest.mark.parametrize("which", ["edge", "generated"])
 def test_near_duplicates(spark, which):
     docs = edge_documents(spark) if which == "edge" else documents(spark)
