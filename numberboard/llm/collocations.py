@@ -3,8 +3,7 @@
 Phrases are runs of up to four words inside a piece of text (pieces end at punctuation and line ends).
 A phrase that is met often enough has only parts that are, so candidates grow from frequent parts:
 
-1. A sample of the documents (by hash, a fixed share of them) proposes phrases: its words, and longer
-   phrases that it holds twice.
+1. A sample of the documents (by hash, a fixed share of them) proposes the phrases that it holds twice.
 2. One full pass counts, exactly and over all documents, the proposed phrases together with their negative
    border: the phrases that were not proposed, though both parts that lack one end word were. Every word
    is on the border of the empty phrase, so all words are counted.
@@ -12,9 +11,9 @@ A phrase that is met often enough has only parts that are, so candidates grow fr
    Then a further pass counts what the frequent phrases known by now propose and no pass has counted yet,
    until every frequent phrase was proposed. Phrases have four words, so that is three further passes at most.
 
-Tasks count in windows of text with numpy, by 64-bit fingerprints, and hand out one row for each phrase of
-a window, with its text; the counts of all windows are then added up by a shuffle on the text itself. A phrase that a third of all words
-belong to is one row for each window. What a pass counts is told to the tasks by a Bloom filter of the proposed
+Tasks count in windows of text with numpy, by 64-bit fingerprints, and hand out each phrase of a window once,
+with its text, in packed blocks by language and hash; the counts of all windows meet in a shuffle and are added up by
+the text itself. A phrase that a third of all words belong to is one entry for each window. What a pass counts is told to the tasks by a Bloom filter of the proposed
 phrases that grows with them up to 16 MB; whatever passes it by chance, or when there are too many phrases
 for it, is counted besides and does no harm, so nothing depends on its size but the work.
 
@@ -35,6 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,13 +50,18 @@ COVERED_PERCENT = 80
 #: One of so many documents is in the sample.
 SAMPLE_SHARE = 16
 #: Bytes of text that a task counts at once.
-WINDOW_BYTES = 12 << 20
+WINDOW_BYTES = 8 << 20
 ROWS = 1 << 16
+#: Parts of the counts for each part that the documents would be dealt to: phrases outnumber texts.
+PARTS_EACH = 4
 FILTER_BITS_EACH = 16
 FILTER_BITS = (1 << 16, 1 << 27)
 #: Slices in which each language's best are found first.
 SLICES = 64
+#: Phrases of a part that are added up at once.
+FOLDED = 1 << 20
 COUNTS_SCHEMA = "lang string, size int, phrase string, f long"
+BLOCKS_SCHEMA = "part int, lang string, phrases binary, n binary"
 
 #: Fixed values of the words: what ends a piece, what separates words.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -67,6 +72,7 @@ _GAP = _END.copy()
 _GAP[list(BLANKS)] = True
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
+NEXT = ord("\n")  # words hold none
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 1 << 64)
 
@@ -124,8 +130,8 @@ class Tokens:
         numbers = np.array([self.names.setdefault(x, len(self.names)) for x in names], np.int32)
         count = np.diff(first)
         self.hashes.append(mix(hashes ^ np.repeat(marks, count)))
-        self.starts.append(starts + self.bytes)
-        self.ends.append(ends + self.bytes)
+        self.starts.append((starts + self.bytes).astype(np.int32))
+        self.ends.append((ends + self.bytes).astype(np.int32))
         self.glued.append(glued)
         self.langs.append(np.repeat(numbers, count))
         self.data.append(_LOW[data])
@@ -178,17 +184,26 @@ def bloom_filter(prints: DataFrame, count: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def phrase_texts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, size: int) -> pa.Array:
-    """The words from each place on, joined by blanks. ``data`` ends in a blank."""
+def phrase_lines(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the words from each place on, joined by blanks, a line each, and where the lines begin.
+
+    ``data`` has one byte more than the text.
+    """
     which = (at[:, None] + np.arange(size)).ravel()
     lengths = ends[which] - starts[which] + 1
-    lengths[size - 1 :: size] -= 1
-    offsets = np.concatenate(([0], np.cumsum(lengths)))
-    place = np.arange(offsets[-1]) - np.repeat(offsets[:-1], lengths)
-    source = np.repeat(starts[which], lengths) + place
-    source[source >= np.repeat(ends[which], lengths)] = len(data) - 1
-    ends_at = offsets[::size].astype(np.int32)
-    return pa.StringArray.from_buffers(len(at), pa.py_buffer(ends_at), pa.py_buffer(data[source].tobytes()))
+    offsets = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+    text = data[np.arange(offsets[-1]) + np.repeat(starts[which] - offsets[:-1], lengths)]
+    text[offsets[1:] - 1] = ord(" ")
+    text[offsets[size::size] - 1] = NEXT
+    return text, offsets[::size]
+
+
+def lines_of(text: np.ndarray) -> pa.Array:
+    """The lines as strings."""
+    stops = np.flatnonzero(text == NEXT)
+    sizes = np.diff(stops, prepend=-1) - 1
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(text[text != NEXT].tobytes()))
 
 
 def tallied(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +224,7 @@ class Mining:
 
 
 def sampled_prints(texts: DataFrame, mining: Mining) -> DataFrame:
-    """Written table of the sample's proposals: fingerprints of its words and of longer phrases that it holds twice."""
+    """Written table of the sample's proposals: fingerprints of the phrases that it holds twice."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens in read_windows(batches):
@@ -220,26 +235,52 @@ def sampled_prints(texts: DataFrame, mining: Mining) -> DataFrame:
                 at, n = tallied(prints[whole])
                 values = prints[whole][at].view(np.int64)
                 for k in range(0, len(values), ROWS):
-                    few = n[k : k + ROWS] + (size == 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(values[k : k + ROWS]), pa.array(few)], ["print", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(values[k : k + ROWS]), pa.array(n[k : k + ROWS])], ["print", "n"])
 
     sample = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(mining.share)) == 0).select("text", "lang")
     rows = sample.mapInArrow(count, "print long, n long").groupBy("print").agg(F.sum("n").alias("n"))
     return written(rows.where("n >= 2").select("print"), "phrases-sample")
 
 
+def _blocks(tokens: Tokens, data, starts, ends, langs, at, size, n, prints, parts: int) -> Iterator[pa.RecordBatch]:
+    """Phrases of a window in packed blocks, one for each language and part; ``at`` is in the order of ``prints``."""
+    part = ((prints >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    key = langs[at].astype(np.int64) * parts + part
+    order = np.argsort(key, kind="stable")
+    at, n, key = at[order], n[order], key[order]
+    names, codec = list(tokens.names), pa.Codec("zstd", 1)
+    for k in range(0, len(at), ROWS):
+        few, count, keys = at[k : k + ROWS], n[k : k + ROWS].astype("<u4"), key[k : k + ROWS]
+        text, offsets = phrase_lines(data, starts, ends, few, size)
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        last = np.append(first[1:], len(keys))
+        rows = [
+            (int(keys[i] % parts), names[int(keys[i] // parts)], _packed(codec, text[offsets[i] : offsets[j]]), _packed(codec, count[i:j]))
+            for i, j in zip(first.tolist(), last.tolist())
+        ]
+        kinds = (pa.int32(), pa.string(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["part", "lang", "phrases", "n"])
+
+
+def _packed(codec: pa.Codec, x: np.ndarray) -> bytes:
+    data = x.tobytes()
+    return len(data).to_bytes(4, "little") + codec.compress(data, asbytes=True)
+
+
+def _unpacked(codec: pa.Codec, data: bytes) -> np.ndarray:
+    return np.frombuffer(codec.decompress(data[4:], int.from_bytes(data[:4], "little")), np.uint8)
+
+
+def _added(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables).group_by("phrase").aggregate([("f", "sum")]).rename_columns(["phrase", "f"])
+
+
 def counted(texts: DataFrame, blooms: list[np.ndarray], mining: Mining, parts: int) -> DataFrame:
     """Written table of one full pass: frequent phrases among those that the last filter proposes or has on its border,
     and that no earlier filter did; in the first pass all words, and their number as size 0."""
     shared = texts.sparkSession.sparkContext.broadcast(blooms)
     first = len(blooms) == 1
 
-    def rows(tokens: Tokens, data, starts, ends, langs, names, at, size, n) -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(at), ROWS):
-            few = at[k : k + ROWS]
-            columns = [names.take(pa.array(langs[few])), pa.array(np.full(len(few), size, np.int32)), phrase_texts(data, starts, ends, few, size), pa.array(n[k : k + ROWS])]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "f"])
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blooms = shared.value
         for tokens in read_windows(batches):
@@ -247,13 +288,14 @@ def counted(texts: DataFrame, blooms: list[np.ndarray], mining: Mining, parts: i
                 continue
             hashes, glued, langs = (np.concatenate(x) for x in (tokens.hashes, tokens.glued, tokens.langs))
             starts, ends = np.concatenate(tokens.starts), np.concatenate(tokens.ends)
-            data = np.concatenate([*tokens.data, np.array([32], np.uint8)])
-            tokens.data.clear()
-            names = pa.array(list(tokens.names), pa.string())
-            if first:
-                n = np.bincount(langs, minlength=len(names))
-                kinds = [pa.array(np.zeros(len(names), np.int32)), pa.array([""] * len(names)), pa.array(n)]
-                yield pa.RecordBatch.from_arrays([names, *kinds], ["lang", "size", "phrase", "f"])
+            data = np.concatenate([*tokens.data, np.array([NEXT], np.uint8)])
+            for read in (tokens.data, tokens.hashes, tokens.glued, tokens.langs, tokens.starts, tokens.ends):
+                read.clear()
+            if first:  # the number of words, as that of the empty phrase
+                codec, total = pa.Codec("zstd", 1), np.bincount(langs, minlength=len(tokens.names)).astype("<u4")
+                empty = [_packed(codec, np.array([NEXT], np.uint8))] * len(total)
+                columns = [pa.array([0] * len(total), pa.int32()), pa.array(list(tokens.names)), pa.array(empty), pa.array([_packed(codec, x) for x in total])]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "lang", "phrases", "n"])
             known = [np.zeros(0, bool)] * len(blooms)  # whether each filter knows the phrase and all its parts
             for size, prints, whole in runs(hashes, glued, mining.longest):
                 if size == 1:
@@ -266,7 +308,7 @@ def counted(texts: DataFrame, blooms: list[np.ndarray], mining: Mining, parts: i
                         wanted &= ~earlier
                 where = np.flatnonzero(wanted)
                 at, n = tallied(prints[where])
-                yield from rows(tokens, data, starts, ends, langs, names, where[at], size, n)
+                yield from _blocks(tokens, data, starts, ends, langs, where[at], size, n, prints[where[at]], parts)
                 if size < mining.longest:
                     known = []
                     for bloom, may in zip(blooms, both):
@@ -275,9 +317,31 @@ def counted(texts: DataFrame, blooms: list[np.ndarray], mining: Mining, parts: i
                         hit[some[held(bloom, prints[some])]] = True
                         known.append(hit)
 
-    dealt = texts.select("text", "lang").mapInArrow(count, COUNTS_SCHEMA).repartition(parts, "lang", "size", "phrase")
-    sums = dealt.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
-    return written(sums.where((F.col("size") == 0) | (F.col("f") >= mining.least)), "phrases-counted")
+    def frequent(lang: str, sums: pa.Table) -> pa.RecordBatch:
+        size = pa.compute.count_substring(sums["phrase"], " ").combine_chunks().to_numpy() + 1
+        size[pa.compute.equal(sums["phrase"], "").combine_chunks().to_numpy(zero_copy_only=False)] = 0
+        kept = np.flatnonzero((size == 0) | (sums["f"].to_numpy() >= mining.least))
+        few = sums.take(kept).combine_chunks()
+        columns = [pa.array([lang] * len(kept), pa.string()), pa.array(size[kept].astype(np.int32)), *(few[c].combine_chunks() for c in ("phrase", "f"))]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "f"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, now = pa.Codec("zstd", 1), None
+        tables: list[pa.Table] = []
+        for batch in batches:
+            for part, lang, phrases, n in zip(*(batch.column(c).to_pylist() for c in ("part", "lang", "phrases", "n"))):
+                if (part, lang) != now and tables:
+                    yield frequent(now[1], _added(tables))
+                    tables = []
+                now = (part, lang)
+                tables.append(pa.table({"phrase": lines_of(_unpacked(codec, phrases)), "f": _unpacked(codec, n).view("<u4").astype(np.int64)}))
+                if sum(map(len, tables[1:])) >= max(FOLDED, len(tables[0])):
+                    tables = [_added(tables)]
+        if tables:
+            yield frequent(now[1], _added(tables))
+
+    dealt = texts.select("text", "lang").mapInArrow(count, BLOCKS_SCHEMA).repartition(parts, "part").sortWithinPartitions("part", "lang")
+    return written(dealt.mapInArrow(add, COUNTS_SCHEMA), "phrases-counted")
 
 
 def phrase_prints(phrases: DataFrame) -> DataFrame:
@@ -304,6 +368,7 @@ def frequent_phrases(documents: DataFrame, mining: Mining | None = None) -> Data
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text"), lang)
     proposed = sampled_prints(texts, mining)
     blooms = [bloom_filter(proposed, proposed.count())]
+    parts *= PARTS_EACH
     found = counted(texts, blooms, mining, parts)
     for _ in range(mining.longest - 1):
         prints = written(phrase_prints(found.where(F.col("size").between(1, mining.longest - 1))), "phrases-prints")
