@@ -35,8 +35,8 @@ from numberboard.llm.textnum import _BYTE, _REACH, _STEP, chunks, mix, raw
 WINDOW = 2048
 OPEN_WINDOWS = 64
 SEPARATOR = 1
-CHUNK_BYTES = 4 << 20
-CACHED_PIECES = 1_000_000
+CHUNK_BYTES = 1 << 20
+CACHED_PIECES = 1 << 18
 MERGED_TASKS = 1024
 PIECES_SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, leftover boolean"
@@ -113,9 +113,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.letters = _byte_letters()
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.slot: dict[int, int] = {}
         self.begin = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.uint32)
@@ -139,11 +139,16 @@ class Encoder:
         at = np.flatnonzero((data & 0xC0) != 0x80)[cuts]
         ends = np.append(at[1:], len(data))
         size = ends - at
-        place = (np.arange(len(data)) - np.repeat(at, size)) % _REACH
-        keys = mix(np.add.reduceat(_BYTE[data] * _STEP[place], at) + size.astype(np.uint64))
+        place = np.arange(len(data), dtype=np.int32)
+        place -= np.repeat(at.astype(np.int32), size)
+        place %= _REACH
+        value = _BYTE[data]
+        value *= _STEP[place]
+        keys = mix(np.add.reduceat(value, at) + size.astype(np.uint64))
+        del place, value
         keys, first, which = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.slot) + len(keys) > CACHED_PIECES:
-            self._forget()
+            self.forget()
         get, whole = self.slot.get, data.tobytes()
         slots = [get(k, -1) for k in keys.tolist()]
         for i in [i for i, s in enumerate(slots) if s < 0]:
