@@ -52,8 +52,6 @@ SAMPLE_SHARE = 16
 #: Bytes of text that a task counts at once.
 WINDOW_BYTES = 8 << 20
 ROWS = 1 << 16
-#: Parts of the counts for each part that the documents would be dealt to: phrases outnumber texts.
-PARTS_EACH = 4
 FILTER_BITS_EACH = 16
 FILTER_BITS = (1 << 16, 1 << 27)
 #: Slices in which each language's best are found first.
@@ -242,24 +240,34 @@ def sampled_prints(texts: DataFrame, mining: Mining) -> DataFrame:
     return written(rows.where("n >= 2").select("print"), "phrases-sample")
 
 
-def _blocks(tokens: Tokens, data, starts, ends, langs, at, size, n, prints, parts: int) -> Iterator[pa.RecordBatch]:
-    """Phrases of a window in packed blocks, one for each language and part; ``at`` is in the order of ``prints``."""
-    part = ((prints >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-    key = langs[at].astype(np.int64) * parts + part
-    order = np.argsort(key, kind="stable")
-    at, n, key = at[order], n[order], key[order]
-    names, codec = list(tokens.names), pa.Codec("zstd", 1)
-    for k in range(0, len(at), ROWS):
-        few, count, keys = at[k : k + ROWS], n[k : k + ROWS].astype("<u4"), key[k : k + ROWS]
-        text, offsets = phrase_lines(data, starts, ends, few, size)
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        last = np.append(first[1:], len(keys))
-        rows = [
-            (int(keys[i] % parts), names[int(keys[i] // parts)], _packed(codec, text[offsets[i] : offsets[j]]), _packed(codec, count[i:j]))
-            for i, j in zip(first.tolist(), last.tolist())
-        ]
-        kinds = (pa.int32(), pa.string(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["part", "lang", "phrases", "n"])
+class Blocks:
+    """Phrases of a window, held by language and part until they are packed."""
+
+    def __init__(self, names: list[str], parts: int):
+        self.names, self.parts = names, parts
+        self.held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def put(self, data, starts, ends, langs, at, size, n, prints) -> None:
+        """``at``: where a phrase of each of the fingerprints stands, ``n``: how often it does."""
+        part = ((prints >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int64)
+        key = langs[at].astype(np.int64) * self.parts + part
+        order = np.argsort(key, kind="stable")
+        at, n, key = at[order], n[order], key[order]
+        for k in range(0, len(at), ROWS):
+            count, keys = n[k : k + ROWS].astype("<u4"), key[k : k + ROWS]
+            text, offsets = phrase_lines(data, starts, ends, at[k : k + ROWS], size)
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            for i, j in zip(first.tolist(), np.append(first[1:], len(keys)).tolist()):
+                self.held.setdefault(int(keys[i]), []).append((text[offsets[i] : offsets[j]], count[i:j]))
+
+    def packed(self) -> Iterator[pa.RecordBatch]:
+        codec, keys = pa.Codec("zstd", 1), sorted(self.held)
+        for k in range(0, len(keys), 64):
+            few = keys[k : k + 64]
+            columns = [pa.array([x % self.parts for x in few], pa.int32()), pa.array([self.names[x // self.parts] for x in few])]
+            for side in (0, 1):
+                columns.append(pa.array([_packed(codec, np.concatenate([y[side] for y in self.held[x]])) for x in few], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["part", "lang", "phrases", "n"])
 
 
 def _packed(codec: pa.Codec, x: np.ndarray) -> bytes:
@@ -291,11 +299,10 @@ def counted(texts: DataFrame, blooms: list[np.ndarray], mining: Mining, parts: i
             data = np.concatenate([*tokens.data, np.array([NEXT], np.uint8)])
             for read in (tokens.data, tokens.hashes, tokens.glued, tokens.langs, tokens.starts, tokens.ends):
                 read.clear()
+            blocks = Blocks(list(tokens.names), parts)
             if first:  # the number of words, as that of the empty phrase
-                codec, total = pa.Codec("zstd", 1), np.bincount(langs, minlength=len(tokens.names)).astype("<u4")
-                empty = [_packed(codec, np.array([NEXT], np.uint8))] * len(total)
-                columns = [pa.array([0] * len(total), pa.int32()), pa.array(list(tokens.names)), pa.array(empty), pa.array([_packed(codec, x) for x in total])]
-                yield pa.RecordBatch.from_arrays(columns, ["part", "lang", "phrases", "n"])
+                for k, total in enumerate(np.bincount(langs, minlength=len(tokens.names)).astype("<u4")):
+                    blocks.held[k * parts] = [(np.array([NEXT], np.uint8), np.array([total]))]
             known = [np.zeros(0, bool)] * len(blooms)  # whether each filter knows the phrase and all its parts
             for size, prints, whole in runs(hashes, glued, mining.longest):
                 if size == 1:
@@ -308,7 +315,7 @@ def counted(texts: DataFrame, blooms: list[np.ndarray], mining: Mining, parts: i
                         wanted &= ~earlier
                 where = np.flatnonzero(wanted)
                 at, n = tallied(prints[where])
-                yield from _blocks(tokens, data, starts, ends, langs, where[at], size, n, prints[where[at]], parts)
+                blocks.put(data, starts, ends, langs, where[at], size, n, prints[where[at]])
                 if size < mining.longest:
                     known = []
                     for bloom, may in zip(blooms, both):
@@ -316,6 +323,7 @@ def counted(texts: DataFrame, blooms: list[np.ndarray], mining: Mining, parts: i
                         hit = np.zeros(len(may), bool)
                         hit[some[held(bloom, prints[some])]] = True
                         known.append(hit)
+            yield from blocks.packed()
 
     def frequent(lang: str, sums: pa.Table) -> pa.RecordBatch:
         size = pa.compute.count_substring(sums["phrase"], " ").combine_chunks().to_numpy() + 1
@@ -368,7 +376,6 @@ def frequent_phrases(documents: DataFrame, mining: Mining | None = None) -> Data
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text"), lang)
     proposed = sampled_prints(texts, mining)
     blooms = [bloom_filter(proposed, proposed.count())]
-    parts *= PARTS_EACH
     found = counted(texts, blooms, mining, parts)
     for _ in range(mining.longest - 1):
         prints = written(phrase_prints(found.where(F.col("size").between(1, mining.longest - 1))), "phrases-prints")
