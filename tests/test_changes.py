@@ -195,6 +195,35 @@ def test_numbers_over_many_ranges(spark):
     assert {row.k: row.ordinal for row in got} == {key: place + 1 for place, key in enumerate(sorted(keys))}
 
 
+def test_numbers_of_wide_keys(spark):
+    """64-bit keys: far apart, close together and of both signs; ranks in many ranges, blocks and top ranges."""
+    keys = {-(1 << 63), (1 << 63) - 1, 0, -1}
+    for shift in (0, 17, 18, 33, 34, 49, 50, 62):
+        keys |= {sign * ((1 << shift) + step) for step in range(-3, 4) for sign in (-1, 1)}
+    keys |= {(plate << 32) + tag for plate in range(0, 3000, 7) for tag in (1, 2, 500_000)}
+    df = spark.createDataFrame([(key,) for key in sorted(keys, key=hash)], "k long").repartition(5)
+    numbered = number_rows(df, "k")
+    assert {row.k: row.ordinal for row in numbered.collect()} == {key: place + 1 for place, key in enumerate(sorted(keys))}
+
+
+def test_wide_numbering_has_no_growing_window_or_broadcast(spark):
+    """The only window in one task is over the top ranges, and nothing is broadcast by a hint."""
+    numbered = number_rows(spark.range(10).select(F.col("id").alias("k")), "k")
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    single = [line for line in plan.splitlines() if "Window" in line and "RowFrame" in line and "row_number" not in line]
+    assert len([line for line in single if "_block" not in line.split("AS")[0] and "windowspecdefinition(_range" in line]) == 1
+    assert "broadcast" not in plan.lower()
+
+
+def test_pairs_are_numbered_in_order(spark):
+    batch = spark.createDataFrame([(p, h, p * 10 + h) for p in range(1, 200) for h in (3, 1, 2)], "plates_id int, hashtag_id int, seq int")
+    batch = batch.selectExpr("*", "TIMESTAMP_NTZ '2024-06-01' AS add_date")
+    table = spark.createDataFrame([(40, 5, 2)], "plates_hashtag_id int, plates_id int, hashtag_id int")
+    got = W.admitted_plate_hashtags(batch, table).collect()
+    pairs = sorted((p, h) for p in range(1, 200) for h in (1, 2, 3) if (p, h) != (5, 2))
+    assert {(r.plates_id, r.hashtag_id): r.plates_hashtag_id for r in got} == {pair: 41 + k for k, pair in enumerate(pairs)}
+
+
 def test_email_shapes(spark):
     good = [
         "a@b", "simple@example.com", "very.common@example.com", "a+b=c@sub.example.co", '"john..doe"@example.org',
