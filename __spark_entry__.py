@@ -31,7 +31,7 @@ from numberboard.operators.latest import (  # noqa: E402
     latest_price,
     plate_reactions,
 )
-from numberboard.operators.stores import store_reactions, store_totals  # noqa: E402
+from numberboard.operators.stores import narrowed, store_reactions, store_totals  # noqa: E402
 from numberboard.params import PlatesFilter, UsersFilter  # noqa: E402
 from numberboard.plans import changes as W  # noqa: E402
 from numberboard.plans import listings as L  # noqa: E402
@@ -227,11 +227,11 @@ def _reads() -> dict[str, tuple[Query, str]]:
         return run
 
     entries["search_users_info"] = (
-        store_query(S.search_users_info, UsersFilter(users_id=8, search_text="1")),
+        store_query(lambda t, f: narrowed(S.search_users_info(t, f)), UsersFilter(users_id=8, search_text="1")),
         sql.stores(8, "u.name LIKE '%1%'"),
     )
     entries["query_users_info"] = (
-        store_query(S.query_users_info, UsersFilter(store_id=STORE)),
+        store_query(lambda t, f: narrowed(S.query_users_info(t, f)), UsersFilter(store_id=STORE)),
         sql.stores(0, f"u.users_id = {STORE}"),
     )
     entries["fetch_special_front"] = (
@@ -284,7 +284,7 @@ SELECT plates_id, CAST(a AS BIGINT) AS liked_plates_id_count, CAST(b AS BIGINT)
  CAST(a + b AS BIGINT) AS reacts_count FROM ({plain}) AS sums""",
         ),
         "store_reactions": (
-            _on("rating", "liked_store", "saved_store")(store_reactions),
+            _on("rating", "liked_store", "saved_store")(lambda r, l, s: narrowed(store_reactions(r, l, s))),
             f"""{with_views('rating', 'liked_store', 'saved_store')},
 targets AS (SELECT store_id FROM rating UNION SELECT store_id FROM liked_store UNION SELECT store_id FROM saved_store)
 SELECT t.store_id, COUNT(r.rating_id) AS rating_id_count, COUNT(l.liked_store_id) AS liked_store_id_count,

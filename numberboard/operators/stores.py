@@ -7,6 +7,21 @@ from pyspark.sql import functions as F
 
 from .latest import at_least_one, check_counts, count_by, current_price, or_zero
 
+#: Products of counts pass 64 bits soon: three millions of ratings, likes and saves do.
+WIDE = "decimal(38,0)"
+
+
+def wide(x: Column) -> Column:
+    return x.cast(WIDE)
+
+
+def product(*factors: Column) -> Column:
+    """Exact product of counts in 38 digits; null beyond, so that one store never stops the others."""
+    out = wide(factors[0])
+    for factor in factors[1:]:
+        out = F.try_multiply(out, wide(factor)).cast(WIDE)
+    return out
+
 
 def store_reactions(
     rating: DataFrame, liked: DataFrame, saved: DataFrame, counts: str = "fanout"
@@ -14,7 +29,7 @@ def store_reactions(
     """Ratings, likes and saves per store that has any of them, with the plain average score.
 
     With ``fanout`` each count is multiplied by the other two (at least 1), as when the three
-    tables are joined before counting.
+    tables are joined before counting; these products are DECIMAL(38,0), see ``narrowed``.
     """
     check_counts(counts)
     merged = (
@@ -26,9 +41,9 @@ def store_reactions(
     rated_count = or_zero("ratings")
     if counts == "fanout":
         liked_count, saved_count, rated_count = (
-            liked_count * at_least_one("ratings") * at_least_one("saves"),
-            saved_count * at_least_one("ratings") * at_least_one("likes"),
-            rated_count * at_least_one("likes") * at_least_one("saves"),
+            product(liked_count, at_least_one("ratings"), at_least_one("saves")),
+            product(saved_count, at_least_one("ratings"), at_least_one("likes")),
+            product(rated_count, at_least_one("likes"), at_least_one("saves")),
         )
     return merged.select(
         "store_id",
@@ -81,13 +96,19 @@ def total_columns(counts: str) -> list[Column]:
     liked, saved = or_zero("likes"), or_zero("saves")
     if counts == "fanout":
         ratings, likes, saves = (at_least_one(name) for name in ("ratings", "likes", "saves"))
-        liked, saved = plates * ratings * liked * saves, plates * ratings * likes * saved
-        assets, plates = assets * ratings * likes * saves, plates * ratings * likes * saves
+        liked, saved = product(plates, ratings, liked, saves), product(plates, ratings, likes, saved)
+        assets, plates = product(assets, ratings, likes, saves), product(plates, ratings, likes, saves)
     return [
         liked.alias("liked_store_id_count"),
         saved.alias("saved_store_id_count"),
-        (liked + saved).alias("reacts_count"),
+        (F.try_add(liked, saved).cast(WIDE) if counts == "fanout" else liked + saved).alias("reacts_count"),
         assets.alias("total_assets"),
         plates.alias("plates_count"),
         F.col("score").alias("average_score"),
     ]
+
+
+def narrowed(df: DataFrame) -> DataFrame:
+    """The wide columns as 64-bit integers, the type a count has in SQL; null where one doesn't fit."""
+    kinds = dict(df.dtypes)
+    return df.select([F.col(c).try_cast("bigint").alias(c) if kinds[c] == WIDE else F.col(c) for c in df.columns])

@@ -5,7 +5,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from numberboard.operators import joins
+from numberboard.operators import joins, stores
 from numberboard.operators.envelope import nest_page
 from numberboard.operators.latest import plate_reactions
 from numberboard.operators.joins import semi_filter
@@ -206,3 +206,27 @@ def test_no_job_runs_while_a_plan_is_built(spark, tables):
         plan(catalogue, UsersFilter(users_id=5, store_id=1, search_text="o"))
     assert list(jobs.getJobIdsForGroup("planning")) == []
     spark.sparkContext.setJobGroup("tests", "")
+
+
+def test_totals_of_a_store_with_millions_of_reactions(spark):
+    """Products beyond 64 bits stay exact, beyond 38 digits they are null; other stores are not touched."""
+    many = 3_000_000
+
+    def reactions(name):
+        hot = spark.range(many).select(F.col("id").cast("int").alias(name), F.lit(1).alias("store_id"))
+        return hot.union(spark.createDataFrame([(-1, 2)], f"{name} int, store_id int"))
+
+    rating = reactions("rating_id").withColumn("score", F.lit(4.0))
+    liked, saved = reactions("liked_store_id"), reactions("saved_store_id")
+    plates = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "plates_id int, users_id int")
+    prices = spark.createDataFrame([(1, 1, 500), (2, 2, 700), (3, 3, 9)], "price_history_id int, plates_id int, price int")
+    totals = {r.users_id: r for r in stores.store_totals(plates, prices, rating, liked, saved).collect()}
+    assert totals[1].total_assets == 1200 * many**3 and totals[1].plates_count == 2 * many**3
+    assert totals[1].reacts_count == 4 * many**3 and totals[1].liked_store_id_count == 2 * many**3
+    assert (totals[2].total_assets, totals[2].plates_count, totals[2].reacts_count) == (9, 1, 2)
+    by_store = {r.store_id: r for r in stores.store_reactions(rating, liked, saved).collect()}
+    assert by_store[1].rating_id_count == many**3 and by_store[2].rating_id_count == 1
+    narrow = {r.store_id: r for r in stores.narrowed(stores.store_reactions(rating, liked, saved)).collect()}
+    assert narrow[1].rating_id_count is None and narrow[2].rating_id_count == 1 and narrow[1].average_score == 4.0
+    wide = spark.createDataFrame([(1 << 62,)], "n long").select(stores.product(*[F.col("n")] * 3).alias("p")).first()
+    assert wide.p is None
