@@ -56,11 +56,16 @@ def admit_new_plates(batch: DataFrame, plates: DataFrame) -> DataFrame:
     A request conflicts when its identity is already listed or was requested earlier in the batch.
     New ids follow the highest one in request order.
     """
-    winners = first_claims(batch, plates, PLATE_IDENTITY, "request_id").select("request_id")
+    return admit_against(batch, plates, highest(plates, "plates_id"))
+
+
+def admit_against(batch: DataFrame, listed: DataFrame, last_id: Column) -> DataFrame:
+    """``admit_new_plates`` where ``listed`` holds at least those identities that the batch asks for, ``last_id`` the highest id."""
+    winners = first_claims(batch, listed, PLATE_IDENTITY, "request_id").select("request_id")
     numbered = number_rows(winners, "request_id")
     won = F.col("ordinal").isNotNull()
     return batch.join(numbered, "request_id", "left").select(
-        (highest(plates, "plates_id") + F.col("ordinal")).cast("int").alias("plates_id"),
+        (last_id + F.col("ordinal")).cast("int").alias("plates_id"),
         *batch.columns,
         plate_identity().alias("unique_text"),
         F.when(won, "admitted").otherwise("conflict").alias("status"),

@@ -9,13 +9,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import PLATE_IDENTITY
 from ..operators.classify import classify
-from ..plans.changes import admit_new_plates
+from ..plans.changes import admit_against
+from .epochs import FAN, EpochTable, last_epoch
+
+#: Buckets of listed identities.
+BUCKETS = 16
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_stream(
@@ -80,27 +86,44 @@ def stream_classify(plates_stream: DataFrame) -> DataFrame:
 # -- admission ---------------------------------------------------------------------------------
 
 
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*PLATE_IDENTITY), F.lit(buckets)).cast("int").alias("bucket")
+
+
 def stream_admit(
-    batch_stream: DataFrame, plates: DataFrame, path: str, checkpoint: str
+    batch_stream: DataFrame, plates: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS, fan: int = FAN
 ) -> None:
     """Admit plates as they arrive; an identity once listed is never forgotten.
 
-    Each micro-batch is decided in request order against the catalogue and the earlier
-    micro-batches, of which only identity and id are read. Files must be offered in request order.
+    Each micro-batch is decided in request order against the catalogue and the earlier micro-batches.
+    Files must be offered in request order. The catalogue's identities are written once, by buckets of
+    their hash, before the first micro-batch; what later ones admit goes to folders that fold as they grow.
+    A micro-batch reads the buckets that its requests fall into, no other column, and the highest id from the
+    state that the one before has left, so its work follows the batch. Choose ``buckets`` by
+    the catalogue: about a million identities each.
     """
-    known = [*PLATE_IDENTITY, "plates_id"]
-    catalogue_schema = plates.select(*known).schema
-    decided_schema = T.StructType([*catalogue_schema.fields, T.StructField("status", T.StringType())])
+    spark = plates.sparkSession
+    listed_schema = T.StructType([*plates.select(*PLATE_IDENTITY).schema.fields, T.StructField("bucket", T.IntegerType())])
+    state, base = f"{path}-state", f"{path}-state/catalogue"
+    admitted = EpochTable(f"{state}/admitted", listed_schema, partition=("bucket",), fan=fan)
+    if last_epoch(spark, f"{state}/highest") < 0:  # the mark of the catalogue, as if of a micro-batch 0, comes last
+        listed = plates.select(*PLATE_IDENTITY, _bucket(buckets)).distinct()
+        listed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(base)
+        top = plates.agg(F.coalesce(F.max("plates_id"), F.lit(0)).cast("long").alias("plates_id"))
+        top.write.mode("overwrite").parquet(f"{state}/highest/epoch=0")
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        earlier = (
-            read_epochs(batch.sparkSession, path, decided_schema)
-            .where((F.col("epoch") < epoch) & (F.col("status") == "admitted"))
-            .select(*known)
-        )
-        catalogue = plates.select(*known).unionByName(earlier)
-        decisions = admit_new_plates(batch, catalogue)
+        spark = batch.sparkSession
+        touched = [row.bucket for row in batch.select(_bucket(buckets)).distinct().collect()]  # at most ``buckets``
+        catalogue = spark.read.schema(listed_schema).parquet(base)
+        known = catalogue.unionByName(admitted.read(spark, epoch)).where(F.col("bucket").isin(touched)).drop("bucket")
+        highest = spark.read.schema("plates_id long").parquet(f"{state}/highest/epoch={epoch}").first().plates_id
+        decisions = admit_against(batch, known, F.lit(highest))
         decisions.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        new = spark.read.schema(decisions.schema).parquet(f"{path}/epoch={epoch}").where(F.col("status") == "admitted")
+        admitted.write(new.select(*PLATE_IDENTITY, _bucket(buckets)), epoch)
+        top = new.agg(F.coalesce(F.max("plates_id"), F.lit(highest)).cast("long").alias("plates_id"))
+        top.write.mode("overwrite").parquet(f"{state}/highest/epoch={epoch + 1}")
 
     run_each_batch(batch_stream, handle, "append", checkpoint)
 
@@ -114,13 +137,33 @@ def stream_latest_price(price_stream: DataFrame) -> DataFrame:
     return price_stream.groupBy("plates_id").agg(newest).select("plates_id", "_newest.*")
 
 
-def run_latest_price(price_stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Write the plates whose price changed in each micro-batch."""
+def _newest(rows: DataFrame) -> DataFrame:
+    """The newest price of each plate. Prices only get newer, so this is what the last micro-batch that names it wrote."""
+    return stream_latest_price(rows).select(LATEST_PRICE_SCHEMA.names)
+
+
+def _prices(path: str, fan: int) -> EpochTable:
+    return EpochTable(f"{path}/prices", LATEST_PRICE_SCHEMA, _newest, fan=fan)
+
+
+def run_latest_price(price_stream: DataFrame, path: str, checkpoint: str, fan: int = FAN) -> None:
+    """Write the plates whose price changed in each micro-batch; folders fold to the newest row per plate.
+
+    The running state is kept by RocksDB, on disk and not on the heap: a cluster's disks bound it.
+    """
+    table, spark = _prices(path, fan), price_stream.sparkSession
 
     def handle(changed: DataFrame, epoch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        spark = changed.sparkSession
+        table.write(changed, epoch)
+        spark.range(1).write.mode("overwrite").parquet(f"{path}/done/epoch={epoch}")
 
-    run_each_batch(stream_latest_price(price_stream), handle, "update", checkpoint)
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        run_each_batch(stream_latest_price(price_stream), handle, "update", checkpoint)
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
 
 
 LATEST_PRICE_SCHEMA = T.StructType(
@@ -128,10 +171,6 @@ LATEST_PRICE_SCHEMA = T.StructType(
 )
 
 
-def read_latest_price(spark: SparkSession, path: str) -> DataFrame:
-    """Current price per plate from the change folders: the newest micro-batch that names the plate."""
-    changes = read_epochs(spark, path, LATEST_PRICE_SCHEMA)
-    return changes.groupBy("plates_id").agg(
-        F.max_by("price_history_id", "epoch").alias("price_history_id"),
-        F.max_by("price", "epoch").alias("price"),
-    )
+def read_latest_price(spark: SparkSession, path: str, fan: int = FAN) -> DataFrame:
+    """Current price per plate, from at most fan - 1 folders of each level."""
+    return _newest(_prices(path, fan).read(spark, last_epoch(spark, f"{path}/done") + 1))

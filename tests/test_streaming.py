@@ -1,6 +1,7 @@
 """Streams over several files against their batch twins."""
 
 import pytest
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from numberboard.operators.classify import classify
@@ -8,6 +9,7 @@ from numberboard.operators.latest import current_price
 from numberboard.plans.changes import admit_new_plates
 from numberboard.sources.fixtures import derive
 from numberboard.streaming import jobs as ST
+from numberboard.streaming.epochs import EpochTable
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -69,3 +71,31 @@ def test_classify_over_files(spark, views, tmp_path):
     stream = ST.read_stream(spark, source, plates.schema, files_per_batch=1)
     ST.run_to_table(ST.stream_classify(stream), out, str(tmp_path / "checkpoint"))
     assert rows(spark.read.parquet(out)) == rows(classify(plates))
+
+
+def test_admission_folds_and_prunes(spark, views, tmp_path):
+    """Many micro-batches: decisions as of one batch, folded folders, and a retry that changes nothing."""
+    batch, plates = views["new_plates_batch"].limit(60).cache(), views["plates"]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    in_files(batch, "request_id", source, parts=6)
+    stream = ST.read_stream(spark, source, batch.schema, files_per_batch=1)
+    ST.stream_admit(stream, plates, out, str(tmp_path / "checkpoint"), buckets=4, fan=2)
+    twin = admit_new_plates(batch, plates)
+    decided = ST.read_epochs(spark, out, twin.schema)
+    columns = ["request_id", "status", "plates_id"]
+    assert rows(decided.select(*columns).fillna(-1)) == rows(twin.select(*columns).fillna(-1))
+    folders = sorted(p.relative_to(tmp_path).as_posix() for p in (tmp_path / "out-state/admitted").glob("level=*/group=*"))
+    assert [f.split("admitted/")[1] for f in folders] == ["level=0/group=4", "level=0/group=5", "level=1/group=2", "level=2/group=0"]
+
+
+def test_folders_follow_the_digits(spark, tmp_path):
+    table = EpochTable(str(tmp_path), T.StructType.fromDDL("k int, v int"), lambda r: r.groupBy("k").agg(F.max("v").alias("v")), fan=3)
+    for epoch in range(11):
+        table.write(spark.createDataFrame([(epoch % 2, epoch), (5, epoch)], "k int, v int"), epoch)
+        if epoch in (2, 4, 8, 10):  # a retry of the newest micro-batch
+            table.write(spark.createDataFrame([(epoch % 2, epoch), (5, epoch)], "k int, v int"), epoch)
+        newest = {r.k: r.v for r in table.read(spark, epoch + 1).groupBy("k").agg(F.max("v").alias("v")).collect()}
+        assert newest == {k: v for k, v in ((5, epoch), (epoch % 2, epoch), ((epoch - 1) % 2, epoch - 1)) if v >= 0}
+    assert table.folders(11) == [(2, 0), (0, 9), (0, 10)]
+    assert table.read(spark, 11).count() == 3 + 4
+    assert not (tmp_path / "level=0/group=0").exists() and table.read(spark, 0).count() == 0
