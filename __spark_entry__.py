@@ -37,7 +37,9 @@ from numberboard.plans import changes as W  # noqa: E402
 from numberboard.plans import listings as L  # noqa: E402
 from numberboard.plans import stores as S  # noqa: E402
 from numberboard.session import tune  # noqa: E402
+from numberboard.plans.publishing import MARKET, admit_and_publish  # noqa: E402
 from numberboard.sources import tables as TB  # noqa: E402
+from numberboard.sources.catalogue import Catalogue  # noqa: E402
 from numberboard.sources.fixtures import SOURCE_SCHEMAS, derive, with_views  # noqa: E402
 from numberboard.sources.workspace import workspace  # noqa: E402
 from numberboard.streaming import jobs as ST  # noqa: E402
@@ -431,10 +433,31 @@ def _tables() -> dict[str, tuple[Query, str]]:
         TB.publish(kept, root)
         return TB.current(spark, root, "plates").select("plates_id", "total", "is_selling")
 
+    def market(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+        """The tables after a batch of new plates was admitted and published."""
+        tables = derive(spark, sf_dir, *sql.LISTING_TABLES, "new_plates_batch")
+        catalogue = Catalogue(spark, workspace(spark, "market"))
+        loaded = {"plates": tables["plates"], "price_history": tables["price_history"], "plate_patterns": C.classify(tables["plates"])}
+        first = catalogue.commit(catalogue.snapshot(), replaced=loaded)
+        latest, _ = admit_and_publish(catalogue, tables["new_plates_batch"], _now(), first)
+        return {**tables, **{name: catalogue.table(name, latest) for name in MARKET}}
+
+    def admitted_explore(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return L.query_explore(market(spark, sf_dir), BASE)
+
+    def admitted_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return L.query_pattern(market(spark, sf_dir), replace(BASE, pattern="pattern_xyx"))
+
+    def admitted_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return C.pattern_counts(market(spark, sf_dir)["plate_patterns"])
+
     member_sql = f"{with_views('plates')},\n{sql.members('plates')}\nSELECT plates_id, pattern, TIMESTAMP '2024-06-01 00:00:00' AS add_date FROM members"
     return {
         "rebuild_patterns": (rebuild, member_sql),
         "pattern_members": (stored_members, f"{member_sql} WHERE pattern = 'pattern_rakhang'"),
+        "publish_admitted_explore": (admitted_explore, sql.after_admission(CEILING, IDS)),
+        "publish_admitted_pattern": (admitted_pattern, sql.after_admission(CEILING, IDS, "pattern_xyx")),
+        "publish_admitted_pattern_counts": (admitted_counts, sql.pattern_counts_after_admission()),
         "load_tables": (
             loaded,
             f"{with_views('plates', 'price_history')}\nSELECT h.plates_id, h.price_history_id, h.price, h.add_date,"
@@ -603,6 +626,29 @@ def _streams() -> dict[str, tuple[Query, str]]:
         schema = W.admit_new_plates(derive(spark, sf_dir, "new_plates_batch")["new_plates_batch"], plates).schema
         return ST.read_epochs(spark, f"{out}/decisions", schema).drop("epoch")
 
+    def in_files(df: DataFrame, order: str, parts: int = 4) -> str:
+        """The table as files in the order of a column, written one after the other."""
+        path, low = workspace(df.sparkSession, "arrivals"), float("-inf")
+        for high in [*df.approxQuantile(order, [k / parts for k in range(1, parts)], 0.001), float("inf")]:
+            df.where((F.col(order) > low) & (F.col(order) <= high)).coalesce(1).write.mode("append").parquet(path)
+            low = high
+        return path
+
+    def admit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = workspace(spark, "stream_admit")
+        tables = derive(spark, sf_dir, "plates", "new_plates_batch")
+        batch, plates = tables["new_plates_batch"], tables["plates"]
+        stream = ST.read_stream(spark, in_files(batch, "request_id"), batch.schema, files_per_batch=1)
+        ST.stream_admit(stream, plates, f"{out}/decisions", f"{out}/checkpoint", fan=2)
+        return ST.read_epochs(spark, f"{out}/decisions", W.admit_new_plates(batch, plates).schema).drop("epoch")
+
+    def latest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = workspace(spark, "stream_latest_price")
+        prices = derive(spark, sf_dir, "price_rows")["price_rows"]
+        stream = ST.read_stream(spark, in_files(prices, "price"), prices.schema, files_per_batch=1)
+        ST.run_latest_price(stream, f"{out}/changes", f"{out}/checkpoint", fan=2)
+        return ST.read_latest_price(spark, f"{out}/changes", fan=2)
+
     def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = workspace(spark, "stream_latest_price")
         lineitem = source(spark, sf_dir, "lineitem")
@@ -610,18 +656,20 @@ def _streams() -> dict[str, tuple[Query, str]]:
         ST.run_latest_price(prices, f"{out}/changes", f"{out}/checkpoint")
         return ST.read_latest_price(spark, f"{out}/changes")
 
+    newest_price = (
+        f"{with_views('price_history')}\nSELECT plates_id, price_history_id, price FROM ("
+        "SELECT *, ROW_NUMBER() OVER (PARTITION BY plates_id ORDER BY price_history_id DESC) AS place"
+        " FROM price_history) AS h WHERE place = 1"
+    )
     return {
         "stream_classify": (
             classify,
             f"{with_views('plates')},\n{sql.members('plates')}\nSELECT plates_id, pattern, add_date FROM members",
         ),
         "stream_admit": (admit, sql.admit_new_plates()),
-        "stream_latest_price": (
-            latest,
-            f"{with_views('price_history')}\nSELECT plates_id, price_history_id, price FROM ("
-            "SELECT *, ROW_NUMBER() OVER (PARTITION BY plates_id ORDER BY price_history_id DESC) AS place"
-            " FROM price_history) AS h WHERE place = 1",
-        ),
+        "stream_admit_files": (admit_files, sql.admit_new_plates()),
+        "stream_latest_price": (latest, newest_price),
+        "stream_latest_price_files": (latest_files, newest_price),
     }
 
 

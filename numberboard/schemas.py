@@ -37,7 +37,7 @@ SCHEMAS: dict[str, T.StructType] = {
     "saved_plates": _reaction("saved_plates_id", "plates_id"),
     "liked_store": _reaction("liked_store_id", "store_id"),
     "saved_store": _reaction("saved_store_id", "store_id"),
-    "rating": _table(rating_id=INT, users_id=INT, store_id=INT, score=SCORE, add_date=INSTANT),
+    "rating": _table(rating_id=INT, users_id=INT, store_id=INT, score=SCORE, review=TEXT, add_date=INSTANT),
     "special_front": _table(special_front_id=INT, front=TEXT),
     "hashtag": _table(hashtag_id=INT, tag=TEXT, add_date=INSTANT),
     "plates_hashtag": _table(

@@ -234,6 +234,41 @@ admitted AS (SELECT *, {NOW} AS add_date FROM decided WHERE won),
 SELECT plates_id, pattern, add_date FROM members"""
 
 
+def _after_admission() -> str:
+    """CTEs ending in ``grown_plates`` and ``grown_prices``: the tables with the admitted plates."""
+    return f"""{with_views(*LISTING_TABLES, 'new_plates_batch')},
+{DECIDED},
+grown_plates AS (
+ SELECT plates_id, front_text, plates_type_id, plates_uri, total, add_date, front_number, back_number, vehicle_type_id,
+  users_id, special_front_id, province_id, information, is_selling, is_temporary, is_pin FROM plates
+ UNION ALL
+ SELECT plates_id, front_text, plates_type_id, CAST(NULL AS STRING), total, {NOW}, front_number, back_number, vehicle_type_id,
+  users_id, special_front_id, province_id, information, TRUE, is_temporary, FALSE FROM decided WHERE won
+),
+grown_prices AS (
+ SELECT price_history_id, plates_id, price FROM price_history
+ UNION ALL
+ SELECT (SELECT MAX(price_history_id) FROM price_history) + CAST(ROW_NUMBER() OVER (ORDER BY plates_id) AS INT), plates_id, price
+ FROM decided WHERE won AND NOT is_temporary
+)"""
+
+
+def after_admission(price_under: int, ids: tuple[int, ...], pattern: str | None = None) -> str:
+    """Listing, of one pattern if given, over the tables with the admitted plates."""
+    inside = ", ".join(map(str, ids))
+    where = f" AND c.price <= {price_under} AND p.plates_type_id IN ({inside}) AND p.province_id IN ({inside})"
+    ctes = ""
+    if pattern:
+        ctes = ",\n" + members("plates")
+        where += f" AND p.plates_id IN (SELECT plates_id FROM members WHERE pattern = '{pattern}')"
+    shadowed = "WITH plates AS (SELECT * FROM grown_plates), price_history AS (SELECT * FROM grown_prices)"
+    return f"{_after_admission()}\nSELECT * FROM (\n{shadowed},\n{current()}{ctes}\nSELECT {LISTING_SELECT}\n{listing_from(0)}{where}\n) AS found"
+
+
+def pattern_counts_after_admission() -> str:
+    return f"{_after_admission()},\n{members('grown_plates')}\nSELECT pattern, COUNT(*) AS members FROM members GROUP BY pattern"
+
+
 def append_prices() -> str:
     return f"""{with_views('price_history', 'price_requests')},
 extended AS (
