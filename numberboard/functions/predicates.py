@@ -71,9 +71,31 @@ def back_number_is(number: int) -> Column:
     return F.col("back_number") == number
 
 
+#: Back numbers of plates have up to four digits; others are compared as text.
+BACK_NUMBERS = 10_000
+
+
 def back_number_contains(number: int) -> Column:
-    """The decimal digits of ``number`` occur anywhere in the back number."""
-    return F.col("back_number").cast("string").contains(str(number))
+    """The decimal digits of ``number`` occur anywhere in the back number.
+
+    Two digits or more occur in few numbers: these are listed, as runs, so that Parquet's statistics can skip
+    what holds none of them. One digit occurs in a third of all numbers, where nothing can be skipped.
+    """
+    text = F.col("back_number").cast("string").contains(str(number))
+    if abs(number) < 10:
+        return text
+    runs: list[list[int]] = []
+    for n in range(BACK_NUMBERS):
+        if str(number) in str(n):
+            if runs and runs[-1][1] == n - 1:
+                runs[-1][1] = n
+            else:
+                runs.append([n, n])
+    single = [first for first, last in runs if first == last]
+    listed = [f"back_number IN ({', '.join(map(str, single))})"] if single else []
+    listed += [f"back_number BETWEEN {first} AND {last}" for first, last in runs if first < last]
+    other = "back_number < 0 OR back_number >= {}".format(BACK_NUMBERS)
+    return F.expr(f"({' OR '.join([*listed, other])})") & (F.expr(f"NOT ({other})") | text)
 
 
 def front_text_starts(text: str, wildcards: bool = False) -> Column:

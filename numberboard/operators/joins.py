@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import HOT_ROWS, spread_lookup
 
 
 def with_plates(latest: DataFrame, plates: DataFrame) -> DataFrame:
@@ -18,14 +17,14 @@ def with_plates(latest: DataFrame, plates: DataFrame) -> DataFrame:
 SELLER_COLUMNS = ("users_id", "name", "profile_uri")
 
 
-def with_seller(df: DataFrame, sellers: DataFrame, plates: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_seller(df: DataFrame, sellers: DataFrame) -> DataFrame:
     """Adds the seller's columns; a plate whose seller is gone disappears.
 
-    One seller may own a third of all plates: ``plates``, the plates the listing was made from, tell
-    how many each has, and the plates of hot sellers are split over many tasks.
+    One seller may own a third of all plates. There is one row per seller (and reaction of the viewer) on the other side,
+    so adaptive execution can cut a hot seller's plates into several tasks and repeat that row; that is
+    left to it, as it knows the sizes without counting them first.
     """
-    sizes = plates.groupBy("users_id").agg(F.count(F.lit(1)).alias("_rows"))
-    return spread_lookup(df, sellers, ["users_id"], "plates_id", sizes, "inner", hot_rows)
+    return df.join(sellers, "users_id")
 
 
 def with_pattern(df: DataFrame, members: DataFrame, name: str) -> DataFrame:

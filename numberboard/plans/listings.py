@@ -44,7 +44,7 @@ def spine(
     """Listing of the given plates, unsorted and with the base columns still in place.
 
     The price, like and save tables keep only the plates' rows before they are reduced to one row
-    per plate; how, is for Catalyst and AQE to choose. Hot sellers are split over many tasks.
+    per plate; how, is for Catalyst and AQE to choose. Adaptive execution splits hot sellers.
     ``single`` promises at most one plate, with the tables already cut down to it.
     """
     raw = [tables[name] for name in ("price_history", "liked_plates", "saved_plates")]
@@ -57,7 +57,7 @@ def spine(
     sellers = with_viewer_store(
         tables["users"].select(*SELLER_COLUMNS), tables["liked_store"], tables["saved_store"], viewer
     )
-    return df.join(sellers, "users_id") if single else with_seller(df, sellers, plates)
+    return with_seller(df, sellers)
 
 
 def sellable_plates(tables: Tables, *conditions: Column) -> DataFrame:

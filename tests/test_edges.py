@@ -5,7 +5,8 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from numberboard.operators import joins, stores
+from numberboard.functions import predicates as P
+from numberboard.operators import stores
 from numberboard.operators.envelope import nest_page
 from numberboard.operators.latest import plate_reactions
 from numberboard.operators.joins import semi_filter
@@ -176,11 +177,7 @@ def test_store_totals_fan_out(tables):
     assert (plain.plates_count, plain.liked_store_id_count, plain.total_assets) == (2, 1, 150)
 
 
-@pytest.mark.parametrize("many", [False, True])
-def test_hot_sellers_do_not_change_rows(monkeypatch, tables, many):
-    """Sellers with and without hot keys run through one plan and give the same listing."""
-    if many:
-        monkeypatch.setattr(joins.with_seller, "__defaults__", (1,))
+def test_listing_repeats_rows_of_repeated_reactions(tables):
     f = replace(BASE, users_id=5, price_under=999, search_text_back_number=60)
     rows = [tuple(row) for row in L.search_number(tables, f).collect()]
     assert len(rows) == 5 and len({row[0] for row in rows}) == 2
@@ -230,3 +227,16 @@ def test_totals_of_a_store_with_millions_of_reactions(spark):
     assert narrow[1].rating_id_count is None and narrow[2].rating_id_count == 1 and narrow[1].average_score == 4.0
     wide = spark.createDataFrame([(1 << 62,)], "n long").select(stores.product(*[F.col("n")] * 3).alias("p")).first()
     assert wide.p is None
+
+
+@pytest.mark.parametrize("number", [0, 7, 10, 12, 99, 123, 500, 1000, 9999, 12345, -12])
+def test_substring_searches_skip_by_numbers(spark, tmp_path, number):
+    """The listed numbers give the rows of a text search, also beyond four digits, and reach the scan."""
+    numbers = [*range(10_000), 10_000, 12_345, 512_345, 99_999, -1, -12, -123, None]
+    path = str(tmp_path / "numbers")
+    spark.createDataFrame([(n,) for n in numbers], "back_number int").write.parquet(path)
+    found = spark.read.parquet(path).where(P.back_number_contains(number))
+    assert sorted(r.back_number for r in found.collect()) == sorted(n for n in numbers if n is not None and str(number) in str(n))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters: [")[1].split("ReadSchema")[0]
+    assert ("Or(" in pushed) == (abs(number) >= 10)

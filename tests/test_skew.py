@@ -55,17 +55,33 @@ def test_duplicate_lookup_rows_multiply(spark):
     assert len(got) == 5
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 10])
-def test_hot_seller(spark, hot_rows):
-    """The same plan with and without hot sellers, and the same plates."""
-    plates = spark.range(5_000).select(
+def test_hot_seller(spark):
+    """A seller with a third of all plates is cut into several tasks, and no plate is lost."""
+    plates = spark.range(60_000).select(
         F.col("id").cast("int").alias("plates_id"),
         F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("int").alias("users_id"),
     )
-    sellers = plates.where("users_id <> 8").select("users_id", F.lit("known").alias("name")).distinct()
-    listed = with_seller(plates, sellers, plates, hot_rows)
-    assert "_slice" in listed._jdf.queryExecution().executedPlan().toString()
-    assert listed.select("plates_id").distinct().count() == listed.count() == 4_999
+    sellers = spark.range(60_000).where("id % 3 <> 0 AND id <> 8").select(F.col("id").cast("int").alias("users_id"), F.lit("known").alias("name"))
+    options = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {key: spark.conf.get(key) for key in options if key != "spark.sql.adaptive.autoBroadcastJoinThreshold"}
+    for key, value in options.items():
+        spark.conf.set(key, value)
+    try:
+        listed = with_seller(plates.repartition(8), sellers)
+        found = listed.collect()
+        assert len(found) == len({row.plates_id for row in found}) == 59_999
+        assert "SortMergeJoin(skew=true)" in listed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def test_keep_keys(spark):
