@@ -13,12 +13,18 @@ from numberboard.sources.workspace import workspace
 
 #: Bytes of table rows that one shuffle partition should get.
 PARTITION_BYTES = 24 << 20
+#: Bytes of rows that a task hands to Python at once: rows of long texts would fill memory by the thousands.
+ARROW_BYTES = 4 << 20
 #: Catalyst's estimates from here on stand for "unknown".
 UNKNOWN_BYTES = 1 << 53
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers of this machine find the package; elsewhere it is installed or sent with ``--py-files``."""
+    """Let Python workers of this machine find the package; elsewhere it is installed or sent with ``--py-files``.
+
+    Also bounds what they are handed at once.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in known.get("PYTHONPATH", "").split(os.pathsep):
         known["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known.get("PYTHONPATH"))))

@@ -272,6 +272,8 @@ def pack_pieces(documents: DataFrame, tokenizer: str, window: int, open_windows:
                 yield out()
         packer.finish()
         yield out()
+        encoder(tokenizer).forget()  # the worker goes on with other tasks, which need the memory
+        pa.default_memory_pool().release_unused()
 
     return texts(documents).mapInArrow(pack, schema)
 
