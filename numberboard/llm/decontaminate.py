@@ -50,6 +50,8 @@ LEAK = 0.7
 PARAPHRASE = 0.45
 ANSWER_WORDS = 4
 MIN_WORDS = 8
+#: Rows of a task's matrix that reach the driver at once.
+SUM_ROWS = 1024
 RESULT_SCHEMA = "doc_id long, contaminated boolean, item_ids array<long>, best_share double"
 
 
@@ -134,6 +136,7 @@ def document_frequencies(whole: DataFrame, vocabulary: Vocabulary) -> tuple[np.n
     for row in found:  # a row for each word of the block's vocabulary
         if row["word"] >= 0:
             held[row["word"]] = row["n"]
+    shared.destroy()
     return held, sum(r["n"] for r in found if r["word"] < 0)
 
 
@@ -160,15 +163,22 @@ def singular_vectors(passages: DataFrame, vocabulary: Vocabulary, idf: np.ndarra
                 for words in batch.column("words"):
                     place, value = weighted(words.values.to_numpy().view(np.uint64), known, weights)
                     total[place] += np.outer(value, value @ given.value[place])
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+            for at in range(0, size, SUM_ROWS):
+                part = pa.array([total[at : at + SUM_ROWS].tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([at]), part], ["at", "sums"])
 
         matrix_columns = matrix.shape[1]
-        rows = passages.mapInArrow(multiply, "sums binary").collect()  # one for each of few tasks
-        return sum(np.frombuffer(r["sums"]).reshape(size, -1) for r in rows)
+        out = np.zeros((size, matrix_columns))
+        for row in passages.mapInArrow(multiply, "at long, sums binary").toLocalIterator():  # one task's sums at a time
+            part = np.frombuffer(row["sums"]).reshape(-1, matrix_columns)
+            out[row["at"] : row["at"] + len(part)] += part
+        given.destroy()
+        return out
 
     start = np.random.Generator(np.random.PCG64(7)).normal(size=(size, min(rank + 16, size)))
     basis = np.linalg.qr(times(start))[0]
     inner = basis.T @ times(basis)
+    shared.destroy()
     _, vectors = np.linalg.eigh((inner + inner.T) / 2)
     return (basis @ vectors[:, ::-1][:, :rank]).astype(np.float32)
 
