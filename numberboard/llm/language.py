@@ -4,8 +4,9 @@ Runs of one to three characters (A-Z lower-cased) fall into hashed buckets. A te
 (1 + log count) x idf, scaled to length one; idf counts all training documents. The regression is
 trained with follow-the-regularised-leader (per-coordinate steps, L1 and L2 penalties) on a bounded
 sample: of each language the ``SAMPLE / languages`` training documents with the smallest hashed
-identifiers. One sampled document in five is kept back, and a temperature fitted on those calibrates
-the probabilities. Prediction reads every whole text.
+identifiers (with more languages than ``SAMPLE``, of the most frequent ones). One sampled document in
+five is kept back, and a temperature fitted on those calibrates the probabilities. Prediction reads
+every whole text.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, and so is every text if
 there are no training rows. Training rows with null lang are left out. Equal scores: the first
@@ -52,6 +53,17 @@ def characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.where((points >= 65) & (points <= 90), points + np.uint32(32), points), begins
 
 
+def tally(slots: list[np.ndarray], cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells that occur, upwards, and how often; memory follows the entries, not the cells."""
+    if cells > 4 * sum(map(len, slots)):
+        return np.unique(np.concatenate([np.zeros(0, np.int64), *slots]), return_counts=True)
+    table = np.zeros(cells, np.int64)
+    for some in slots:
+        table += np.bincount(some, minlength=cells)
+    hit = np.flatnonzero(table)
+    return hit, table[hit]
+
+
 @dataclass
 class Counts:
     """Non-zero n-gram counts: text, bucket, count; whether each text has a letter."""
@@ -66,7 +78,7 @@ class Counts:
         points, begins = characters(column)
         n = len(begins) - 1
         owner = np.repeat(np.arange(n, dtype=np.int64), np.diff(begins))
-        table = np.zeros(n * BUCKETS, np.int64)
+        slots = []
         code = np.zeros(len(points), np.uint32)
         for size in SIZES:
             left = len(points) - size + 1
@@ -75,10 +87,10 @@ class Counts:
             code = code[:left] * np.uint32(0x01000193) + points[size - 1 :] * _FACTORS[size - 1] + np.uint32(size)
             inside = owner[:left] == owner[size - 1 :]
             slot = ((code ^ (code >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(19)
-            table += np.bincount((owner[:left] * BUCKETS + slot)[inside], minlength=n * BUCKETS)
-        hit = np.flatnonzero(table)
+            slots.append((owner[:left] * BUCKETS + slot)[inside])
+        hit, count = tally(slots, n * BUCKETS)
         letters = np.concatenate(([0], np.cumsum(_letters()[points])))
-        return cls(hit // BUCKETS, hit % BUCKETS, table[hit], letters[begins[1:]] > letters[begins[:-1]])
+        return cls(hit // BUCKETS, hit % BUCKETS, count, letters[begins[1:]] > letters[begins[:-1]])
 
     def weights(self, idf: np.ndarray) -> np.ndarray:
         value = (1 + np.log(self.count)) * idf[self.bucket]
@@ -130,14 +142,26 @@ def document_frequencies(training: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def sample(training: DataFrame, size: int) -> DataFrame:
-    """At most ``size`` training documents in all, equally many of each language where there are enough."""
-    keys = training.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    languages = keys.select("lang").distinct().count()
+    """lang, doc_id of at most ``size`` training documents, equally many of each language where there are enough.
+
+    A first pass states how many documents each language has, to some per cent; a threshold on the hashed
+    identifiers then leaves about twice as many as wanted, and only those are ranked.
+    """
+    keys = training.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    known = keys.groupBy("lang").agg(F.approx_count_distinct("h").alias("documents"))
+    languages = known.orderBy(F.desc("documents"), "lang").limit(size).collect()
+    wanted = max(1, size // max(len(languages), 1))
+    bounds = [(row["lang"], _bound((2 * wanted + 100) / max(row["documents"], 1))) for row in languages]
+    # At most ``size`` rows, one for each language.
+    bounds = F.broadcast(training.sparkSession.createDataFrame(bounds, "lang string, bound long"))
+    near = keys.join(bounds, "lang").where(F.col("h") <= F.col("bound")).select("lang", "doc_id", "h").distinct()
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    few = keys.withColumn("place", place).where(F.col("place") <= max(1, size // max(languages, 1)))
-    few = few.select("doc_id").distinct().limit(size)
-    # At most ``size`` identifiers: 24 KB for 3000.
-    return training.join(F.broadcast(few), "doc_id", "left_semi")
+    return near.withColumn("place", place).where(F.col("place") <= wanted).select("lang", "doc_id")
+
+
+def _bound(share: float) -> int:
+    """The signed 64-bit number that this share of all such numbers doesn't exceed."""
+    return min(int(share * (1 << 64)), (1 << 64) - 1) - (1 << 63)
 
 
 def train(training: DataFrame, size: int = SAMPLE) -> Model | None:
@@ -156,7 +180,10 @@ def train(training: DataFrame, size: int = SAMPLE) -> Model | None:
                 lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in columns]
                 yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("h"), *lists], ["lang", "h", "bucket", "value"])
 
-    chosen = sample(training, size).select("text", "lang", F.xxhash64("doc_id").alias("h"))
+    # At most ``size`` identifiers: 100 KB for 3000. Rows that repeat one of them end in a single row.
+    few = F.broadcast(sample(training, size))
+    chosen = training.join(few, ["lang", "doc_id"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    chosen = chosen.select("text", "lang", F.xxhash64("doc_id").alias("h"))
     rows = chosen.mapInArrow(count, "lang string, h long, bucket array<int>, value array<float>").toArrow()
     rows = rows.sort_by([("h", "ascending"), ("lang", "ascending")]).combine_chunks()
     names = rows.column("lang").to_pylist()

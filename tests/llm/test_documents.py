@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from llm.cases import SF_DIR, WORD, backoff_scores, documents, edge_documents, edge_rows, no_documents, ordered, texts_of
+from llm.models import plain_language, plain_quality
 from numberboard.llm import language, packing, quality, rules, stupid_backoff, textnum
 from numberboard.llm.registry import QUERIES, tokenizer
 
@@ -61,6 +62,45 @@ def test_language_held_out_accuracy(spark):
     assert sum(back) >= 0.95 * len(back)
 
 
+@pytest.mark.parametrize("size", [language.SAMPLE, 24])
+def test_language_like_a_loop(spark, size):
+    both = documents(spark).select("doc_id", "text", "lang").unionByName(edge_documents(spark).select("doc_id", "text", "lang"))
+    hashed = {r["doc_id"]: r["h"] for r in both.selectExpr("doc_id", "xxhash64(CAST(doc_id AS LONG)) AS h").distinct().collect()}
+    rows = [tuple(r) for r in both.collect()]
+    want = Counter(plain_language(rows, hashed, size))
+    got = Counter((r["doc_id"], r["lang_pred"], round(r["score"], 6)) for r in language.identify(both, size).collect())
+    assert got == want
+
+
+def test_language_sample(spark):
+    rows = [(i % 50, "one text", "en") for i in range(4000)] + [(100 + i, f"text {i}", "de") for i in range(900)] + [(7, "ein Text", "fr")]
+    training = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = Counter(r["lang"] for r in language.sample(training, 300).collect())
+    assert found == {"en": 50, "de": 100, "fr": 1}
+    hashed = training.where("lang = 'de'").selectExpr("xxhash64(doc_id) AS h", "doc_id").distinct().orderBy("h").limit(100)
+    assert {r["doc_id"] for r in hashed.collect()} == {r["doc_id"] for r in language.sample(training, 300).where("lang = 'de'").collect()}
+    assert Counter(r["lang"] for r in language.sample(training, 2).collect()) == {"en": 1, "de": 1}
+    assert language.train(training.where("lang = 'none'"), 300) is None
+
+
+def test_language_counts_of_short_texts():
+    texts = ["Ab", "", None, "x" * 5000, "日本 a"] * 300
+    one = [language.Counts.of(pa.array([t], pa.string())) for t in texts]
+    all_ = language.Counts.of(pa.array(texts))
+    assert all_.text.tolist() == [i for i, c in enumerate(one) for _ in c.text]
+    assert all_.bucket.tolist() == [b for c in one for b in c.bucket.tolist()]
+    assert all_.count.tolist() == [n for c in one for n in c.count.tolist()]
+    assert all_.lettered.tolist() == [bool(c.lettered[0]) for c in one]
+
+
+def test_quality_like_plain_densities(spark):
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet").select("doc_id", "quality")
+    both = documents(spark).select("doc_id", "text").unionByName(edge_documents(spark).select("doc_id", "text"))
+    want = Counter(plain_quality([tuple(r) for r in both.collect()], [tuple(r) for r in labels.collect()]))
+    got = Counter((r["doc_id"], round(r["score"], 6)) for r in quality.score_documents(both, labels).collect())
+    assert got == want
+
+
 def test_quality_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
     scored = quality.score_documents(documents(spark), labels)
