@@ -87,6 +87,9 @@ def _repeat_words(words: Column, places: Column) -> Column:
     )
 
 
+BASE_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def measures(documents: DataFrame) -> DataFrame:
     """Counts of every text: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop_words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -127,4 +130,5 @@ def apply_rules(documents: DataFrame, thresholds=PRODUCTION_THRESHOLDS) -> DataF
     """Counts, ``base_failed`` and the verdict ``kept`` of every text."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     judged = measures(documents).withColumn("base_failed", failed)
-    return judged.withColumn("kept", ~F.col("base_failed") & compile_thresholds(thresholds))
+    kept = ~F.col("base_failed") & compile_thresholds(thresholds)
+    return judged.select("doc_id", *BASE_COUNTS, "base_failed", kept.alias("kept"), "n_lines", "n_stop_words")
