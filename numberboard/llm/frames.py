@@ -15,6 +15,14 @@ from numberboard.sources.workspace import workspace
 PARTITION_BYTES = 24 << 20
 #: Bytes of rows that a task hands to Python at once: rows of long texts would fill memory by the thousands.
 ARROW_BYTES = 4 << 20
+#: Settings of the allocators in Python workers: large arrays go back to the system as soon as they are freed.
+#: Workers outlive their tasks, and what one stage let go would else count beside the next one's memory.
+WORKER_MEMORY = {
+    "ARROW_DEFAULT_MEMORY_POOL": "system",
+    "MALLOC_ARENA_MAX": "2",
+    "MALLOC_MMAP_THRESHOLD_": str(256 << 10),
+    "MALLOC_TRIM_THRESHOLD_": str(1 << 20),
+}
 #: Catalyst's estimates from here on stand for "unknown".
 UNKNOWN_BYTES = 1 << 53
 
@@ -22,12 +30,14 @@ UNKNOWN_BYTES = 1 << 53
 def importable(spark: SparkSession) -> None:
     """Let Python workers of this machine find the package; elsewhere it is installed or sent with ``--py-files``.
 
-    Also bounds what they are handed at once.
+    Also bounds what they are handed at once and what they hold on to; settings made elsewhere stay.
     """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in known.get("PYTHONPATH", "").split(os.pathsep):
         known["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known.get("PYTHONPATH"))))
+    for name, value in WORKER_MEMORY.items():
+        known.setdefault(name, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
