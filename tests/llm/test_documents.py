@@ -10,7 +10,7 @@ import pytest
 
 from llm.cases import SF_DIR, WORD, backoff_scores, documents, edge_documents, edge_rows, no_documents, ordered, texts_of
 from llm.models import plain_language, plain_quality
-from numberboard.llm import language, packing, quality, rules, stupid_backoff, textnum
+from numberboard.llm import backoff_tables, language, packing, quality, rules, stupid_backoff, textnum
 from numberboard.llm.registry import QUERIES, tokenizer
 
 
@@ -172,11 +172,12 @@ def test_backoff(spark, which, tmp_path):
     docs = edge_documents(spark) if which == "edge" else documents(spark)
     docs.write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
-    got = ordered(stupid_backoff.score_documents(docs).collect())
     want = ordered(backoff_scores(texts_of(docs)))
-    assert [g[:2] for g in got] == [w[:2] for w in want]
-    assert all(abs(g[2] - w[2]) < 2e-4 for g, w in zip(got, want))
-    assert stupid_backoff.score_documents(no_documents(spark)).count() == 0
+    for form in (stupid_backoff, backoff_tables):
+        got = ordered(form.score_documents(docs).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert all(abs(g[2] - w[2]) < 2e-4 for g, w in zip(got, want))
+        assert form.score_documents(no_documents(spark)).count() == 0
 
 
 def test_packed_numbers():
