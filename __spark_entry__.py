@@ -626,27 +626,20 @@ def _streams() -> dict[str, tuple[Query, str]]:
         schema = W.admit_new_plates(derive(spark, sf_dir, "new_plates_batch")["new_plates_batch"], plates).schema
         return ST.read_epochs(spark, f"{out}/decisions", schema).drop("epoch")
 
-    def in_files(df: DataFrame, order: str, parts: int = 4) -> str:
-        """The table as files in the order of a column, written one after the other."""
-        path, low = workspace(df.sparkSession, "arrivals"), float("-inf")
-        for high in [*df.approxQuantile(order, [k / parts for k in range(1, parts)], 0.001), float("inf")]:
-            df.where((F.col(order) > low) & (F.col(order) <= high)).coalesce(1).write.mode("append").parquet(path)
-            low = high
-        return path
-
     def admit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = workspace(spark, "stream_admit")
+        out, inbox = workspace(spark, "stream_admit"), workspace(spark, "arrivals")
         tables = derive(spark, sf_dir, "plates", "new_plates_batch")
         batch, plates = tables["new_plates_batch"], tables["plates"]
-        stream = ST.read_stream(spark, in_files(batch, "request_id"), batch.schema, files_per_batch=1)
-        ST.stream_admit(stream, plates, f"{out}/decisions", f"{out}/checkpoint", fan=2)
+        for _ in ST.arrivals(batch, "request_id", inbox):
+            stream = ST.read_stream(spark, inbox, batch.schema)
+            ST.stream_admit(stream, plates, f"{out}/decisions", f"{out}/checkpoint", fan=2)
         return ST.read_epochs(spark, f"{out}/decisions", W.admit_new_plates(batch, plates).schema).drop("epoch")
 
     def latest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = workspace(spark, "stream_latest_price")
+        out, inbox = workspace(spark, "stream_latest_price"), workspace(spark, "arrivals")
         prices = derive(spark, sf_dir, "price_rows")["price_rows"]
-        stream = ST.read_stream(spark, in_files(prices, "price"), prices.schema, files_per_batch=1)
-        ST.run_latest_price(stream, f"{out}/changes", f"{out}/checkpoint", fan=2)
+        for _ in ST.arrivals(prices, "price", inbox):
+            ST.run_latest_price(ST.read_stream(spark, inbox, prices.schema), f"{out}/changes", f"{out}/checkpoint", fan=2)
         return ST.read_latest_price(spark, f"{out}/changes", fan=2)
 
     def latest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ a batch may be retried: a retry overwrites its own folder, so nothing is deliver
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +38,19 @@ def read_stream(
     return reader.parquet(directory)
 
 
+def arrivals(df: DataFrame, order: str, path: str, parts: int = 4) -> Iterator[None]:
+    """Write a table to a folder in the order of a column, a part at a time; run the stream after each.
+
+    Every part is written by as many tasks as read it. Their files need no order among themselves, since a run
+    of the stream takes all files that are new as one micro-batch.
+    """
+    low = float("-inf")
+    for high in [*df.approxQuantile(order, [k / parts for k in range(1, parts)], 0.001), float("inf")]:
+        df.where((F.col(order) > low) & (F.col(order) <= high)).write.mode("append").parquet(path)
+        yield
+        low = high
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Append everything that has arrived to a Parquet table, then stop."""
     query = (

@@ -88,6 +88,24 @@ def test_admission_folds_and_prunes(spark, views, tmp_path):
     assert [f.split("admitted/")[1] for f in folders] == ["level=0/group=4", "level=0/group=5", "level=1/group=2", "level=2/group=0"]
 
 
+def test_arrivals_are_written_by_many_tasks_in_order(spark, tmp_path):
+    """Each part comes in several files, and one run of the stream takes them as one micro-batch."""
+    prices = spark.range(4_000, numPartitions=4).selectExpr(
+        "CAST(id AS INT) AS price_history_id", "CAST(id % 7 AS INT) AS plates_id", "CAST((id * 7919) % 4000 AS INT) AS price"
+    )
+    source, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "checkpoint"))
+    seen, top = set(), -1
+    for epoch, _ in enumerate(ST.arrivals(prices, "price", source)):
+        new = {str(p) for p in (tmp_path / "in").glob("*.parquet")} - seen
+        part = spark.read.parquet(*new).agg(F.min("price"), F.max("price")).first()
+        assert len(new) == 4 and part[0] > top
+        seen, top = seen | new, part[1]
+        ST.run_latest_price(ST.read_stream(spark, source, prices.schema), out, checkpoint, fan=2)
+        assert ST.last_epoch(spark, f"{out}/done") == epoch
+    assert epoch == 3 and spark.read.parquet(source).count() == 4_000
+    assert rows(ST.read_latest_price(spark, out, fan=2)) == rows(current_price(prices))
+
+
 def test_folders_follow_the_digits(spark, tmp_path):
     table = EpochTable(str(tmp_path), T.StructType.fromDDL("k int, v int"), lambda r: r.groupBy("k").agg(F.max("v").alias("v")), fan=3)
     for epoch in range(11):
