@@ -678,13 +678,17 @@ def _training_text() -> dict[str, tuple[Query, str | None]]:
     return {**registry.QUERIES, "pipeline": (run, ORACLE_SQL)}
 
 
+def _catalogue() -> dict[str, tuple[Query, str]]:
+    return {**_reads(), **_operators(), **_tables(), **_changes(), **_streams()}
+
+
 def _all() -> dict[str, tuple[Query, str | None]]:
-    return {**_reads(), **_operators(), **_tables(), **_changes(), **_streams(), **_training_text()}
+    return {**_catalogue(), **_training_text()}
 
 
-def _tuned(query: Query) -> Query:
+def _tuned(query: Query, catalogue: bool) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return query(tune(spark), sf_dir)
+        return query(tune(spark, catalogue), sf_dir)
 
     return run
 
@@ -696,7 +700,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """One entry per operator, each over whole tables."""
-    return {name: _tuned(query) for name, (query, _) in _all().items()}
+    catalogue = _catalogue()
+    return {name: _tuned(query, name in catalogue) for name, (query, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,12 +15,23 @@ RUNTIME_OPTIONS = {
     # Lets rebalance() cut a hot output partition (pattern_x may hold a third of all memberships).
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
 }
+# What one task of a catalogue query is handed. A listing's task sorts and aggregates some ten tables side by side, so it
+# needs many times the bytes it reads; these sizes, not the input's, set its memory.
+TASK_OPTIONS = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.files.maxPartitionBytes": "32m",
+}
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime options to a running session."""
+def tune(spark: SparkSession, catalogue: bool = True) -> SparkSession:
+    """Apply the runtime options to a running session; those of catalogue tasks only for the catalogue."""
     for key, value in RUNTIME_OPTIONS.items():
         spark.conf.set(key, value)
+    for key, value in TASK_OPTIONS.items():
+        if catalogue:
+            spark.conf.set(key, value)
+        elif spark.conf.get(key) == value:  # left by a catalogue query of the same session
+            spark.conf.unset(key)
     return spark
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from numberboard.operators.joins import with_seller
 from numberboard.operators.skew import hot_keys, keep_keys, spread_lookup
+from numberboard.session import TASK_OPTIONS, tune
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +88,12 @@ def test_hot_seller(spark):
 def test_keep_keys(spark):
     rows = spark.range(20).withColumnRenamed("id", "k")
     assert keep_keys(rows, rows.where("k < 3").union(rows.where("k = 1")), "k").count() == 3
+
+
+def test_catalogue_tasks_are_handed_bounded_bytes(spark):
+    """Only the catalogue's queries set the sizes, and training text that follows in the session loses them again."""
+    before = {key: spark.conf.get(key) for key in TASK_OPTIONS}
+    assert all(tune(spark).conf.get(key) == value for key, value in TASK_OPTIONS.items())
+    assert {key: tune(spark, catalogue=False).conf.get(key) for key in TASK_OPTIONS} != TASK_OPTIONS
+    for key, value in before.items():
+        spark.conf.set(key, value)
