@@ -35,7 +35,7 @@ from numberboard.llm.textnum import _BYTE, _REACH, _STEP, chunks, mix, raw
 WINDOW = 2048
 OPEN_WINDOWS = 64
 SEPARATOR = 1
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 17
 CACHED_PIECES = 1 << 18
 MERGED_TASKS = 1024
 PIECES_SCHEMA = (

@@ -1,6 +1,7 @@
 """Rules, language, quality, packing and scores on awkward and on generated documents."""
 
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -8,10 +9,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from llm.cases import SF_DIR, WORD, backoff_scores, documents, edge_documents, edge_rows, no_documents, ordered, texts_of
+from llm.cases import SF_DIR, WORD, backoff_scores, documents, edge_documents, edge_rows, no_documents, ordered, prose, texts_of
 from llm.models import plain_language, plain_quality
 from numberboard.llm import backoff_tables, language, packing, quality, rules, stupid_backoff, textnum
 from numberboard.llm.registry import QUERIES, tokenizer
+from numberboard.llm.textnum import chunks
 
 
 def test_words_and_fingerprints():
@@ -189,3 +191,17 @@ def test_packed_numbers():
 def test_queries_read_whole_tables(spark):
     n = documents(spark).count()
     assert QUERIES["op4_threshold_rules"][0](spark, SF_DIR).count() == n
+
+
+def test_a_chunk_of_texts_is_encoded_in_little_memory():
+    """The arrays beside a chunk's bytes stay small, so that they needn't be mapped afresh from the system by the dozen MB."""
+    column = pa.array([prose(200, k) for k in range(packing.CHUNK_BYTES // 1200)])
+    rows = pa.RecordBatch.from_arrays([column], ["text"])
+    encoder = packing.Encoder(tokenizer())
+    tracemalloc.start()
+    for part in chunks(rows, limit=packing.CHUNK_BYTES):
+        for _ in encoder.encode(part.column("text")):
+            pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20
