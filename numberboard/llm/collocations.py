@@ -38,7 +38,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from numberboard.llm.frames import spread, written
+from numberboard.llm.frames import WINDOW_MEMORY, spread, worker_memory, written
 from numberboard.llm.textnum import _LOWER, chunks, grams, mix, raw
 
 LONGEST = 4
@@ -370,7 +370,11 @@ def phrase_prints(phrases: DataFrame) -> DataFrame:
 
 def frequent_phrases(documents: DataFrame, mining: Mining | None = None) -> DataFrame:
     """(lang, size, phrase, f) of every phrase met often enough, and (lang, 0, '', number of words)."""
-    mining = mining or Mining()
+    with worker_memory(documents.sparkSession, WINDOW_MEMORY):
+        return _frequent_phrases(documents, mining or Mining())
+
+
+def _frequent_phrases(documents: DataFrame, mining: Mining) -> DataFrame:
     spark, parts = documents.sparkSession, spread(documents)
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text"), lang)

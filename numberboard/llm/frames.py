@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,8 @@ WORKER_MEMORY = {
     "MALLOC_MMAP_THRESHOLD_": str(256 << 10),
     "MALLOC_TRIM_THRESHOLD_": str(1 << 20),
 }
+#: For operators that pass over long windows again and again: mapping each array afresh would cost more than the count.
+WINDOW_MEMORY = WORKER_MEMORY | {"MALLOC_MMAP_THRESHOLD_": str(32 << 20), "MALLOC_TRIM_THRESHOLD_": str(64 << 20)}
 #: Catalyst's estimates from here on stand for "unknown".
 UNKNOWN_BYTES = 1 << 53
 
@@ -40,6 +44,19 @@ def importable(spark: SparkSession) -> None:
         known.setdefault(name, value)
 
 
+@contextmanager
+def worker_memory(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Functions handed to Spark inside run in Python workers of these settings, in place of WORKER_MEMORY's; settings
+    made elsewhere stay."""
+    known = spark.sparkContext.environment
+    ours = {name: value for name, value in WORKER_MEMORY.items() if known.get(name) == value}
+    known.update({name: settings[name] for name in ours})
+    try:
+        yield
+    finally:
+        known.update(ours)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

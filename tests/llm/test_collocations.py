@@ -7,6 +7,7 @@ import pytest
 
 from llm.cases import DOCUMENTS, edge_documents, edge_rows, lower, no_documents
 from numberboard.llm import collocations as C
+from numberboard.llm.frames import WINDOW_MEMORY, WORKER_MEMORY, importable, worker_memory
 
 
 def plain(rows, least, longest=4):
@@ -91,3 +92,18 @@ def test_large_counts_stay_exact(spark):
     rows = [("en", 1, "a", big + 1), ("en", 1, "b", big + 3), ("en", 2, "a b", big)]
     found = C.scored(spark.createDataFrame(rows, "lang string, size int, phrase string, f long")).collect()
     assert [(r["l"], r["r"], r["score"]) for r in found] == [(big + 1, big + 3, 2_000_000 * big // (2 * big + 4))]
+
+
+def test_workers_keep_the_arrays_of_a_window(spark, monkeypatch):
+    """What workers of the counting passes are started with; afterwards, and where the user has set it, nothing changes."""
+    importable(spark)
+    known, seen = spark.sparkContext.environment, []
+    before = dict(known)
+    assert {known[name] for name in WORKER_MEMORY} == set(WORKER_MEMORY.values())
+    counted = C.counted
+    monkeypatch.setattr(C, "counted", lambda *a: (seen.append({name: known[name] for name in WORKER_MEMORY}), counted(*a))[1])
+    C.frequent_phrases(spark.createDataFrame(made(20), DOCUMENTS), C.Mining(least=3, share=1))
+    assert seen and all(x == WINDOW_MEMORY for x in seen) and known == before
+    monkeypatch.setitem(known, "MALLOC_TRIM_THRESHOLD_", "5")
+    with worker_memory(spark, WINDOW_MEMORY):
+        assert known["MALLOC_TRIM_THRESHOLD_"] == "5" and known["MALLOC_MMAP_THRESHOLD_"] == WINDOW_MEMORY["MALLOC_MMAP_THRESHOLD_"]
