@@ -80,20 +80,27 @@ def latest_price(
 ) -> DataFrame:
     """One row per priced plate: current price, reaction counts and ``rownumber`` (always 1).
 
-    Each table is aggregated on plates_id first; the joins reuse that partitioning.
+    The three tables are one union below one aggregation, so a task holds one hash map instead of three
+    and the sorts that would join them. A row without a plate is a price only, as no reaction joins it.
     """
     check_counts(counts)
-    return (
-        current_price(price_history)
-        .join(count_by(liked, "plates_id", "liked_plates_id", "_likes"), "plates_id", "left")
-        .join(count_by(saved, "plates_id", "saved_plates_id", "_saves"), "plates_id", "left")
-        .select(
-            "plates_id",
-            "price_history_id",
-            "price",
-            *reaction_counts("_likes", "_saves", counts),
-            F.lit(1).cast("bigint").alias("rownumber"),
-        )
+    met = price_history.select("plates_id", "price_history_id", "price", F.lit(1).alias("_priced"))
+    for df, counted in ((liked, "liked_plates_id"), (saved, "saved_plates_id")):
+        own = df.where(F.col("plates_id").isNotNull()).select("plates_id", counted)
+        met = met.unionByName(own, allowMissingColumns=True)
+    newest = met.groupBy("plates_id").agg(
+        F.max("price_history_id").alias("price_history_id"),
+        F.max_by("price", "price_history_id").alias("price"),
+        F.count("liked_plates_id").alias("_likes"),
+        F.count("saved_plates_id").alias("_saves"),
+        F.count("_priced").alias("_prices"),
+    )
+    return newest.where(F.col("_prices") > 0).select(
+        "plates_id",
+        "price_history_id",
+        "price",
+        *reaction_counts("_likes", "_saves", counts),
+        F.lit(1).cast("bigint").alias("rownumber"),
     )
 
 

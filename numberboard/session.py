@@ -18,9 +18,12 @@ RUNTIME_OPTIONS = {
 # What one task of a catalogue query is handed. A listing's task sorts and aggregates some ten tables side by side, so it
 # needs many times the bytes it reads; these sizes, not the input's, set its memory.
 TASK_OPTIONS = {
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
-    "spark.sql.files.maxPartitionBytes": "32m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+    "spark.sql.files.maxPartitionBytes": "16m",
 }
+# So many shuffle partitions to begin with, which adaptive execution joins up to the size above: with Spark's 200 a task's
+# share would grow with the input from 1.6 GB of shuffle on.
+INITIAL_PARTITIONS = ("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "1000")
 
 
 def tune(spark: SparkSession, catalogue: bool = True) -> SparkSession:
@@ -32,6 +35,11 @@ def tune(spark: SparkSession, catalogue: bool = True) -> SparkSession:
             spark.conf.set(key, value)
         elif spark.conf.get(key) == value:  # left by a catalogue query of the same session
             spark.conf.unset(key)
+    key, value = INITIAL_PARTITIONS
+    if catalogue:
+        spark.conf.set(key, value)
+    elif spark.conf.get(key, "0") == value:
+        spark.conf.unset(key)
     return spark
 
 

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from numberboard.operators.joins import with_seller
+from numberboard.operators.latest import latest_price
 from numberboard.operators.skew import hot_keys, keep_keys, spread_lookup
-from numberboard.session import TASK_OPTIONS, tune
+from numberboard.session import INITIAL_PARTITIONS, TASK_OPTIONS, tune
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +98,22 @@ def test_catalogue_tasks_are_handed_bounded_bytes(spark):
     assert {key: tune(spark, catalogue=False).conf.get(key) for key in TASK_OPTIONS} != TASK_OPTIONS
     for key, value in before.items():
         spark.conf.set(key, value)
+
+
+def test_current_price_and_counts_are_one_aggregation(spark):
+    """No join, whose sorts a listing's task would hold beside each other; rows without a plate or a price stay apart."""
+    prices = spark.createDataFrame([(1, 1, 10), (2, 1, 20), (3, 2, 5), (None, 3, 7), (4, None, 8)], "price_history_id int, plates_id int, price int")
+    liked = spark.createDataFrame([(1, 1), (2, 1), (3, 9), (4, None), (None, 2)], "liked_plates_id int, plates_id int")
+    saved = spark.createDataFrame([(1, 1), (2, 2), (3, None)], "saved_plates_id int, plates_id int")
+    found = latest_price(prices, liked, saved, "distinct")
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r.plates_id: (r.price_history_id, r.price, r.liked_plates_id_count, r.saved_plates_id_count, r.reacts_count) for r in found.collect()}
+    assert rows == {1: (2, 20, 2, 1, 3), 2: (3, 5, 0, 1, 1), 3: (None, None, 0, 0, 0), None: (4, 8, 0, 0, 0)}
+
+
+def test_initial_partitions_are_for_the_catalogue(spark):
+    key, value = INITIAL_PARTITIONS
+    before = spark.conf.get(key, None)
+    assert tune(spark).conf.get(key) == value and tune(spark, catalogue=False).conf.get(key, "0") != value
+    if before:
+        spark.conf.set(key, before)
