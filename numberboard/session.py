@@ -38,7 +38,7 @@ def tune(spark: SparkSession, catalogue: bool = True) -> SparkSession:
     key, value = INITIAL_PARTITIONS
     if catalogue:
         spark.conf.set(key, value)
-    elif spark.conf.get(key, "0") == value:
+    elif spark.conf.get(key, "1") == value:
         spark.conf.unset(key)
     return spark
 

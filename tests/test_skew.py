@@ -114,6 +114,6 @@ def test_current_price_and_counts_are_one_aggregation(spark):
 def test_initial_partitions_are_for_the_catalogue(spark):
     key, value = INITIAL_PARTITIONS
     before = spark.conf.get(key, None)
-    assert tune(spark).conf.get(key) == value and tune(spark, catalogue=False).conf.get(key, "0") != value
+    assert tune(spark).conf.get(key) == value and tune(spark, catalogue=False).conf.get(key, "1") != value
     if before:
         spark.conf.set(key, before)
