@@ -20,8 +20,14 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return jaccard.one_of_each(docs)
 
 
+def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the runs of 50 words and more that are found elsewhere too."""
+    importable(spark)
+    return suffix.without_passages(docs)
+
+
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that are found elsewhere too."""
+    """All documents, without the strings of 400 bytes and more that are found elsewhere too, of however few words."""
     importable(spark)
     return suffix.without_repeats(docs)
 
@@ -40,6 +46,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality", quality_stage),
     ("near_duplicates", near_duplicates_stage),
+    ("passages", passages_stage),
     ("repeats", repeats_stage),
     ("decontamination", decontamination_stage),
     ("packing", packing_stage),

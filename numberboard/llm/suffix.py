@@ -18,6 +18,11 @@ for one run of string starts before it.
    over all tasks by 128-bit digests, each distinct string of a set once.
 5. The repeated starts come back to their documents as ranges, and the covered bytes are cut.
 
+``without_passages`` cuts by words instead: every word that lies in a run of ``PASSAGE`` words which also starts
+anywhere else, whatever white space is between them (short words leave many such runs under ``LENGTH``
+bytes). Each word is written as ``CODE`` characters (48 bits of its fingerprint), so that such a run is a
+string of ``LENGTH`` bytes, which steps 1 to 4 find.
+
 Defined cases: a null text is empty. A text shorter than ``LENGTH`` loses nothing. Strings may overlap
 themselves and count as met twice then. Rows with the same id are joined by id and text digest, so each
 is judged on its own, and equal rows are copies of each other. A null id is an id like any other. An
@@ -37,10 +42,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from numberboard.llm.frames import spread, texts, written
-from numberboard.llm.textnum import _BYTE, chunks, mix, raw
+from numberboard.llm.frames import discard, spread, texts, written
+from numberboard.llm.textnum import _BYTE, Words, chunks, mix, raw
 
 LENGTH = 400
+CODE = 8
+PASSAGE = LENGTH // CODE
 REACH = 192
 GRAM = 8
 SHARED = 208
@@ -49,6 +56,7 @@ RUN = 1 << 16
 LARGE_SET = 1 << 14
 SAMPLE = 50_000
 MASK_BITS = 23
+_DIGITS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _KEY = np.uint64(0x9E3779B97F4A7C15)
 _STEP_BY = np.uint64(0xD1342543DE82EF95)
 ENTRY = np.dtype(
@@ -61,6 +69,7 @@ RANGES_SCHEMA = "doc_id long, mark int, first int, last int, part int, block bin
 STRING = np.dtype(
     [("digest", "<u8", 2), ("doc_id", "<i8"), ("mark", "<i4"), ("start", "<u4"), ("many", "u1"), ("nameless", "u1")]
 )
+NAMED_SCHEMA = "doc_id long, mark int, text string"
 LEFT_SCHEMA = "doc_id long, mark int, left string"
 CUT_SCHEMA = "doc_id long, mark int, kept binary, n_removed long, n_spans long"
 
@@ -132,6 +141,22 @@ def _named(documents: DataFrame) -> DataFrame:
     return whole.select(*_key(F.col("doc_id"), F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def coded(named: DataFrame) -> DataFrame:
+    """``named`` with ``CODE`` characters for each word and nothing between them as texts."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift = np.arange(0, 6 * CODE, 6, dtype=np.uint64)
+        for batch in batches:
+            for part in chunks(batch):
+                words = Words.of(part.column("text"))
+                data = _DIGITS[((words.hashes()[:, None] >> shift) & np.uint64(63)).astype(np.uint8)]
+                first = (words.first * CODE).astype(np.int32)
+                text = pa.StringArray.from_buffers(part.num_rows, pa.py_buffer(first), pa.py_buffer(data))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), text], ["doc_id", "mark", "text"])
+
+    return named.mapInArrow(code, NAMED_SCHEMA)
+
+
 def _combined(entries: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """One entry for each distinct surrounding, and the part it goes to; the others are known to repeat."""
     entries = entries[np.lexsort((entries["around"], entries["behind"]))]
@@ -152,7 +177,7 @@ def _combined(entries: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((entries, witness)), np.concatenate((part, (witness["behind"] % np.uint64(parts)).astype(np.int64)))
 
 
-def deal_anchors(documents: DataFrame, parts: int) -> DataFrame:
+def deal_anchors(named: DataFrame, parts: int) -> DataFrame:
     """Anchors as packed ENTRY blocks: dealt by what follows, by their surroundings, or (known to repeat) by document."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,21 +211,37 @@ def deal_anchors(documents: DataFrame, parts: int) -> DataFrame:
         if kept:
             yield flush()
 
-    return _named(documents).mapInArrow(deal, BLOCKS_SCHEMA)
+    return named.mapInArrow(deal, BLOCKS_SCHEMA)
 
 
 def shared_anchors(blocks: DataFrame, parts: int) -> DataFrame:
-    """Anchors with company: ``certain`` if all their strings repeat, ``sorts`` if they stand for their surroundings."""
+    """Anchors with company: ``certain`` if all their strings repeat, ``sorts`` if they stand for their surroundings.
+
+    Those known to repeat come as one row for each unbroken run of a document's starts.
+    """
 
     def rows(entries: np.ndarray, certain: np.ndarray, sorts: np.ndarray) -> pa.RecordBatch:
         ids = pa.array(entries["doc_id"], mask=entries["nameless"].astype(bool))
         small = [entries[c].astype(np.int32) for c in ("mark", "at", "back", "ahead")]
         return _rows(ANCHORS_SCHEMA, ids, *small, certain, sorts)
 
+    def unbroken(entries: np.ndarray) -> pa.RecordBatch:
+        start, end = (entries["at"].astype(np.int64) - entries[c] for c in ("back", "ahead"))
+        by = np.lexsort((start, entries["mark"], entries["doc_id"], entries["nameless"]))
+        entries, start, end = entries[by], start[by], end[by]
+        new = np.append(True, start[1:] > end[:-1] + 1)
+        for c in ("nameless", "doc_id", "mark"):
+            new[1:] |= entries[c][1:] != entries[c][:-1]
+        first = np.flatnonzero(new)
+        last = np.maximum.reduceat(end, first)
+        ids = pa.array(entries["doc_id"][first], mask=entries["nameless"][first].astype(bool))
+        small = [c.astype(np.int32) for c in (entries["mark"][first], last, last - start[first], 0 * last)]
+        return _rows(ANCHORS_SCHEMA, ids, *small, np.ones(len(first), bool), np.zeros(len(first), bool))
+
     def meet(part: int, held: list[bytes]) -> pa.RecordBatch:
         entries = np.concatenate([np.frombuffer(b, ENTRY) for b in held])
         if part >= 2 * parts:
-            return rows(entries, np.ones(len(entries), bool), np.zeros(len(entries), bool))
+            return unbroken(entries)
         entries = entries[np.lexsort((entries["around"], entries["behind"]))]
         new_behind = np.append(True, entries["behind"][1:] != entries["behind"][:-1])
         new = new_behind | np.append(True, entries["around"][1:] != entries["around"][:-1])
@@ -226,7 +267,7 @@ def shared_anchors(blocks: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(merge, ANCHORS_SCHEMA)
 
 
-def _with_texts(documents: DataFrame, listed: DataFrame) -> DataFrame:
+def _with_texts(named: DataFrame, listed: DataFrame) -> DataFrame:
     """``listed`` (doc_id, mark, ...) with the texts; only texts that may be listed move."""
     key = ["doc_id", "mark"]
     hashed = F.xxhash64(*key).bitwiseAND((1 << MASK_BITS) - 1)
@@ -234,7 +275,7 @@ def _with_texts(documents: DataFrame, listed: DataFrame) -> DataFrame:
     mask = np.zeros(1 << (MASK_BITS - 6), np.int64)
     for row in words.groupBy("w").agg(F.bit_or("v").alias("v")).collect():  # 131,072 rows at most
         mask[row["w"]] = row["v"]
-    shared = documents.sparkSession.sparkContext.broadcast(mask)
+    shared = named.sparkSession.sparkContext.broadcast(mask)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -242,7 +283,7 @@ def _with_texts(documents: DataFrame, listed: DataFrame) -> DataFrame:
             h = batch.column("h").to_numpy()
             yield batch.select([*key, "text"]).filter(pa.array((bits[h >> 6] >> (h & 63)) & 1 == 1))
 
-    near = _named(documents).withColumn("h", hashed).mapInArrow(pick, "doc_id long, mark int, text string").dropDuplicates(key)
+    near = named.withColumn("h", hashed).mapInArrow(pick, NAMED_SCHEMA).dropDuplicates(key)
     near = near.select(F.col("doc_id").alias("i"), F.col("mark").alias("m"), "text")
     return listed.join(near, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))).drop("i", "m")
 
@@ -541,42 +582,60 @@ def merged_repeats(runs: DataFrame, splitters: list[tuple[bytes, bytes]], ranges
     return dealt.mapInArrow(work, RANGES_SCHEMA)
 
 
-def repeated_starts(documents: DataFrame) -> DataFrame:
-    """Ranges (doc_id, mark, first, last) of byte places at which a repeated string starts."""
-    parts = spread(documents)
-    found = written(shared_anchors(deal_anchors(documents, parts), parts), "suffix-anchors")
+def repeated_starts(named: DataFrame, parts: int) -> DataFrame:
+    """Ranges (doc_id, mark, first, last) of byte places at which a repeated string starts, as a table."""
+    found = written(shared_anchors(deal_anchors(named, parts), parts), "suffix-anchors")
     certain = found.where("certain").select("doc_id", "mark", (F.col("at") - F.col("back")).alias("first"), (F.col("at") - F.col("ahead")).alias("last"))
     places = F.collect_list(F.struct("at", "back", "ahead", "mark")).alias("places")
-    held = written(_with_texts(documents, found.where("sorts").groupBy("doc_id", "mark").agg(places)), "suffix-held")
+    held = written(_with_texts(named, found.where("sorts").groupBy("doc_id", "mark").agg(places)), "suffix-held")
     splitters = _splitters(held, parts)
     merged = written(merged_repeats(sorted_runs(held, splitters), splitters, parts), "suffix-merged")
+    discard(held)
     ranges = ["doc_id", "mark", "first", "last"]
     counted = counted_strings(merged.where("part IS NOT NULL").select("part", "block"), parts).select(ranges)
-    return certain.union(merged.where("part IS NULL").select(ranges)).union(counted)
+    starts = written(certain.union(merged.where("part IS NULL").select(ranges)).union(counted), "suffix-starts")
+    discard(found)
+    discard(merged)
+    return starts
+
 
+def _byte_spans(text: str, ranges: list) -> list[tuple[int, int]]:
+    """The bytes (begin, end) that ranges of starts cover."""
+    return [(r["first"], r["last"] + LENGTH) for r in ranges]
 
-def _cut(data: bytes, ranges: list) -> tuple[bytes, int, int]:
+
+def _word_spans(text: str, ranges: list) -> list[tuple[int, int]]:
+    """The bytes (begin, end) of the words that ranges of the text's coded form cover."""
+    words = Words.of(pa.array([text]))
+    runs = [(-(-r["first"] // CODE), r["last"] // CODE) for r in ranges]
+    return [(int(words.starts[a]), int(words.ends[b + PASSAGE - 1])) for a, b in runs if a <= b]
+
+
+def _cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     """What is left of a text, the bytes removed and the maximal runs of them."""
     edge = np.zeros(len(data) + 1, np.int64)
-    np.add.at(edge, [r["first"] for r in ranges], 1)
-    np.add.at(edge, [r["last"] + LENGTH for r in ranges], -1)
+    begin, end = np.array(spans, np.int64).reshape(-1, 2).T
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, end, -1)
     gone = np.cumsum(edge[:-1]) > 0
-    spans = int(np.count_nonzero(np.diff(np.concatenate(([0], gone.astype(np.int8)))) == 1))
-    return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
+    runs = int(np.count_nonzero(np.diff(np.concatenate(([0], gone.astype(np.int8)))) == 1))
+    return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
-def _cut_texts(documents: DataFrame) -> DataFrame:
-    """Texts that lose bytes: doc_id, mark, kept (bytes), n_removed, n_spans."""
-    ranges = repeated_starts(documents).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    ranges = written(ranges, "suffix-ranges")
+def _cut_texts(documents: DataFrame, by_words: bool = False) -> DataFrame:
+    """Texts with repeated bytes, or passages ``by_words``: doc_id, mark, kept (bytes), n_removed, n_spans."""
+    named, parts = _named(documents), spread(documents)
+    starts = repeated_starts(coded(named) if by_words else named, parts)
+    ranges = written(starts.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "suffix-ranges")
+    spans = _word_spans if by_words else _byte_spans
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_cut(t.encode(), r) for t, r in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist())]
+            found = [_cut(t.encode(), spans(t, r)) for t, r in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist())]
             columns = list(zip(*found)) or [()] * 3
             yield _rows(CUT_SCHEMA, batch.column("doc_id"), batch.column("mark"), *columns)
 
-    return _with_texts(documents, ranges).mapInArrow(cut, CUT_SCHEMA)
+    return _with_texts(named, ranges).mapInArrow(cut, CUT_SCHEMA)
 
 
 def _joined(whole: DataFrame, cut: DataFrame) -> DataFrame:
@@ -597,18 +656,15 @@ def cut_repeats(documents: DataFrame) -> DataFrame:
     )
 
 
-def without_repeats(documents: DataFrame) -> DataFrame:
-    """The documents without their repeated bytes, with all their columns; n_chars follows the text.
-
-    A character of which only a part is cut goes whole. A document may lose all of its text and stays.
-    """
+def _without(documents: DataFrame, cut: DataFrame) -> DataFrame:
+    """The documents with what ``cut`` kept of their texts; n_chars follows the text."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left = [b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
             yield _rows(LEFT_SCHEMA, batch.column("doc_id"), batch.column("mark"), left)
 
-    left = written(_cut_texts(documents).mapInArrow(decode, LEFT_SCHEMA), "suffix-left")
+    left = written(cut.mapInArrow(decode, LEFT_SCHEMA), "suffix-left")
     rows = documents.select(F.struct("*").alias("row"), *_key(F.col("doc_id"), F.col("text")))
     text = F.coalesce("left", "row.text")
     columns = {c: F.col("row")[c] for c in documents.columns} | {"text": text}
@@ -616,3 +672,19 @@ def without_repeats(documents: DataFrame) -> DataFrame:
         kind = documents.schema["n_chars"].dataType
         columns["n_chars"] = F.when(F.col("left").isNull(), F.col("row.n_chars")).otherwise(F.length("left").cast(kind))
     return _joined(rows, left).select(*(x.alias(c) for c, x in columns.items()))
+
+
+def without_repeats(documents: DataFrame) -> DataFrame:
+    """The documents without their repeated bytes, with all their columns; n_chars follows the text.
+
+    A character of which only a part is cut goes whole. A document may lose all of its text and stays.
+    """
+    return _without(documents, _cut_texts(documents))
+
+
+def without_passages(documents: DataFrame) -> DataFrame:
+    """The documents without the words of repeated passages, with all their columns; n_chars follows the text.
+
+    The white space between a passage's words goes with them, that around it stays.
+    """
+    return _without(documents, _cut_texts(documents, by_words=True))

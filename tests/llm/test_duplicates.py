@@ -1,12 +1,13 @@
 """Near duplicates, repeated passages, leaks and the pipeline."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from llm.cases import SF_DIR, documents, edge_documents, near_duplicates, no_documents, ordered, prose, repeats, texts_of
+from llm.cases import SF_DIR, WORD, documents, edge_documents, near_duplicates, no_documents, ordered, prose, repeats, texts_of
 from numberboard.llm import components, decontaminate, jaccard, suffix
 
 
@@ -135,6 +136,47 @@ def test_text_without_repeats_keeps_its_columns(spark):
     assert by[12]["text"] == "" and by[12]["n_chars"] == 0 and by[4]["text"] == "one"
 
 
+def passages(rows, size=50):
+    """The texts without words in runs of ``size`` words that also start anywhere else, in plain loops."""
+    words = [[(m.start(), m.end()) for m in WORD.finditer(t)] for _, t in rows]
+    run = [[tuple(t[a:b] for a, b in w[k : k + size]) for k in range(len(w) - size + 1)] for (_, t), w in zip(rows, words)]
+    met = Counter(x for r in run for x in r)
+    out = []
+    for (i, t), w, r in zip(rows, words, run):
+        gone = {c for k, x in enumerate(r) if met[x] > 1 for c in range(w[k][0], w[k + size - 1][1])}
+        out.append((i, "".join(c for k, c in enumerate(t) if k not in gone)))
+    return out
+
+
+def test_passages_of_short_words_are_cut(spark):
+    """Runs of 50 words and more with fewer than 400 bytes, also where the white space differs; 49 words stay."""
+    rng, rows = random.Random(3), []
+    short = [" ".join(w[: 2 + len(w) % 4] for w in prose(n, 600 + n).split()) for n in (49, 50, 55, 64)]
+    for k in range(80):
+        middle = short[k % 4] if k % 8 < 4 else short[k % 4].replace(" ", rng.choice(["\n", "  ", "\t "]))
+        rows.append((k, f"{prose(k, 3000 + k)} {middle} {prose(30, 4000 + k)}"))
+    rows += [(90, "é ü " * 26), (91, None), (92, ""), (93, rows[2][1]), (93, rows[2][1]), (93, rows[2][1].replace(" ", "\n")), (None, short[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = passages([(i, t or "") for i, t in rows])
+    got = [(r["doc_id"], r["text"] or "") for r in suffix.without_passages(docs).collect()]
+    stages = [name for name, _ in corpus_pipeline.STAGES]
+    assert stages.index("passages") < stages.index("packing")
+    assert all(n == 0 for _, _, n, _, _ in repeats([(i, t or "") for i, t in rows if i != 93])) and ordered(got) == ordered(want)
+
+
+def test_copies_in_a_task_are_one_row_each(spark):
+    """Starts known to repeat come as one range for each document, however many anchors stand for them."""
+    for n in (50, 100):
+        docs = suffix._named(spark.createDataFrame([(k, prose(300, 5)) for k in range(n)], "doc_id long, text string").coalesce(1))
+        found = suffix.shared_anchors(suffix.deal_anchors(docs, 2), 2)
+        assert found.where("doc_id > 0").count() < 2 * n and found.where("NOT certain").count() == 0
+
+
+def test_ranges_without_a_whole_word():
+    none = [{"first": 3, "last": 5}]
+    assert suffix._cut(b"a b", suffix._word_spans("a b", none)) == (b"a b", 0, 0)
+
+
 BENCHMARK = "item_id long, text string, doc_id long"
 
 
