@@ -10,8 +10,9 @@ more passages is a block of its own). For each block:
    orthogonalising, a second round gives the right singular vectors. The rank is that of the block's
    passages, so no direction of a passage is dropped and the cosines of step 3 are exact.
 3. Every document is cut into overlapping windows of words. A window whose words can't hold enough of
-   any passage's weight to reach the cosine is passed over (a bound, so no candidate is lost by it);
-   the others are projected, and those near to a passage become candidates.
+   any passage's weight to reach the cosine is passed over, and so is one that reaches it with no group
+   of ``GROUP`` passages, each word taken at the greatest weight it has in the group (bounds, so no
+   candidate is lost by them); the others are projected, and those near to a passage become candidates.
 4. A candidate's surroundings are compared with the item word by word. The item leaked if the longest
    common subsequence has ``LEAK`` of its words, or ``PARAPHRASE`` of them and the item's answer stands
    there word for word. The answer is what follows the last question mark or the word "answer", or
@@ -43,6 +44,7 @@ from numberboard.llm.textnum import Words, chunks, grams
 
 BLOCK_ITEMS = 512
 RANK = 256
+GROUP = 16
 WINDOW = 96
 STEP = 48
 COSINE = 0.35
@@ -230,6 +232,7 @@ class Index:
     latent: np.ndarray
     weight: np.ndarray
     least: float
+    groups: np.ndarray
 
     def runs(self, codes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int]]:
         """(text, place of the item) of texts in which a short item stands word for word."""
@@ -266,6 +269,13 @@ class Index:
             value = ((1 + np.log(n)) * self.idf[words]).astype(np.float32)
             norm = np.sqrt(np.bincount(window, value * value, minlength=len(some)))
             begins = np.searchsorted(window, np.arange(len(some)))
+            most = np.add.reduceat(value[:, None] * self.groups[words], begins, axis=0).max(axis=1)
+            open_ = most >= 0.999 * COSINE * norm  # room for rounding
+            if not open_.any():
+                continue
+            some, norm, kept = some[open_], norm[open_], open_[window]
+            window, words, value = (np.cumsum(open_) - 1)[window[kept]], words[kept], value[kept]
+            begins = np.searchsorted(window, np.arange(len(some)))
             latent = np.add.reduceat(value[:, None] * self.vectors[words], begins, axis=0)
             near_to = (latent @ self.latent.T) >= COSINE * np.maximum(norm, 1e-9)[:, None]
             for w, p in zip(*np.nonzero(near_to)):
@@ -293,7 +303,7 @@ def build_index(whole: DataFrame, rows: list) -> Index | None:
     spark, items, short = whole.sparkSession, items_of(rows), short_items_of(rows)
     if not items:
         none = np.zeros(0)
-        return Index([], short, none, None, none, none, none, none, np.inf) if short else None
+        return Index([], short, none, None, none, none, none, none, np.inf, none) if short else None
     vocabulary = Vocabulary(items)
     held, documents = document_frequencies(whole, vocabulary)
     idf = np.log((1 + documents) / (1 + held)) + 0.1
@@ -302,14 +312,16 @@ def build_index(whole: DataFrame, rows: list) -> Index | None:
     table = spark.createDataFrame([(p.view(np.int64).tolist(),) for _, p in passages], schema).repartition(4)
     vectors = singular_vectors(table, vocabulary, idf, len(passages))
     latent, weight, least = [], np.zeros(len(idf)), np.inf
-    for _, words in passages:
+    groups = np.zeros((len(idf), -(-len(passages) // GROUP)), np.float32)
+    for k, (_, words) in enumerate(passages):
         place, value = weighted(words, vocabulary, idf)
+        groups[place, k // GROUP] = np.maximum(groups[place, k // GROUP], value)
         point = value @ vectors[place]
         latent.append(point / max(np.linalg.norm(point), 1e-9))
         # A window reaches the cosine only if its words hold that share of the passage's squared length.
         weight[place] = np.maximum(weight[place], value * value)
         least = COSINE**2 / 2
-    return Index(items, short, np.array([k for k, _ in passages]), vocabulary, idf, vectors, np.array(latent, np.float32), weight, least)
+    return Index(items, short, np.array([k for k, _ in passages]), vocabulary, idf, vectors, np.array(latent, np.float32), weight, least, groups)
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list]:

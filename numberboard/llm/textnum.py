@@ -89,11 +89,15 @@ class Words:
             return np.zeros(0, np.uint64)
         size = self.ends - self.starts
         at = np.cumsum(size) - size
-        place = np.arange(int(size.sum())) - np.repeat(at, size)
-        which = place + np.repeat(self.starts, size)
-        value = (_LOWER if lower else _BYTE)[self.bytes[which]] * _STEP[place % _REACH]
-        if int(size.max()) > _REACH:
-            value *= _LEAP[(place // _REACH) % _REACH]
+        kind = np.int32 if len(self.bytes) < 1 << 31 else np.int64
+        place = np.arange(int(size.sum()), dtype=kind) - np.repeat(at.astype(kind), size)
+        long = int(size.max()) > _REACH
+        solid = self.bytes[~WHITE[self.bytes]]  # the bytes of all words
+        value = (_LOWER if lower else _BYTE)[solid]
+        value *= _STEP[place % _REACH if long else place]
+        if long:  # nothing for the others: a word's fingerprint must not depend on its batch
+            far = np.flatnonzero(place >= _REACH)
+            value[far] *= _LEAP[(place[far] // _REACH) % _REACH]
         return mix(np.add.reduceat(value, at) + size.astype(np.uint64) * _LEAP[0])
 
     def text_of(self) -> np.ndarray:

@@ -4,11 +4,13 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from llm.cases import SF_DIR, WORD, documents, edge_documents, near_duplicates, no_documents, ordered, prose, repeats, texts_of
 from numberboard.llm import components, decontaminate, jaccard, suffix
+from numberboard.llm.textnum import Words
 
 
 def test_components(spark):
@@ -224,6 +226,40 @@ def test_leaks_of_more_passages_than_the_rank(spark, monkeypatch, rank):
     assert ordered((r["doc_id"], r["item_ids"]) for r in found) == ordered((k, [k]) for k, _ in docs)
 
 
+@pytest.mark.parametrize("group", [1, 5, 1000])
+def test_bound_of_passage_groups_loses_no_candidate(spark, monkeypatch, group):
+    """Candidates are the windows whose TF-IDF cosine with a passage is high enough, computed one pair at a time."""
+    monkeypatch.setattr(decontaminate, "GROUP", group)
+    rng = random.Random(6)
+    items = [(k, prose(40, 100 + k % 9), 0) for k in range(30)]
+    rows = [(k, " ".join(rng.sample(" ".join(t for _, t, _ in rng.sample(items, 1 + k % 4)).split(), 30) + prose(k, k).split())) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = decontaminate.build_index(docs, spark.createDataFrame(items, BENCHMARK).collect())
+    assert index.groups.shape[1] == -(-30 // group)
+    words = [decontaminate.item_words(t) for _, t in rows]
+    first = np.cumsum([0, *map(len, words)])
+    got = set(index.candidates(np.concatenate(words), first))
+    want = set()
+    for text, own in enumerate(words):
+        for a in range(0, max(1, len(own) - decontaminate.WINDOW + decontaminate.STEP), decontaminate.STEP):
+            known = [w for w in own[a : a + decontaminate.WINDOW] if w in index.vocabulary.words]
+            window = np.zeros(len(index.idf))
+            place, value = decontaminate.weighted(np.array(known, np.uint64), index.vocabulary, index.idf)
+            window[place] = value
+            for k, item in enumerate(index.items):
+                place, value = decontaminate.weighted(item.words, index.vocabulary, index.idf)
+                if value @ window[place] >= decontaminate.COSINE:
+                    want.add((text, int(first[text]) + a, k))
+    assert got == want and 0 < len(want) < len(rows) * len(items)
+
+
+def test_fingerprints_of_long_words():
+    texts = ["a" * 5000 + " b", "", "x\ty", "b " + "a" * 5000, "a" * 4999 + "c"]
+    one = [decontaminate.item_words(t) for t in texts]
+    together = Words.of(pa.array(texts))
+    assert np.array_equal(together.hashes(lower=True), np.concatenate(one)) and one[0][0] == one[3][1] != one[4][0]
+
+
 @pytest.mark.parametrize("size", [1, 2, 3])
 def test_paraphrase_with_a_short_answer(spark, size):
     items, docs, want = [], [], []
