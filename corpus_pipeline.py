@@ -21,9 +21,9 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the runs of 50 words and more that are found elsewhere too."""
+    """All documents, without the runs of 50 words and more that are found elsewhere too, then without what ``repeats_stage`` cuts."""
     importable(spark)
-    return suffix.without_passages(docs)
+    return repeats_stage(spark, written(suffix.without_passages(docs), "pipeline-words"), sf_dir)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,6 @@ STAGES = [
     ("quality", quality_stage),
     ("near_duplicates", near_duplicates_stage),
     ("passages", passages_stage),
-    ("repeats", repeats_stage),
     ("decontamination", decontamination_stage),
     ("packing", packing_stage),
 ]

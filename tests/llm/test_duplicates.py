@@ -1,5 +1,6 @@
 """Near duplicates, repeated passages, leaks and the pipeline."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -166,6 +167,53 @@ def test_passages_of_short_words_are_cut(spark):
     assert all(n == 0 for _, _, n, _, _ in repeats([(i, t or "") for i, t in rows if i != 93])) and ordered(got) == ordered(want)
 
 
+def byte_runs(text, left_out):
+    """Bytes of the characters at these places and the maximal runs of them."""
+    return sum(len(text[k].encode()) for k in left_out), sum(k - 1 not in left_out for k in left_out)
+
+
+def passage_counts(rows, size=50):
+    """(doc_id, bytes, runs) of the words in runs of ``size`` words that also start anywhere else, in plain loops."""
+    words = [[(m.start(), m.end()) for m in WORD.finditer(t)] for _, t in rows]
+    run = [[tuple(t[a:b] for a, b in w[k : k + size]) for k in range(len(w) - size + 1)] for (_, t), w in zip(rows, words)]
+    met = Counter(x for r in run for x in r)
+    gone = [{c for k, x in enumerate(r) if met[x] > 1 for c in range(w[k][0], w[k + size - 1][1])} for r, w in zip(run, words)]
+    return [(i, *byte_runs(t, g)) for (i, t), g in zip(rows, gone)]
+
+
+def repeated_rows():
+    """Passages of 49 to 64 short words, strings of 400 bytes and more in few words, and both in one text."""
+    short = [" ".join(w[: 2 + len(w) % 4] for w in prose(n, 600 + n).split()) for n in (49, 50, 55, 64)]
+    long = ["".join(prose(n, 800 + n).split()) for n in (79, 80, 120)]
+    rows = [(k, f"{prose(20 + k, 3000 + k)} {short[k % 4]}\n{prose(30, 4000 + k)} {long[k % 3]} {prose(9, 5000 + k)}") for k in range(24)]
+    return rows + [(30, f"{short[1]} é {prose(30, 1)} {short[2]}"), (31, "é ü " * 26), (32, None), (33, ""), (None, short[3]), (34, rows[2][1]), (34, rows[3][1])]
+
+
+def test_pipeline_cuts_passages_and_repeats_in_its_third_stage(spark, tmp_path):
+    """Third runs of 50 words go, then strings of 400 bytes; fourth documents with a benchmark item."""
+    (_, passages_stage), (_, fourth) = corpus_pipeline.STAGES[2:4]
+    items = [(k, f"What is {prose(25, 500 + k)}? {prose(6, 900 + k)}", 0) for k in range(4)]
+    spark.createDataFrame(items, BENCHMARK).write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [r for r in repeated_rows() if r[0] != 31] + [(40 + k, f"{prose(60, 70 + k)} {t} {prose(60, 80 + k)}") for k, t, _ in items]
+    docs = corpus_pipeline.written(passages_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)), "test")
+    by_words = passages([(i, t or "") for i, t in rows])
+    want = [(i, kept) for i, *_, kept in repeats(by_words)]
+    assert ordered((i, hashlib.sha256(t.encode()).hexdigest()) for i, t in texts_of(docs)) == ordered(want)
+    assert any(n for _, _, n, _, _ in repeats(by_words))
+    assert {r["doc_id"] for r in fourth(spark, docs, str(tmp_path)).collect()} == {i for i, _ in rows} - set(range(40, 44))
+
+
+def test_pipeline_cuts_generated_documents_by_words_and_bytes(spark):
+    """On the tables that the stages are run on: exactly the strings of 400 bytes go from what the words left."""
+    _, passages_stage = corpus_pipeline.STAGES[2]
+    docs = documents(spark)
+    found = repeats(passages(texts_of(docs)))
+    left = {i: n - gone for i, n, gone, _, _ in found}
+    after = {i: len(t.encode()) for i, t in texts_of(passages_stage(spark, docs, SF_DIR))}
+    assert after.keys() == left.keys() and all(left[i] - 4 <= n <= left[i] for i, n in after.items())
+    assert corpus_pipeline.STAGES[2][0] == "passages" and passages_stage(spark, docs, SF_DIR).columns == docs.columns
+
+
 def test_copies_in_a_task_are_one_row_each(spark):
     """Starts known to repeat come as one range for each document, however many anchors stand for them."""
     for n in (50, 100):
