@@ -41,7 +41,7 @@ def op5_discriminant_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_merged_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.cut_repeats(table(spark, sf_dir, "documents"))
+    return suffix.find_repeats(table(spark, sf_dir, "documents"))
 
 
 def op7_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

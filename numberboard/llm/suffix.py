@@ -21,7 +21,7 @@ for one run of string starts before it.
 ``without_passages`` cuts by words instead: every word that lies in a run of ``PASSAGE`` words which also starts
 anywhere else, whatever white space is between them (short words leave many such runs under ``LENGTH``
 bytes). Each word is written as ``CODE`` characters (48 bits of its fingerprint), so that such a run is a
-string of ``LENGTH`` bytes, which steps 1 to 4 find.
+string of ``LENGTH`` bytes, which steps 1 to 4 find. ``find_repeats`` reports both rules, each judged on the input.
 
 Defined cases: a null text is empty. A text shorter than ``LENGTH`` loses nothing. Strings may overlap
 themselves and count as met twice then. Rows with the same id are joined by id and text digest, so each
@@ -56,7 +56,10 @@ RUN = 1 << 16
 LARGE_SET = 1 << 14
 SAMPLE = 50_000
 MASK_BITS = 23
+#: Bytes of text that are dealt at once: arrays of eight bytes for each stay below what WORKER_MEMORY maps afresh.
+CHUNK_BYTES = 30 << 10
 _DIGITS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
+_PAIRS = _DIGITS[np.arange(4096) & 63] + _DIGITS[np.arange(4096) >> 6].astype("<u2") * np.uint16(256)
 _KEY = np.uint64(0x9E3779B97F4A7C15)
 _STEP_BY = np.uint64(0xD1342543DE82EF95)
 ENTRY = np.dtype(
@@ -79,30 +82,33 @@ def words_at(data: np.ndarray) -> np.ndarray:
     return np.ndarray((max(len(data) - GRAM + 1, 0),), "<u8", data, 0, (1,))
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor of each run of string starts: its place, the first and the last start, in bytes of the batch."""
-    starts = np.zeros(len(data), bool)
+def anchors(data: np.ndarray, offsets: np.ndarray, step: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor of each run of string starts: its place, the first and the last start, in bytes of the batch.
+
+    Strings and anchors start every ``step`` bytes, of which all texts must be multiples.
+    """
+    starts, reach = np.zeros(len(data) // step, bool), REACH // step
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-        starts[a : max(a, b - LENGTH + 1)] = True
+        starts[a // step : max(a, b - LENGTH + step) // step] = True
     if not starts.any():
         return (np.zeros(0, np.int64),) * 3
-    key = words_at(data) * _KEY
+    key = words_at(data)[::step] * _KEY
     key ^= key >> np.uint64(32)
     key *= np.uint64(0xD6E8FEB86659FD93)
     key = (key & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(key), dtype=np.uint64)
     size = 1
-    while 2 * size <= REACH:
+    while 2 * size <= reach:
         key = np.minimum(key[:-size], key[size:])
         size *= 2
-    if size < REACH:
-        key = np.minimum(key[: size - REACH], key[REACH - size :])
+    if size < reach:
+        key = np.minimum(key[: size - reach], key[reach - size :])
     begin = np.flatnonzero(starts)
     least = (key[begin] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     new = np.ones(len(begin), bool)
     new[1:] = (least[1:] != least[:-1]) | (begin[1:] != begin[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(begin)) - 1
-    return least[first], begin[first], begin[last]
+    return least[first] * step, begin[first] * step, begin[last] * step
 
 
 def behind(data: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -141,20 +147,16 @@ def _named(documents: DataFrame) -> DataFrame:
     return whole.select(*_key(F.col("doc_id"), F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def coded(named: DataFrame) -> DataFrame:
-    """``named`` with ``CODE`` characters for each word and nothing between them as texts."""
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift = np.arange(0, 6 * CODE, 6, dtype=np.uint64)
-        for batch in batches:
-            for part in chunks(batch):
-                words = Words.of(part.column("text"))
-                data = _DIGITS[((words.hashes()[:, None] >> shift) & np.uint64(63)).astype(np.uint8)]
-                first = (words.first * CODE).astype(np.int32)
-                text = pa.StringArray.from_buffers(part.num_rows, pa.py_buffer(first), pa.py_buffer(data))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), text], ["doc_id", "mark", "text"])
-
-    return named.mapInArrow(code, NAMED_SCHEMA)
+def coded(part: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows (doc_id, mark, text) with ``CODE`` characters for each word and nothing between them as texts."""
+    words = Words.of(part.column("text"))
+    prints = words.hashes()
+    data = np.empty((len(prints), CODE // 2), "<u2")
+    for k in range(CODE // 2):
+        data[:, k] = _PAIRS[(prints >> np.uint64(12 * k)) & np.uint64(4095)]
+    first = (words.first * CODE).astype(np.int32)
+    text = pa.StringArray.from_buffers(part.num_rows, pa.py_buffer(first), pa.py_buffer(data))
+    return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), text], ["doc_id", "mark", "text"])
 
 
 def _combined(entries: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,8 +179,11 @@ def _combined(entries: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((entries, witness)), np.concatenate((part, (witness["behind"] % np.uint64(parts)).astype(np.int64)))
 
 
-def deal_anchors(named: DataFrame, parts: int) -> DataFrame:
-    """Anchors as packed ENTRY blocks: dealt by what follows, by their surroundings, or (known to repeat) by document."""
+def deal_anchors(named: DataFrame, parts: int, by_words: bool = False) -> DataFrame:
+    """Anchors as packed ENTRY blocks: dealt by what follows, by their surroundings, or (known to repeat) by document.
+
+    ``by_words``: those of the coded texts, at words only.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
@@ -193,9 +198,9 @@ def deal_anchors(named: DataFrame, parts: int) -> DataFrame:
             return _rows(BLOCKS_SCHEMA, names.astype(np.int32), [entries[a:b].tobytes() for a, b in zip(at, ends)])
 
         for batch in batches:
-            for part in chunks(batch):
-                data, offsets = raw(part.column("text"))
-                anchor, first, last = anchors(data, offsets)
+            for part in chunks(batch, limit=CHUNK_BYTES):
+                data, offsets = raw((coded(part) if by_words else part).column("text"))
+                anchor, first, last = anchors(data, offsets, CODE if by_words else 1)
                 owner = np.searchsorted(offsets, anchor, "right") - 1
                 entries = np.zeros(len(anchor), ENTRY)
                 if len(anchor):
@@ -214,10 +219,10 @@ def deal_anchors(named: DataFrame, parts: int) -> DataFrame:
     return named.mapInArrow(deal, BLOCKS_SCHEMA)
 
 
-def shared_anchors(blocks: DataFrame, parts: int) -> DataFrame:
+def shared_anchors(blocks: DataFrame, parts: int, step: int = 1) -> DataFrame:
     """Anchors with company: ``certain`` if all their strings repeat, ``sorts`` if they stand for their surroundings.
 
-    Those known to repeat come as one row for each unbroken run of a document's starts.
+    Those known to repeat come as one row for each unbroken run of a document's starts, of which one is every ``step`` bytes.
     """
 
     def rows(entries: np.ndarray, certain: np.ndarray, sorts: np.ndarray) -> pa.RecordBatch:
@@ -229,7 +234,7 @@ def shared_anchors(blocks: DataFrame, parts: int) -> DataFrame:
         start, end = (entries["at"].astype(np.int64) - entries[c] for c in ("back", "ahead"))
         by = np.lexsort((start, entries["mark"], entries["doc_id"], entries["nameless"]))
         entries, start, end = entries[by], start[by], end[by]
-        new = np.append(True, start[1:] > end[:-1] + 1)
+        new = np.append(True, start[1:] > end[:-1] + step)
         for c in ("nameless", "doc_id", "mark"):
             new[1:] |= entries[c][1:] != entries[c][:-1]
         first = np.flatnonzero(new)
@@ -267,8 +272,8 @@ def shared_anchors(blocks: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(merge, ANCHORS_SCHEMA)
 
 
-def _with_texts(named: DataFrame, listed: DataFrame) -> DataFrame:
-    """``listed`` (doc_id, mark, ...) with the texts; only texts that may be listed move."""
+def _with_texts(named: DataFrame, listed: DataFrame, by_words: bool = False) -> DataFrame:
+    """``listed`` (doc_id, mark, ...) with the texts, or their coded form; only texts that may be listed move."""
     key = ["doc_id", "mark"]
     hashed = F.xxhash64(*key).bitwiseAND((1 << MASK_BITS) - 1)
     words = listed.select(F.shiftright(hashed, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), hashed.bitwiseAND(63).cast("int")).alias("v"))
@@ -281,7 +286,11 @@ def _with_texts(named: DataFrame, listed: DataFrame) -> DataFrame:
         bits = shared.value
         for batch in batches:
             h = batch.column("h").to_numpy()
-            yield batch.select([*key, "text"]).filter(pa.array((bits[h >> 6] >> (h & 63)) & 1 == 1))
+            near = batch.select([*key, "text"]).filter(pa.array((bits[h >> 6] >> (h & 63)) & 1 == 1))
+            if by_words:
+                yield from map(coded, chunks(near, limit=CHUNK_BYTES))
+            else:
+                yield near
 
     near = named.withColumn("h", hashed).mapInArrow(pick, NAMED_SCHEMA).dropDuplicates(key)
     near = near.select(F.col("doc_id").alias("i"), F.col("mark").alias("m"), "text")
@@ -582,12 +591,12 @@ def merged_repeats(runs: DataFrame, splitters: list[tuple[bytes, bytes]], ranges
     return dealt.mapInArrow(work, RANGES_SCHEMA)
 
 
-def repeated_starts(named: DataFrame, parts: int) -> DataFrame:
-    """Ranges (doc_id, mark, first, last) of byte places at which a repeated string starts, as a table."""
-    found = written(shared_anchors(deal_anchors(named, parts), parts), "suffix-anchors")
+def repeated_starts(named: DataFrame, parts: int, by_words: bool = False) -> DataFrame:
+    """Ranges (doc_id, mark, first, last) of byte places at which a repeated string starts, as a table; ``by_words`` in the coded texts."""
+    found = written(shared_anchors(deal_anchors(named, parts, by_words), parts, CODE if by_words else 1), "suffix-anchors")
     certain = found.where("certain").select("doc_id", "mark", (F.col("at") - F.col("back")).alias("first"), (F.col("at") - F.col("ahead")).alias("last"))
     places = F.collect_list(F.struct("at", "back", "ahead", "mark")).alias("places")
-    held = written(_with_texts(named, found.where("sorts").groupBy("doc_id", "mark").agg(places)), "suffix-held")
+    held = written(_with_texts(named, found.where("sorts").groupBy("doc_id", "mark").agg(places), by_words), "suffix-held")
     splitters = _splitters(held, parts)
     merged = written(merged_repeats(sorted_runs(held, splitters), splitters, parts), "suffix-merged")
     discard(held)
@@ -625,7 +634,7 @@ def _cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 def _cut_texts(documents: DataFrame, by_words: bool = False) -> DataFrame:
     """Texts with repeated bytes, or passages ``by_words``: doc_id, mark, kept (bytes), n_removed, n_spans."""
     named, parts = _named(documents), spread(documents)
-    starts = repeated_starts(coded(named) if by_words else named, parts)
+    starts = repeated_starts(named, parts, by_words)
     ranges = written(starts.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "suffix-ranges")
     spans = _word_spans if by_words else _byte_spans
 
@@ -643,12 +652,13 @@ def _joined(whole: DataFrame, cut: DataFrame) -> DataFrame:
     return whole.join(cut, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left")
 
 
-def cut_repeats(documents: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+def _counted(documents: DataFrame) -> DataFrame:
+    """doc_id, mark, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     cut = _cut_texts(documents).select("doc_id", "mark", F.sha2("kept", 256).alias("kept"), "n_removed", "n_spans")
     whole = _named(documents).select("doc_id", "mark", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("all"))
     return _joined(whole, written(cut, "suffix-cut")).select(
         "doc_id",
+        "mark",
         "n_bytes",
         F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
@@ -656,6 +666,23 @@ def cut_repeats(documents: DataFrame) -> DataFrame:
     )
 
 
+def cut_repeats(documents: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    return _counted(documents).drop("mark")
+
+
+def find_repeats(documents: DataFrame) -> DataFrame:
+    """The columns of ``cut_repeats``, then n_passage_bytes and n_passages of every document.
+
+    These are the bytes that ``without_passages`` would cut from the whole text, and the maximal runs of them;
+    ``kept_sha256`` is of the text without repeated bytes alone.
+    """
+    counts = [F.col("n_removed").alias("n_passage_bytes"), F.col("n_spans").alias("n_passages")]
+    counted, passages = _counted(documents), _cut_texts(documents, by_words=True).select("doc_id", "mark", *counts)
+    both = _joined(counted, written(passages, "suffix-passages"))
+    return both.select(*(c for c in counted.columns if c != "mark"), *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_passage_bytes", "n_passages")))
+
+
 def _without(documents: DataFrame, cut: DataFrame) -> DataFrame:
     """The documents with what ``cut`` kept of their texts; n_chars follows the text."""
 

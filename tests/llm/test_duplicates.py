@@ -11,6 +11,7 @@ import pytest
 import corpus_pipeline
 from llm.cases import SF_DIR, WORD, documents, edge_documents, near_duplicates, no_documents, ordered, prose, repeats, texts_of
 from numberboard.llm import components, decontaminate, jaccard, suffix
+from numberboard.llm.registry import QUERIES
 from numberboard.llm.textnum import Words
 
 
@@ -189,6 +190,16 @@ def repeated_rows():
     return rows + [(30, f"{short[1]} é {prose(30, 1)} {short[2]}"), (31, "é ü " * 26), (32, None), (33, ""), (None, short[3]), (34, rows[2][1]), (34, rows[3][1])]
 
 
+def test_registered_repeats_report_passages_by_words_too(spark, tmp_path):
+    rows = [(i, t or "") for i, t in repeated_rows()]
+    spark.createDataFrame(repeated_rows(), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op6_merged_suffixes"][0](spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "n_passages"]
+    want = [(*a, *b[1:]) for a, b in zip(repeats(rows), passage_counts(rows), strict=True)]
+    assert ordered(got.collect()) == ordered(want)
+    assert any(a[2] == 0 < a[5] for a in want) and any(a[2] > 0 == a[5] for a in want) and max(a[6] for a in want) > 1
+
+
 def test_pipeline_cuts_passages_and_repeats_in_its_third_stage(spark, tmp_path):
     """Third runs of 50 words go, then strings of 400 bytes; fourth documents with a benchmark item."""
     (_, passages_stage), (_, fourth) = corpus_pipeline.STAGES[2:4]
